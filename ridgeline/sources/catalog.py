@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.functions import geo, text
-from ridgeline.model import Layout
 
 _text = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 _wkt = T.StructType(_text("@WKT"))
@@ -125,16 +124,14 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.sparkSession.createDataFrame(pairs, "n long, path string")
 
 
-def scene_document(kind: str, file_name, resolution, layout: Layout):
+def scene_document(kind: str, file_name, resolution, xmin, ymin, xmax, ymax):
     """Struct of a layer's document. ``origin`` is the lower-left corner."""
-    xmin, ymin, xmax, ymax = (F.lit(v) for v in layout.extent)
-    cx, cy = F.lit((layout.extent[0] + layout.extent[2]) / 2), F.lit((layout.extent[1] + layout.extent[3]) / 2)
     return F.struct(
         F.struct(text.point_wkt(xmin, ymin).alias("@WKT")).alias("origin"),
         resolution.alias("dataset"),
         F.concat_ws("/", F.lit(f"hdfs://{kind}"), resolution, file_name).alias("uri"),
         resolution.alias("directory"),
-        F.struct(text.point_wkt(cx, cy).alias("@WKT")).alias("center"),
+        F.struct(text.point_wkt((xmin + xmax) / 2, (ymin + ymax) / 2).alias("@WKT")).alias("center"),
         F.lit("HDFS").alias("location"),
         F.struct(text.box_wkt(xmin, ymin, xmax, ymax).alias("@WKT")).alias("bbox"),
         F.lit("tif").alias("filetype"),
