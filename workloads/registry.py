@@ -614,7 +614,7 @@ def a8_tile_count(spark, d):
 
 
 def _classes(spark, d):
-    return local.local_map(ras.dem_gaps(spark, d), lambda v: F.expr("(value div 150) % 3"))
+    return local.local_map(ras.dem_gaps(spark, d), lambda v: F.expr("(value div 100) % 4"))
 
 
 @query
