@@ -116,7 +116,12 @@ def classify(value: Column, stops: Sequence[tuple[float, int]]) -> Column:
         for brk, code in ordered:
             out = out.when(value <= F.lit(brk), F.lit(code).cast("long"))
         return out
-    breaks = F.array(*[F.lit(b) for b, _ in ordered])
     codes = F.array(*[F.lit(c).cast("long") for _, c in ordered])
+    first, step = ordered[0][0], ordered[1][0] - ordered[0][0]
+    if all(b == first + i * step for i, (b, _) in enumerate(ordered)):
+        # Evenly spaced: the break's number is arithmetic, the code one array access.
+        number = F.greatest(F.lit(0.0), F.ceil((value.cast("double") - first) / step).cast("double"))
+        return F.when(number < len(ordered), F.try_element_at(codes, number.cast("int") + 1))
+    breaks = F.array(*[F.lit(b) for b, _ in ordered])
     below = F.size(F.filter(breaks, lambda b: b < value.cast("double")))
     return F.when(value.isNotNull(), F.try_element_at(codes, below + 1))

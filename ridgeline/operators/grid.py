@@ -44,7 +44,7 @@ def mosaic(readings: DataFrame, rank: str = "scene_rank") -> DataFrame:
     """One value per cell: the known value of the least-ranked scene.
 
     An aggregate with map-side combining, so a cell with very many readings costs no more than
-    another one.
+    another one. Rank by one number where possible: a struct makes the aggregate sort.
     """
     return readings.where("value IS NOT NULL").groupBy(*CELL_KEY).agg(F.min_by("value", rank).alias("value"))
 
@@ -245,7 +245,8 @@ def pyramid(cells: DataFrame, base_zoom: int, end_zoom: int = 0, method: str = "
             )
             current = tiled.withColumn("block", F.xxhash64("layer", "trow", "tcol")).repartition("block")
         parents = current.groupBy(*key, F.expr("row div 2").alias("prow"), F.expr("col div 2").alias("pcol"))
-        value = F.min_by("a", F.struct("row", "col")) if method == "nearest" else F.sum("a")
+        # The child's place among its siblings is one small number, so the aggregate stays hashed.
+        value = F.min_by("a", F.expr("(row % 2) * 2 + col % 2")) if method == "nearest" else F.sum("a")
         current = parents.agg(value.alias("a"), F.sum("k").alias("k")).select(
             *key, F.col("prow").alias("row"), F.col("pcol").alias("col"), "a", "k"
         )

@@ -46,7 +46,8 @@ def overlap_join(
     left = spread(left, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     a, b = left.alias("a"), right.alias("b")
     keys = ["level_", "salt_", "bx_", "by_"]
-    joined = a.join(b, keys)
+    # The optimizer does not see how far the explodes multiply rows: no broadcast here.
+    joined = a.hint("merge").join(b, keys)
     step = F.lit(size) * F.pow(F.lit(2.0), F.col("level_"))
     meets = (
         (F.col("a.xmin") <= F.col("b.xmax"))

@@ -62,6 +62,7 @@ def _connect(links: DataFrame) -> DataFrame:
     the set's size.
     """
     edges = cut_lineage(links.where("a <> b").select("layer", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    size = edges.count()
     while True:
         both = edges.unionByName(edges.select("layer", F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("layer", "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -78,7 +79,9 @@ def _connect(links: DataFrame) -> DataFrame:
             .distinct()
         )
         small = cut_lineage(small)
-        changed = not small.exceptAll(edges).isEmpty() or not edges.exceptAll(small).isEmpty()
+        # Both are sets: equal if of one size and none of the new links is new.
+        before, size = size, small.count()
+        changed = size != before or not small.join(edges, ["layer", "a", "b"], "left_anti").isEmpty()
         edges = small
         if not changed:
             return edges.select("layer", "a", F.col("b").alias("root"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.model import Layout
-from ridgeline.operators.vector import cells_around
 
 VIEW_SCHEMA = T.StructType(
     [
@@ -28,29 +27,59 @@ VIEW_SCHEMA = T.StructType(
     ]
 )
 BATCH_CELLS = 4_000_000
+CHUNK = 32
 
 
 def _surroundings(observers: DataFrame, elevation: DataFrame, layout: Layout, radius: int) -> DataFrame:
-    """One row per observer with the known elevations of its disc."""
-    side = 2 * radius + 1
-    seen = observers.select("layer", "observer_id", F.col("row").alias("orow"), F.col("col").alias("ocol"), "row", "col")
-    near = cells_around(seen, layout, radius * layout.cell_w).select(
-        "layer",
-        "observer_id",
-        "orow",
-        "ocol",
-        "row",
-        "col",
-        ((F.col("row") - F.col("orow") + radius) * side + F.col("col") - F.col("ocol") + radius).cast("int").alias("at"),
+    """One row per observer with the known elevations of the rows and chunks its disc touches.
+
+    Elevation is joined in chunks of ``CHUNK`` cells of a raster row: an observer asks for some
+    ``2 * radius + 1`` rows of one or two chunks, not for every cell of its disc.
+    """
+    near = (
+        observers.where(layout.contains(F.col("row"), F.col("col")))
+        .select("layer", "observer_id", F.col("row").alias("orow"), F.col("col").alias("ocol"))
+        .withColumn("row", F.explode(_reach("orow", radius, layout.rows)))
+        .withColumn("chunk", F.explode(_reach("ocol", radius, layout.cols, CHUNK)))
     )
-    known = elevation.where("value IS NOT NULL").select("layer", "row", "col", F.col("value").cast("double").alias("z"))
+    chunks = (
+        elevation.where("value IS NOT NULL")
+        .groupBy("layer", "row", F.expr(f"col div {CHUNK}").alias("chunk"))
+        .agg(F.collect_list(F.struct("col", F.col("value").cast("double").alias("z"))).alias("cells"))
+    )
+    # The optimizer does not see how far an explode multiplies rows: never broadcast that side.
     return (
-        near.join(known, ["layer", "row", "col"])
+        near.hint("merge")
+        .join(chunks, ["layer", "row", "chunk"])
         .groupBy("layer", "observer_id", "orow", "ocol")
-        .agg(F.collect_list(F.struct("at", "z")).alias("cells"))
+        .agg(F.collect_list(F.struct("row", "cells")).alias("strips"))
     )
 
 
+def _reach(axis: str, radius: int, size: int, step: int = 1):
+    """Rows, or chunks of columns, within ``radius`` of a position and inside the raster."""
+    first, last = f"greatest(0L, {axis} - {radius})", f"least({size - 1}L, {axis} + {radius})"
+    return F.expr(f"sequence({first} div {step}, {last} div {step})")
+
+
+def _discs(part: pa.RecordBatch, radius: int) -> np.ndarray:
+    """One padded square per observer of a batch; NaN outside the disc and where unknown."""
+    side = 2 * radius + 1
+    strips = part.column("strips")
+    rows = strips.flatten()
+    cells = rows.field("cells")
+    flat = cells.flatten()
+    of_row = np.repeat(np.arange(part.num_rows), np.diff(strips.offsets.to_numpy()))
+    per_row = np.diff(cells.offsets.to_numpy())
+    who = np.repeat(of_row, per_row)
+    dr = np.repeat(rows.field("row").to_numpy() - part.column("orow").to_numpy()[of_row], per_row)
+    dc = flat.field("col").to_numpy() - part.column("ocol").to_numpy()[who]
+    near = dr * dr + dc * dc <= radius * radius
+    discs = np.full((part.num_rows, side * side), np.nan)
+    discs[who[near], ((dr + radius) * side + dc + radius)[near]] = flat.field("z").to_numpy()[near]
+    return discs
+
+
 def _run(observers, elevation, layout, radius, kernel):
     if radius < 1:
         raise ValueError("the radius must be at least one cell")
@@ -62,13 +91,7 @@ def _run(observers, elevation, layout, radius, kernel):
             step = max(1, BATCH_CELLS // area)
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                lists = part.column("cells")
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                at, z = flat.field("at").to_numpy(), flat.field("z").to_numpy()
-                grid = np.full((part.num_rows, area), np.nan)
-                who = np.repeat(np.arange(part.num_rows), sizes)
-                grid[who, at] = z
+                grid = _discs(part, radius)
                 with np.errstate(invalid="ignore"):
                     visible = kernel(grid)
                 shown = ~np.isnan(grid) & ~np.isnan(grid[:, area // 2])[:, None]

@@ -176,3 +176,20 @@ def test_points_at_the_edge_stay_inside(spark):
     assert near.where("row < 0 OR col < 0 OR row > 4 OR col > 4").count() == 0
     assert near.where("d2 > 4").count() == 0
     assert near.count() == 2 * 6
+
+
+def test_slices_of_a_batch_hold_their_own_observers():
+    import pyarrow as pa
+
+    strip = lambda row, *cells: {"row": row, "cells": [{"col": c, "z": z} for c, z in cells]}
+    batch = pa.RecordBatch.from_pylist(
+        [
+            {"orow": 5, "ocol": 5, "strips": [strip(5, (5, 1.0), (6, 2.0)), strip(4, (5, 3.0))]},
+            {"orow": 0, "ocol": 0, "strips": [strip(0, (0, 4.0), (9, 9.0))]},
+            {"orow": 2, "ocol": 2, "strips": [strip(3, (3, 9.0), (2, 6.0)), strip(2, (2, 5.0))]},
+        ]
+    )
+    whole = visibility._discs(batch, 1)
+    parts = [visibility._discs(batch.slice(i, 1), 1) for i in range(3)]
+    np.testing.assert_array_equal(whole, np.concatenate(parts))
+    np.testing.assert_array_equal(whole[2].reshape(3, 3), [[np.nan] * 3, [np.nan, 5, np.nan], [np.nan, 6, np.nan]])

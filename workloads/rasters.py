@@ -52,13 +52,17 @@ def landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several scenes over one grid: every line item is one reading of a cell."""
+    """Several scenes over one grid: every line item is one reading of a cell.
+
+    The rank orders by order, line and price in one number; (order, line) alone is not unique.
+    """
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
         F.lit("sparse").alias("layer"),
         F.col("l_partkey").alias("row"),
         F.col("l_suppkey").alias("col"),
         F.floor("l_extendedprice").cast("long").alias("value"),
-        F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("scene_rank"),
+        (line * 2**24 + F.floor("l_extendedprice")).alias("scene_rank"),
     )
 
 

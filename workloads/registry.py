@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ridgeline.functions import geo, text
 from ridgeline.model import Layout, grid_to_map, map_to_grid
 from ridgeline.operators import blocks, focal, grid, joins, local, regions, render, stats, surface, vector, visibility
 from ridgeline.plans import layers, products
+from ridgeline.session import ship
 from ridgeline.sources import catalog, requests
 from workloads import rasters as ras
 
@@ -22,8 +25,12 @@ LONLAT = Layout(4326, -77.75, 38.95, 0.002, 0.002, 100, 60000, ras.TILE)
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark, sf_dir):
+        return fn(ship(spark), sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def r4(value: Column) -> Column:
