@@ -65,14 +65,18 @@ def to_blocks(cells: DataFrame, layout: Layout) -> DataFrame:
 
 
 def to_cells(blocks: DataFrame, layout: Layout, column: str = "cells") -> DataFrame:
-    """Spread blocks into cells; NODATA gives no row. No shuffle."""
+    """Spread blocks into cells of the raster; NODATA gives no row. No shuffle."""
     t = layout.tile_size
     cells = blocks.select("layer", "brow", "bcol", F.posexplode(column).alias("at", "value"))
-    return cells.where("value IS NOT NULL").select(
-        "layer",
-        F.expr(f"brow * {t} + at div {t}").alias("row"),
-        F.expr(f"bcol * {t} + at % {t}").alias("col"),
-        "value",
+    return (
+        cells.where("value IS NOT NULL")
+        .select(
+            "layer",
+            F.expr(f"brow * {t} + at div {t}").alias("row"),
+            F.expr(f"bcol * {t} + at % {t}").alias("col"),
+            "value",
+        )
+        .where(layout.contains(F.col("row"), F.col("col")))
     )
 
 

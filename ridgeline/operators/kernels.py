@@ -96,6 +96,49 @@ def slope_degrees(east, south, cell_w, cell_h, z_factor):
     return np.degrees(np.arctan(z_factor * np.sqrt(gx * gx + gy * gy)))
 
 
+def surface(z, cell_w, cell_h, azimuth, altitude, z_factor):
+    """Slope and aspect in degrees and hillshade 0..127; needs one cell of halo."""
+    east, south = horn_sums(z)
+    gx, gy = east / (8.0 * cell_w), south / (8.0 * cell_h)
+    az, alt = math.radians(azimuth), math.radians(altitude)
+    steep = np.arctan(z_factor * np.sqrt(gx * gx + gy * gy))
+    facing = np.arctan2(-gx, gy)
+    degrees = np.degrees(facing)
+    flat = (east == 0) & (south == 0)
+    light = math.sin(alt) * np.cos(steep) + math.cos(alt) * np.sin(steep) * np.cos(az - facing)
+    light = np.where(flat, math.sin(alt), light)
+    return {
+        "slope": np.degrees(steep),
+        "aspect": np.where(flat, np.nan, np.where(degrees < 0, degrees + 360.0, degrees)),
+        "hillshade": np.floor(127.0 * np.maximum(0.0, light) + 0.5),
+    }
+
+
+def position(z, n):
+    """Both forms of topographic position and the ruggedness over the (2n+1)^2 square."""
+    s = square_stats(z, n)
+    known = s["vcount"] > 0
+    above = s["vsum"] / s["vcount"] - s["vmin"]
+    span, ratio = s["vmax"] - s["vmin"], s["vmax"] / s["vmin"]
+    return {
+        "tpi": np.where(known & (span != 0), above / span, np.nan),
+        "tpi_ratio": np.where(known & (ratio != 0), above / ratio, np.nan),
+        "ruggedness": np.sqrt(np.abs(s["vmax"] * s["vmax"] - s["vmin"] * s["vmin"])),
+    }
+
+
+def rings(value, marked, radii, halo):
+    """Codes around marked cells; ``radii`` lists (code, radius in cells), outermost first."""
+    side = (value.shape[0] - 2 * halo, value.shape[1] - 2 * halo)
+    out = value[halo : halo + side[0], halo : halo + side[1]].copy()
+    marks = np.where(value == marked, 1.0, 0.0)
+    for code, radius in radii:
+        cut = halo - int(math.floor(radius))
+        near, _ = disc_sum(marks[cut : marks.shape[0] - cut, cut : marks.shape[1] - cut], radius)
+        out[near > 0] = code
+    return out
+
+
 def label_runs(values):
     """Label 4-connected areas of equal value by their least linear index; NaN gets -1."""
     rows, cols = values.shape

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,25 +48,17 @@ def symbol_rings(
     every cell, whether a disc sum of marks is positive. One halo exchange for all rings, and rings
     cross tile borders.
     """
+    radii, halo = ring_radii(layout, rings)
+    kernel = lambda arrays, inside, origin: {"value": kernels.rings(arrays["value"], marked, radii, halo)}
+    return per_block(cells, layout, halo, kernel, ("value",), keep="filled")
+
+
+def ring_radii(layout: Layout, rings: Sequence[tuple[int, float]]):
+    """Rings as codes and radii in cells, outermost first, and the halo they need."""
     if layout.cell_w != layout.cell_h:
         raise ValueError("distances in cells need square cells")
-    cell = layout.cell_w
-    ordered = sorted(rings, key=lambda r: -r[1])
-    halo = int(math.floor(ordered[0][1] / cell))
-
-    def kernel(arrays, inside, origin):
-        value = arrays["value"]
-        side = value.shape[0] - 2 * halo
-        out = value[halo : halo + side, halo : halo + side].copy()
-        marks = np.where(value == marked, 1.0, 0.0)
-        for code, buffer in ordered:
-            radius = buffer / cell
-            cut = halo - int(math.floor(radius))
-            near, _ = kernels.disc_sum(marks[cut : marks.shape[0] - cut, cut : marks.shape[1] - cut], radius)
-            out[near > 0] = code
-        return {"value": out}
-
-    return per_block(cells, layout, halo, kernel, ("value",), keep="filled")
+    radii = [(code, buffer / layout.cell_w) for code, buffer in sorted(rings, key=lambda r: -r[1])]
+    return radii, int(math.floor(radii[0][1]))
 
 
 def burn_points(cells: DataFrame, points: DataFrame, layout: Layout, radius: float, code: int) -> DataFrame:

@@ -49,26 +49,9 @@ def radius_in_cells(layout: Layout, diameter: float, units: str) -> float:
     raise ValueError(f"unknown radius units: {units}")
 
 
-def site_scores(
-    cells: DataFrame,
-    layout: Layout,
-    radius: float,
-    smooth: int | None = 1,
-    slope_limit: float = 15.0,
-    z_factor: float = 1.0,
-    masked: bool = False,
-    decimals: int | None = None,
-) -> DataFrame:
-    """Number of suitable cells within ``radius`` cells of each cell.
-
-    Mean, slope, threshold and disc sum run in one pass over each block: one halo exchange with
-    the sum of the four reaches, not one per step. ``smooth=None`` leaves the mean out. With
-    ``masked`` the column ``mask`` (0 or 1) multiplies the slope. ``decimals`` rounds the slope
-    before it meets the limit.
-    """
-    reach = int(math.floor(radius))
+def site_kernel(layout, radius, smooth, slope_limit, z_factor, masked, decimals):
+    """Halo and kernel of the site scores: mean, slope, threshold and disc sum."""
     n = smooth or 0
-    halo = n + 1 + reach
 
     def kernel(arrays, inside, origin):
         z = arrays["value"]
@@ -86,19 +69,49 @@ def site_scores(
         total, count = kernels.disc_sum(suitable, radius)
         return {"value": np.where(count > 0, total, np.nan)}
 
+    return n + 1 + int(math.floor(radius)), kernel
+
+
+def site_scores(
+    cells: DataFrame,
+    layout: Layout,
+    radius: float,
+    smooth: int | None = 1,
+    slope_limit: float = 15.0,
+    z_factor: float = 1.0,
+    masked: bool = False,
+    decimals: int | None = None,
+) -> DataFrame:
+    """Number of suitable cells within ``radius`` cells of each cell.
+
+    Mean, slope, threshold and disc sum run in one pass over each block: one halo exchange with
+    the sum of the four reaches, not one per step. ``smooth=None`` leaves the mean out. With
+    ``masked`` the column ``mask`` (0 or 1) multiplies the slope. ``decimals`` rounds the slope
+    before it meets the limit.
+    """
+    halo, kernel = site_kernel(layout, radius, smooth, slope_limit, z_factor, masked, decimals)
     inputs = ("value", "mask") if masked else ("value",)
     return per_block(cells, layout, halo, kernel, ("value",), inputs=inputs, keep="filled")
 
 
+def score_domain(radius: float) -> int:
+    """How many values a score can have: the cells of the disc, and none."""
+    return sum(2 * w + 1 for w in kernels.disc_widths(radius).values()) + 1
+
+
+def site_limits(scores: DataFrame, radius: float) -> Column:
+    """Thresholds of the rings as one scalar subquery (a struct ``center, middle, outer``)."""
+    thresholds = ring_thresholds(distinct_breaks(quantile_breaks(scores, 10, (), score_domain(radius)), ()))
+    return thresholds.select(F.struct("center", "middle", "outer").alias("limits")).scalar()
+
+
 def site_rings(scores: DataFrame, radius: float) -> DataFrame:
     """Classes 3, 2, 1, 0 of the scores against the last three of ten quantile breaks.
 
     A score counts the cells of a disc, which bounds the histogram. The three thresholds enter as
     one scalar subquery.
     """
-    domain = sum(2 * w + 1 for w in kernels.disc_widths(radius).values()) + 1
-    thresholds = ring_thresholds(distinct_breaks(quantile_breaks(scores, 10, (), domain), ()))
-    limits = thresholds.select(F.struct("center", "middle", "outer").alias("limits")).scalar()
+    limits = site_limits(scores, radius)
     ring = local.ring_class(F.col("limits.center"), F.col("limits.middle"), F.col("limits.outer"))
     return scores.withColumn("limits", limits).select(*CELL_KEY, ring(F.col("value")).alias("value"))
 
@@ -154,8 +167,7 @@ def suitability_on_cover(
 
 def suitability_statistics(scores: DataFrame, radius: float, k: int = 10) -> DataFrame:
     """``breaks, top, mean`` of the scores in one row."""
-    domain = sum(2 * w + 1 for w in kernels.disc_widths(radius).values()) + 1
-    breaks = distinct_breaks(quantile_breaks(scores, k, (), domain), ())
+    breaks = distinct_breaks(quantile_breaks(scores, k, (), score_domain(radius)), ())
     totals = scores.where("value IS NOT NULL").agg(F.max("value").alias("top"), F.avg("value").alias("mean"))
     return totals.select(breaks.select("breaks").scalar().alias("breaks"), "top", "mean")
 
@@ -172,29 +184,13 @@ def batch(cells: DataFrame, tile_size: int = 256, n: int = 1, azimuth: float = 9
     """
     open_grid = Layout(0, 0.0, 0.0, 1.0, 1.0, 2**40, 2**40, tile_size)
     reach = max(1, n)
-    az, alt = math.radians(azimuth), math.radians(altitude)
 
     def kernel(arrays, inside, origin):
-        z = arrays["value"]
         trim = lambda a, by: a[by : a.shape[0] - by, by : a.shape[1] - by]
-        east, south = kernels.horn_sums(trim(z, reach - 1))
-        gx = east / (8.0 * trim(arrays["cell_w"], reach))
-        gy = south / (8.0 * trim(arrays["cell_h"], reach))
-        steep = np.arctan(z_factor * np.sqrt(gx * gx + gy * gy))
-        facing = np.arctan2(-gx, gy)
-        flat = (east == 0) & (south == 0)
-        degrees = np.degrees(facing)
-        light = np.sin(alt) * np.cos(steep) + np.cos(alt) * np.sin(steep) * np.cos(az - facing)
-        light = np.where(flat, np.sin(alt), light)
-        s = kernels.square_stats(trim(z, reach - n), n)
-        above = s["vsum"] / s["vcount"] - s["vmin"]
-        span, ratio = s["vmax"] - s["vmin"], s["vmax"] / s["vmin"]
+        z, width, height = arrays["value"], trim(arrays["cell_w"], reach), trim(arrays["cell_h"], reach)
         return {
-            "slope": np.degrees(steep),
-            "aspect": np.where(flat, np.nan, np.where(degrees < 0, degrees + 360.0, degrees)),
-            "hillshade": np.floor(127.0 * np.maximum(0.0, light) + 0.5),
-            "tpi": np.where(span == 0, np.nan, above / span),
-            "tpi_ratio": np.where(ratio == 0, np.nan, above / ratio),
+            **kernels.surface(trim(z, reach - 1), width, height, azimuth, altitude, z_factor),
+            **kernels.position(trim(z, reach - n), n),
         }
 
     return per_block(cells, open_grid, reach, kernel, BATCH, inputs=("value", "cell_w", "cell_h"))

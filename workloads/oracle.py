@@ -566,3 +566,43 @@ ORACLE["v5_lines"] = sql(
     "points",
     v="SELECT id // 10 AS line, id % 10 AS seq, r, c FROM points",
 )
+ORACLE["j3_cells_near_points"] = sql(
+    f"""SELECT r + dr AS "row", c + dc AS col, CAST(min(dr * dr + dc * dc) AS INTEGER) AS d2 FROM points, {DISC3}, size
+      WHERE r + dr BETWEEN 0 AND size.n - 1 AND c + dc BETWEEN 0 AND 63 GROUP BY 1, 2""",
+    "points",
+)
+
+# Stored blocks give the same cells.
+ORACLE["f5_slope_stored_blocks"] = ORACLE["f5_slope"]
+ORACLE["f3_focal_mean_stored_blocks"] = ORACLE["f3_focal_mean"]
+ORACLE["f4_focal_sum_stored_blocks"] = ORACLE["f4_focal_sum_circle"]
+ORACLE["c1_tpi_stored_blocks"] = sql(
+    OUT + f"{r4('(total / k - lo) / (hi - lo)')} AS v FROM q WHERE hi > lo", "gaps", "size", **SQ2
+)
+ORACLE["c6_suitability_stored_blocks"] = ORACLE["c6_suitability"]
+ORACLE["l3_hover_stored_blocks"] = ORACLE["l3_hover"]
+
+# Scalar functions
+ORACLE["m1_haversine"] = sql(f"SELECT request_id, {r4(haversine('xmin', 'ymin', 'xmax', 'ymax'))} AS metres FROM boxes", "boxes")
+ORACLE["m2_resolution_label"] = """SELECT c_custkey, CASE
+    WHEN m >= 100 THEN CAST(CAST(floor(m / 100) * 100 AS BIGINT) AS VARCHAR) || 'M'
+    WHEN m >= 10 THEN CAST(CAST(floor(m / 10) * 10 AS BIGINT) AS VARCHAR) || 'M'
+    WHEN m >= 1 THEN CAST(CAST(floor(m) AS BIGINT) AS VARCHAR) || 'M'
+    ELSE CAST(CAST(floor(m * 10) * 10 AS BIGINT) AS VARCHAR) || 'cm' END AS label
+  FROM (SELECT c_custkey, abs(c_acctbal) / 100 AS m FROM customer)"""
+ORACLE["m3_wkt"] = sql(
+    f"""SELECT request_id, {wkt('xmin', 'ymin', 'xmax', 'ymax')} AS box,
+        'POINT (' || printf('%.6f', xmin) || ' ' || printf('%.6f', ymax) || ')' AS corner FROM boxes""",
+    "boxes",
+)
+ORACLE["m9_colour_channels"] = """SELECT CAST(red * 16777216 + green * 65536 + blue * 256 + alpha AS BIGINT) AS rgba, count(*) AS n,
+    CAST(red AS INTEGER) AS red, CAST(green AS INTEGER) AS green, CAST(blue AS INTEGER) AS blue, CAST(alpha AS INTEGER) AS alpha
+  FROM (SELECT l_orderkey % 256 AS red, l_orderkey * 3 % 256 AS green, l_orderkey * 5 % 256 AS blue, l_orderkey * 7 % 256 AS alpha
+    FROM lineitem) GROUP BY ALL"""
+ORACLE["s18_read_tile"] = sql(
+    f"""SELECT CAST(i AS INTEGER) AS at, CAST(coalesce(max(CASE WHEN r = 48 + i // 16 AND c = 16 + i % 16 THEN {RED} END), 0) AS BIGINT) AS rgba
+      FROM p4, range(0, 256) t(i) WHERE r // 16 = 3 AND c // 16 = 1 GROUP BY i""",
+    "dem",
+    low="SELECT r, c, z - 900 AS z FROM dem",
+    **pyramid_levels("low", 5, 2),
+)

@@ -7,10 +7,10 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions import geo, text
+from ridgeline.functions import colour, geo, text
 from ridgeline.model import Layout, grid_to_map, map_to_grid
 from ridgeline.operators import blocks, focal, grid, joins, local, regions, render, stats, surface, vector, visibility
-from ridgeline.plans import layers, products
+from ridgeline.plans import layers, products, stored
 from ridgeline.session import ship
 from ridgeline.sources import catalog, requests
 from workloads import rasters as ras
@@ -689,3 +689,98 @@ def v6_cumulative(spark, d):
         _observers(spark, d), ras.dem(spark, d), ras.layout(spark, d), 8, observer_height=3.0, target_height=2.0
     )
     return visibility.cumulative(seen).select("row", "col", "visible")
+
+
+@query
+def j3_cells_near_points(spark, d):
+    """Distance in cells, squared, from each cell to the nearest point within three cells."""
+    near = vector.cells_around(ras.points(spark, d), ras.layout(spark, d), 600.0)
+    return near.groupBy("row", "col").agg(F.min("d2").cast("int").alias("d2"))
+
+
+# Layers stored as blocks
+
+
+def _stored(spark, d):
+    return blocks.to_blocks(ras.dem_gaps(spark, d), ras.layout(spark, d))
+
+
+@query
+def f5_slope_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    return rounded(blocks.to_cells(stored.slope(_stored(spark, d), lay), lay))
+
+
+@query
+def f3_focal_mean_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    found = stored.square_stats(_stored(spark, d), lay, 2)
+    mean = found.withColumn("cells", F.zip_with("vsum", "vcount", F.try_divide))
+    return rounded(blocks.to_cells(mean, lay))
+
+
+@query
+def f4_focal_sum_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    return whole(blocks.to_cells(stored.focal_sum(_stored(spark, d), lay, RADIUS), lay))
+
+
+@query
+def c1_tpi_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    return rounded(blocks.to_cells(stored.positions(_stored(spark, d), lay, 2), lay, "tpi"))
+
+
+@query
+def c6_suitability_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    return whole(blocks.to_cells(stored.suitability(_stored(spark, d), lay, DIAMETER, rings=RINGS, decimals=4), lay))
+
+
+@query
+def l3_hover_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    bare = blocks.to_blocks(ras.dem(spark, d), lay)
+    first = blocks.to_blocks(ras.first_return(spark, d), lay)
+    height = lambda b, f: F.when(f - b > 1, f - b).when((f - b).isNotNull(), 0.0)
+    return whole(blocks.to_cells(blocks.combine(bare, first, height), lay))
+
+
+# Scalar functions
+
+
+@query
+def m1_haversine(spark, d):
+    metres = geo.haversine(*[F.col(c) for c in joins.BOX])
+    return ras.request_boxes(spark, d).select("request_id", r4(metres).alias("metres"))
+
+
+@query
+def m2_resolution_label(spark, d):
+    """Labels of account balances taken as centimetres."""
+    metres = F.abs(F.col("c_acctbal")) / 100
+    return ras.table(spark, d, "customer").select("c_custkey", geo.resolution_label(metres).alias("label"))
+
+
+@query
+def m3_wkt(spark, d):
+    box = [F.col(c) for c in joins.BOX]
+    return ras.request_boxes(spark, d).select("request_id", text.box_wkt(*box).alias("box"), text.point_wkt(box[0], box[3]).alias("corner"))
+
+
+@query
+def m9_colour_channels(spark, d):
+    """Colours packed from four columns and taken apart again."""
+    part = lambda k: F.pmod(F.col("l_orderkey") * k, F.lit(256)).cast("int")
+    packed = colour.pack(part(1), part(3), part(5), part(7))
+    one = ras.table(spark, d, "lineitem").select(packed.alias("rgba")).groupBy("rgba").agg(F.count("*").alias("n"))
+    return one.select("rgba", "n", colour.channels(F.col("rgba")).alias("ch")).select("rgba", "n", "ch.*")
+
+
+@query
+def s18_read_tile(spark, d):
+    """The cells of one picture tile; job, zoom and address prune the stored tiles."""
+    cells = ras.dem(spark, d).withColumn("value", F.col("value") - 900)
+    painted = render.colorize(grid.pyramid(cells, 5, 2, "nearest", 16), "hover")
+    tiles = render.picture_tiles(painted, "job", 16).where("job_id = 'job' AND z = 4 AND x = 1 AND y = 3")
+    return tiles.select(F.posexplode("rgba").alias("at", "rgba"))
