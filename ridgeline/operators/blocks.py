@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.model import BLOCK_SCHEMA, Layout
-from ridgeline.operators.neighbours import evaluate, per_block
+from ridgeline.operators.neighbours import evaluate, gather, map_blocks, per_block, square_of
 
 BLOCK_KEY = ["layer", "brow", "bcol"]
 
@@ -51,17 +51,12 @@ def to_blocks(cells: DataFrame, layout: Layout) -> DataFrame:
     """Gather cells into blocks (one shuffle on the block key)."""
     t = layout.tile_size
 
-    def run(key, table):
-        layer, brow, bcol = (k.as_py() for k in key)
-        flat = np.full(t * t, np.nan)
-        at = (table.column("row").to_numpy() - brow * t) * t + table.column("col").to_numpy() - bcol * t
-        flat[at] = table.column("value").cast(pa.float64()).to_numpy()
-        return _pack([(layer, brow, bcol, flat)], BLOCK_SCHEMA)
+    def run(brow, bcol, at, values):
+        return {"cells": square_of(at, values["value"], t).ravel()}
 
-    addressed = cells.select(
-        "layer", F.expr(f"row div {t}").alias("brow"), F.expr(f"col div {t}").alias("bcol"), "row", "col", "value"
-    )
-    return addressed.groupBy(*BLOCK_KEY).applyInArrow(run, BLOCK_SCHEMA)
+    placed = cells.withColumns({"brow": F.expr(f"row div {t}"), "bcol": F.expr(f"col div {t}")})
+    field = T.StructField("cells", T.DoubleType())
+    return map_blocks(gather(placed, t, 0, t, ["value"]), ["value"], run, [field])
 
 
 def to_cells(blocks: DataFrame, layout: Layout, column: str = "cells") -> DataFrame:
@@ -154,6 +149,7 @@ def focal(
         return _pack([(layer, brow, bcol, *(np.where(mask, found[n], np.nan).ravel() for n in names))], schema)
 
     pieces = blocks.select(*BLOCK_KEY, "cells").mapInArrow(cut, strips)
+    # At most nine pieces per block.
     return pieces.groupBy(*BLOCK_KEY).applyInArrow(run, schema)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.functions import geo
 from ridgeline.model import CELL_KEY, CELL_SCHEMA, Layout
+from ridgeline.operators.neighbours import gather, map_blocks, spread_arrays, square_of
 
 # Half the Web Mercator world, and its cell size at zoom 0 with 256-cell tiles.
 MERCATOR_HALF = 20037508.342789244
@@ -109,7 +110,6 @@ def resample(cells: DataFrame, source: Layout, target: Layout, method: str = "bi
         .withColumn("brow", F.explode(span("row")))
         .withColumn("bcol", F.explode(span("col")))
     )
-    arrow_schema = pa.schema([("layer", pa.string()), ("row", pa.int64()), ("col", pa.int64()), ("value", pa.float64())])
 
     def positions(block, to_target, to_source, s0, s_step, t0, t_step, t_size):
         """Target indexes whose source position falls in the block, and those positions."""
@@ -120,14 +120,10 @@ def resample(cells: DataFrame, source: Layout, target: Layout, method: str = "bi
         mine = np.floor(np.floor(at) / t) == block
         return index[mine], at[mine]
 
-    def run(key, table):
-        layer, brow, bcol = (k.as_py() for k in key)
+    def run(brow, bcol, at, values):
         rows, fr = positions(brow, into_y, back_y, source.y0, -source.cell_h, target.y0, -target.cell_h, target.rows)
         cols, fc = positions(bcol, into_x, back_x, source.x0, source.cell_w, target.x0, target.cell_w, target.cols)
-        grid = np.full((t + 1, t + 1), np.nan)
-        grid[table.column("row").to_numpy() - brow * t, table.column("col").to_numpy() - bcol * t] = (
-            table.column("value").to_numpy()
-        )
+        grid = square_of(at, values["value"], t + 1)
         r, c = np.floor(fr), np.floor(fc)
         dr, dc = (fr - r)[:, None], (fc - c)[None, :]
         r, c = r.astype(np.int64) - brow * t, c.astype(np.int64) - bcol * t
@@ -144,12 +140,10 @@ def resample(cells: DataFrame, source: Layout, target: Layout, method: str = "bi
             with np.errstate(invalid="ignore", divide="ignore"):
                 value = np.where(weight > 0, total / weight, np.nan)
         i, j = np.nonzero(~np.isnan(value))
-        name = pa.array([layer], pa.string()).take(pa.array(np.zeros(i.size, dtype=np.int64)))
-        return pa.Table.from_arrays(
-            [name, pa.array(rows[i]), pa.array(cols[j]), pa.array(value[i, j])], schema=arrow_schema
-        )
+        return {"row": rows[i], "col": cols[j], "value": value[i, j]}
 
-    return given.groupBy("layer", "brow", "bcol").applyInArrow(run, CELL_SCHEMA)
+    mapped = map_blocks(gather(given, t, 0, t + 1, ["value"]), ["value"], run, CELL_SCHEMA.fields[1:])
+    return spread_arrays(mapped, ["row", "col", "value"])
 
 
 def reproject(cells: DataFrame, source: Layout, crs: int, method: str = "bilinear", target: Layout | None = None):
@@ -224,36 +218,53 @@ def pyramid(cells: DataFrame, base_zoom: int, end_zoom: int = 0, method: str = "
     """All zoom levels from ``base_zoom`` up, cells halved in each direction per level.
 
     ``nearest`` keeps the first known child in row-major order, ``average`` the mean of the known
-    base cells. Cells are exchanged once per ``log2(tile_size)`` levels: a parent lies in the same
-    tile as its children, so the levels in between aggregate where the cells already are.
+    base cells. A parent lies in the same block of ``tile_size`` cells as its children, so one
+    exchange serves ``log2(tile_size)`` levels: each block computes all of them at once. The few
+    cells left on the last of these levels go on to the next exchange.
     """
     if method not in ("nearest", "average"):
         raise ValueError(f"unknown method: {method}")
+    kind = cells.schema["value"].dataType if method == "nearest" else T.DoubleType()
     steps = max(1, int(math.log2(tile_size)))
-    start = cells.where("value IS NOT NULL").select(
-        "layer", "row", "col", F.col("value").alias("a"), F.lit(1).cast("long").alias("k")
-    )
-    if method == "average":
-        start = start.withColumn("a", F.col("a").cast("double"))
-    key = ["block", "layer", "trow", "tcol"]
-    levels, current = [(base_zoom, start)], start
-    for depth, zoom in enumerate(range(base_zoom - 1, end_zoom - 1, -1)):
-        if depth % steps == 0:
-            side = 2**steps
-            tiled = current.select(
-                "layer", F.expr(f"row div {side}").alias("trow"), F.expr(f"col div {side}").alias("tcol"), "row", "col", "a", "k"
-            )
-            current = tiled.withColumn("block", F.xxhash64("layer", "trow", "tcol")).repartition("block")
-        parents = current.groupBy(*key, F.expr("row div 2").alias("prow"), F.expr("col div 2").alias("pcol"))
-        # The child's place among its siblings is one small number, so the aggregate stays hashed.
-        value = F.min_by("a", F.expr("(row % 2) * 2 + col % 2")) if method == "nearest" else F.sum("a")
-        current = parents.agg(value.alias("a"), F.sum("k").alias("k")).select(
-            *key, F.col("prow").alias("row"), F.col("pcol").alias("col"), "a", "k"
-        )
-        levels.append((zoom, current))
-    value = F.col("a") if method == "nearest" else F.try_divide(F.col("a"), F.col("k"))
-    out = None
-    for zoom, level in levels:
-        part = level.select(F.lit(zoom).alias("z"), "layer", "row", "col", value.alias("value"))
-        out = part if out is None else out.unionByName(part)
+    base = cells.where("value IS NOT NULL").select(F.lit(base_zoom).alias("z"), "layer", "row", "col", "value")
+    current = base.select("layer", "row", "col", F.col("value").cast("double").alias("a"), F.lit(1.0).alias("k"))
+    out = base.withColumn("value", F.col("value").cast(kind))
+    zoom = base_zoom
+    while zoom > end_zoom:
+        depth = min(steps, zoom - end_zoom)
+        levels = _block_levels(current, zoom, depth, method)
+        value = F.col("a") if method == "nearest" else F.try_divide("a", "k")
+        out = out.unionByName(levels.select("z", "layer", "row", "col", value.cast(kind).alias("value")))
+        zoom -= depth
+        current = levels.where(F.col("z") == zoom).select("layer", "row", "col", "a", "k")
     return out
+
+
+def _block_levels(cells: DataFrame, zoom: int, depth: int, method: str) -> DataFrame:
+    """The ``depth`` levels above ``zoom``: ``z, layer, row, col, a, k`` (value or sum, and count)."""
+    side = 2**depth
+
+    def run(brow, bcol, at, values):
+        a = square_of(at, values["a"], side)
+        k = np.nan_to_num(square_of(at, values["k"], side))
+        parts = []
+        for up in range(1, depth + 1):
+            children = [(a[i::2, j::2], k[i::2, j::2]) for i in (0, 1) for j in (0, 1)]
+            k = sum(n for _, n in children)
+            if method == "nearest":
+                a = children[0][0]
+                for child, _ in children[1:]:
+                    a = np.where(np.isnan(a), child, a)
+            else:
+                a = np.where(k > 0, sum(np.where(np.isnan(v), 0.0, v) for v, _ in children), np.nan)
+            i, j = np.nonzero(k > 0)
+            size = side >> up
+            level = np.full(i.size, zoom - up)
+            parts.append({"z": level, "row": i + brow * size, "col": j + bcol * size, "a": a[i, j], "k": k[i, j]})
+        return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+
+    fields = [T.StructField("z", T.IntegerType())] + CELL_SCHEMA.fields[1:3]
+    fields += [T.StructField("a", T.DoubleType()), T.StructField("k", T.DoubleType())]
+    placed = cells.withColumns({"brow": F.expr(f"row div {side}"), "bcol": F.expr(f"col div {side}")})
+    mapped = map_blocks(gather(placed, side, 0, side, ["a", "k"]), ["a", "k"], run, fields)
+    return spread_arrays(mapped, ["z", "row", "col", "a", "k"])

@@ -38,10 +38,59 @@ def halo_copies(cells: DataFrame, layout: Layout, halo: int) -> DataFrame:
     )
 
 
-def _spread(table: pa.Table, name: str, r, c, shape) -> np.ndarray:
-    out = np.full(shape, np.nan)
-    out[r, c] = table.column(name).cast(pa.float64()).to_numpy()
-    return out
+def gather(cells: DataFrame, side: int, lead: int, width: int, inputs: Sequence[str]) -> DataFrame:
+    """One row per block: the places ``at`` of its cells in the padded square, and their values.
+
+    The JVM builds the arrays; handing Python rows of arrays costs a third of handing it rows of
+    cells. A task holds at most ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold`` (128)
+    open blocks before it sorts and spills, so its memory is bounded by the tile size.
+    """
+    at = f"cast((row - brow * {side} + {lead}) * {width} + col - bcol * {side} + {lead} as int)"
+    known = [F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))).alias(n) for n in inputs]
+    return (
+        cells.select("layer", "brow", "bcol", F.expr(at).alias("at"), *known)
+        .groupBy("layer", "brow", "bcol")
+        .agg(*[F.collect_list(n).alias(n) for n in ("at", *inputs)])
+    )
+
+
+def map_blocks(gathered: DataFrame, inputs: Sequence[str], run, fields: Sequence[T.StructField]) -> DataFrame:
+    """Call ``run(brow, bcol, at, values)`` per gathered block; it returns equally long arrays.
+
+    The result has one row per block: its key and one array column per field.
+    """
+    arrow = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64()}
+    kinds = [(f.name, arrow[type(f.dataType)]) for f in fields]
+    key = [("layer", T.StringType()), ("brow", T.LongType()), ("bcol", T.LongType())]
+    schema = T.StructType(
+        [T.StructField(n, k) for n, k in key] + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]
+    )
+    given = list(inputs)
+
+    def call(batches):
+        for batch in batches:
+            offsets = batch.column("at").offsets.to_numpy()
+            start = offsets[0]
+            flat = {n: batch.column(n).flatten().to_numpy() for n in ("at", *given)}
+            brows, bcols = batch.column("brow").to_pylist(), batch.column("bcol").to_pylist()
+            for i in range(batch.num_rows):
+                part = slice(offsets[i] - start, offsets[i + 1] - start)
+                found = run(brows[i], bcols[i], flat["at"][part], {n: flat[n][part] for n in given})
+                lists = []
+                for name, kind in kinds:
+                    values = pa.array(found[name], kind, from_pandas=True)
+                    lists.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+                head = [batch.column(n).slice(i, 1) for n, _ in key]
+                yield pa.RecordBatch.from_arrays(head + lists, names=schema.names)
+
+    return gathered.mapInArrow(call, schema)
+
+
+def spread_arrays(blocks: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per array element: the layer and the named columns. In generated code, no shuffle."""
+    first, rest = names[0], list(names[1:])
+    rows = blocks.select("layer", F.posexplode(first).alias("i_", first), *rest)
+    return rows.select("layer", first, *[F.get(n, F.col("i_")).alias(n) for n in rest])
 
 
 def evaluate(layout, halo, kernel, arrays, row0, col0, keep, first_input, first_output):
@@ -78,35 +127,25 @@ def per_block(
     ``"filled"`` those whose first output is known, ``"all"`` every cell of the raster.
     """
     t = layout.tile_size
-    shape = (t + 2 * halo, t + 2 * halo)
+    width = t + 2 * halo
     names, given = list(outputs), list(inputs)
-    arrow_schema = pa.schema(
-        [("layer", pa.string()), ("row", pa.int64()), ("col", pa.int64())]
-        + [(n, pa.float64()) for n in names]
-    )
-    schema = T.StructType(
-        [
-            T.StructField("layer", T.StringType()),
-            T.StructField("row", T.LongType()),
-            T.StructField("col", T.LongType()),
-        ]
-        + [T.StructField(n, T.DoubleType()) for n in names]
-    )
 
-    def run(key, table):
-        layer, brow, bcol = (k.as_py() for k in key)
+    def run(brow, bcol, at, values):
         row0, col0 = brow * t, bcol * t
-        r = table.column("row").to_numpy() - (row0 - halo)
-        c = table.column("col").to_numpy() - (col0 - halo)
-        arrays = {n: _spread(table, n, r, c, shape) for n in given}
+        arrays = {n: square_of(at, values[n], width) for n in given}
         found, mask = evaluate(layout, halo, kernel, arrays, row0, col0, keep, given[0], names[0])
-        rr, cc = np.nonzero(mask)
-        columns = [
-            pa.array([layer], pa.string()).take(pa.array(np.zeros(rr.size, dtype=np.int64))),
-            pa.array(rr + row0),
-            pa.array(cc + col0),
-        ] + [pa.array(found[n][rr, cc], from_pandas=True) for n in names]
-        return pa.Table.from_arrays(columns, schema=arrow_schema)
+        r, c = np.nonzero(mask)
+        return {"row": r + row0, "col": c + col0, **{n: found[n][r, c] for n in names}}
 
+    fields = [T.StructField("row", T.LongType()), T.StructField("col", T.LongType())]
+    fields += [T.StructField(n, T.DoubleType()) for n in names]
     padded = halo_copies(cells.select("layer", "row", "col", *given), layout, halo)
-    return padded.groupBy("layer", "brow", "bcol").applyInArrow(run, schema)
+    mapped = map_blocks(gather(padded, t, halo, width, given), given, run, fields)
+    return spread_arrays(mapped, ["row", "col", *names])
+
+
+def square_of(at: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """The padded square of a block; NaN where nothing is known."""
+    out = np.full(width * width, np.nan)
+    out[at] = values
+    return out.reshape(width, width)

@@ -50,10 +50,10 @@ def resolution_label(layout: Layout) -> str:
 def write_layer(cells: DataFrame, layout: Layout, root: str, kind: str, resolution: str) -> DataFrame:
     """Store a layer as blocks under ``type=/resolution=``; returns its catalog document.
 
-    Blocks leave the gathering step sorted by address, so readers of a region prune row groups.
+    Blocks are sorted by address within each file, so readers of a region prune row groups.
     """
     blocks = to_blocks(cells, layout).withColumns({"type": F.lit(kind), "resolution": F.lit(resolution)})
-    blocks.write.mode("append").partitionBy("type", "resolution").parquet(root)
+    blocks.sortWithinPartitions("layer", "brow", "bcol").write.mode("append").partitionBy("type", "resolution").parquet(root)
     spark = cells.sparkSession
     name = spark.range(1).select(F.concat(text.random_id(), F.lit(".tif")).alias("name"))
     return name.select(scene_document(kind, F.col("name"), F.lit(resolution), *map(F.lit, layout.extent)).alias("d")).select("d.*")
