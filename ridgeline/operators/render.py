@@ -56,6 +56,7 @@ def picture_tiles(painted: DataFrame, job_id: str, tile_size: int = 256) -> Data
     ``painted`` has ``z, row, col, rgba`` on world-wide zoom grids.
     """
     t = tile_size
+    step = max(1, 2**22 // (t * t))
     placed = painted.where("rgba IS NOT NULL").select(
         "z",
         F.expr(f"col div {t}").alias("x"),
@@ -72,14 +73,18 @@ def picture_tiles(painted: DataFrame, job_id: str, tile_size: int = 256) -> Data
         ]
     )
 
-    def fill(key, table):
-        picture = np.zeros(t * t, dtype=np.int64)
-        picture[table.column("at").to_numpy()] = table.column("rgba").to_numpy()
-        cells = pa.ListArray.from_arrays(pa.array([0, t * t], pa.int32()), pa.array(picture))
-        z, x, y = (k.as_py() for k in key)
-        columns = [pa.array([z], pa.int32()), pa.array([x], pa.int64()), pa.array([y], pa.int64()), cells]
-        return pa.Table.from_arrays(columns, names=schema.names)
+    def fill(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                at, colours = (batch.column(n).flatten().to_numpy() for n in ("at", "rgba"))
+                sizes = np.diff(batch.column("at").offsets.to_numpy())
+                pictures = np.zeros((batch.num_rows, t * t), dtype=np.int64)
+                pictures[np.repeat(np.arange(batch.num_rows), sizes), at] = colours
+                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (t * t))
+                cells = pa.ListArray.from_arrays(ends, pa.array(pictures.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("z", "x", "y")] + [cells], names=schema.names)
 
-    # A tile has at most tile_size^2 cells.
-    tiles = placed.groupBy("z", "x", "y").applyInArrow(fill, schema)
-    return tiles.select(F.lit(job_id).alias("job_id"), "z", "x", "y", "rgba")
+    # A tile has at most tile_size^2 cells; tiles are filled some four million colours at a time.
+    tiles = placed.groupBy("z", "x", "y").agg(F.collect_list("at").alias("at"), F.collect_list("rgba").alias("rgba"))
+    return tiles.mapInArrow(fill, schema).select(F.lit(job_id).alias("job_id"), "z", "x", "y", "rgba")
