@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
+def salted(small: DataFrame, salts: int = 16) -> DataFrame:
+    """The small side of a join, once per salt (column ``salt_``)."""
+    return small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def with_salt(large: DataFrame, *columns: str, salts: int = 16) -> DataFrame:
+    """The large side: a salt from columns that vary under one key, so a hot key is many tasks."""
+    return large.withColumn("salt_", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
+
+
 def overlap_join(
     requests: DataFrame,
     scenes: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.grid import with_tiles
+from ridgeline.operators.joins import salted, with_salt
 
 
 def histogram(cells: DataFrame, by: Sequence[str] = ("layer",)) -> DataFrame:
@@ -73,10 +74,11 @@ def _narrowed_breaks(hist: DataFrame, k: int, by: list[str]) -> DataFrame:
     chosen = ranks.groupBy(*by, "b1").agg(
         F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.collect_list(F.struct("i", "rest")).alias("ranks")
     )
-    # k rows per layer meet the histogram: AQE turns this into a broadcast when it is small.
+    # At most k rows per layer meet the histogram; one bucket may hold much of it, so it is salted.
     width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / 4096
     fine = F.when(width > 0, F.floor((v - F.col("lo").cast("double")) / width)).otherwise(F.lit(0))
-    inside = level1.join(chosen.select(*by, "b1", "lo", "hi"), [*by, "b1"]).select(*by, "b1", "value", "n", fine.alias("b2"))
+    picked = with_salt(level1, "value").join(salted(chosen.select(*by, "b1", "lo", "hi")), [*by, "b1", "salt_"])
+    inside = picked.select(*by, "b1", "value", "n", fine.alias("b2"))
     slices = inside.groupBy(*by, "b1", "b2").agg(F.sum("n").alias("n"))
     slices = slices.withColumn("cum", F.sum("n").over(Window.partitionBy(*by, "b1").orderBy("b2")))
     placed = (
@@ -85,7 +87,7 @@ def _narrowed_breaks(hist: DataFrame, k: int, by: list[str]) -> DataFrame:
         .select(*by, "b1", "b2", F.col("r.i").alias("i"), (F.col("r.rest") - F.col("cum") + F.col("n")).alias("rest"))
     )
     wanted = placed.groupBy(*by, "b1", "b2").agg(F.collect_list(F.struct("i", "rest")).alias("ranks"))
-    last = inside.join(wanted, [*by, "b1", "b2"])
+    last = with_salt(inside, "value").join(salted(wanted), [*by, "b1", "b2", "salt_"])
     last = last.withColumn("cum", F.sum("n").over(Window.partitionBy(*by, "b1", "b2").orderBy("value")))
     return (
         last.withColumn("r", F.explode("ranks"))

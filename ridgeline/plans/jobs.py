@@ -94,7 +94,7 @@ def run_analytic(
     if command.box is None:
         raise ValueError("an analytic request needs a box")
     chosen = catalog.job_scenes(scene_table, command.kind, *command.box).select("scene_id")
-    readings = scene_cells.join(chosen, "scene_id", "left_semi").select(
+    readings = scenes.cells_of(scene_cells, chosen).select(
         F.lit(command.job_id).alias("layer"), "row", "col", "value", F.col("scene_id").alias("scene_rank")
     )
     source = grid.mosaic(readings)

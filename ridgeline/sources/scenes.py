@@ -11,6 +11,7 @@ from ridgeline.functions import geo, text
 from ridgeline.model import BLOCK_SCHEMA, CELL_SCHEMA, Layout
 from ridgeline.operators.blocks import to_blocks, to_cells
 from ridgeline.operators.grid import reproject
+from ridgeline.operators.joins import salted, with_salt
 from ridgeline.sources.catalog import scene_document
 
 
@@ -27,6 +28,15 @@ def read_blocks(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
     return spark.read.schema(BLOCK_SCHEMA).parquet(*uris)
 
 
+def cells_of(scene_cells: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Cells of the chosen scenes (``scene_id, row, col, ...``).
+
+    The list is joined, not collected; one scene may hold much of the cells, so its key is salted.
+    """
+    wanted = salted(chosen.select("scene_id"))
+    return with_salt(scene_cells, "row", "col").join(wanted, ["scene_id", "salt_"], "left_semi").drop("salt_")
+
+
 def read_layer(spark: SparkSession, root: str, kind: str, layout: Layout, resolution: str | None = None) -> DataFrame:
     """Cells of a stored layer; the folder names prune the scan."""
     stored = spark.read.parquet(root).where(F.col("type") == kind)

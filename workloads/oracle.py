@@ -155,8 +155,12 @@ ORACLE["s6_uri_split"] = sql(
     f"SELECT scene_id, {SPLIT}, replace(replace(split_part(uri, '/', -1), '.tif', ''), '.TIF', '') AS stem FROM scenes", "scenes"
 )
 ORACLE["s7_scene_files"] = sql("SELECT type, count(*) AS n FROM scenes WHERE uri ILIKE '%.tif%' GROUP BY type", "scenes")
-ORACLE["s11_missing_scenes"] = sql("SELECT scene_id FROM scenes WHERE scene_id % 3 = 0", "scenes")
-ORACLE["s11_present_scenes"] = sql("SELECT scene_id FROM scenes WHERE scene_id % 3 <> 0", "scenes")
+ORACLE["s11_missing_scenes"] = sql(
+    "SELECT scene_id FROM scenes WHERE scene_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)", "scenes"
+)
+ORACLE["s11_present_scenes"] = sql(
+    "SELECT scene_id FROM scenes WHERE scene_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)", "scenes"
+)
 ORACLE["s12_load_scenes"] = sql(
     """SELECT l_suppkey AS scene_id, count(*) AS n, min(CAST(floor(l_extendedprice) AS BIGINT)) AS zmin,
         max(CAST(floor(l_extendedprice) AS BIGINT)) AS zmax FROM lineitem

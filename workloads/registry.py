@@ -12,7 +12,7 @@ from ridgeline.model import Layout, grid_to_map, map_to_grid
 from ridgeline.operators import blocks, focal, grid, joins, local, regions, render, stats, surface, vector, visibility
 from ridgeline.plans import layers, products, stored
 from ridgeline.session import ship
-from ridgeline.sources import catalog, requests
+from ridgeline.sources import catalog, requests, scenes
 from workloads import rasters as ras
 
 QUERIES = {}
@@ -98,17 +98,23 @@ def s10_inventory(spark, d):
     return files.select(text.file_stem(F.col("path")).alias("name"), "length")
 
 
+def _held(spark, d, wanted):
+    """The inventory: scenes of suppliers whose balance is not negative."""
+    good = ras.table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("scene_id"))
+    return wanted.join(good, "scene_id").select("uri")
+
+
 @query
 def s11_missing_scenes(spark, d):
     wanted = ras.scenes(spark, d).select("scene_id", "uri")
-    held = wanted.where("scene_id % 3 <> 0")
+    held = _held(spark, d, wanted)
     return joins.missing(wanted, held, "uri").select("scene_id")
 
 
 @query
 def s11_present_scenes(spark, d):
     wanted = ras.scenes(spark, d).select("scene_id", "uri")
-    held = wanted.where("scene_id % 3 <> 0")
+    held = _held(spark, d, wanted)
     return joins.present(wanted, held, "uri").select("scene_id")
 
 
@@ -117,10 +123,13 @@ def s12_load_scenes(spark, d):
     """Cells of the scenes a job reads; a line item is a cell of its supplier's scene."""
     chosen = catalog.job_scenes(ras.scenes(spark, d), "hover", -78.0, 36.0, -77.0, 37.0).select("scene_id")
     cells = ras.table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("scene_id"), F.floor("l_extendedprice").cast("long").alias("value")
+        F.col("l_suppkey").alias("scene_id"),
+        F.col("l_orderkey").alias("row"),
+        F.col("l_partkey").alias("col"),
+        F.floor("l_extendedprice").cast("long").alias("value"),
     )
     return (
-        cells.join(chosen, "scene_id", "left_semi")
+        scenes.cells_of(cells, chosen)
         .groupBy("scene_id")
         .agg(F.count("*").alias("n"), F.min("value").alias("zmin"), F.max("value").alias("zmax"))
     )
