@@ -37,3 +37,28 @@ def op2_best_fit_packing(spark, d):
     from ridgeline.llm import packing
 
     return packing.pack(table(spark, d, "documents"), tokenizer(), capacity=2048)
+
+
+@query
+def op3_quality_trees(spark, d):
+    from ridgeline.llm import quality
+
+    out = quality.assess(table(spark, d, "documents"), table(spark, d, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good")
+
+
+@query
+def op5_language_ftrl(spark, d):
+    from ridgeline.llm import langid
+    from ridgeline.llm.common import crc_fold
+
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    found = langid.identify(table(spark, d, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_toxicity_ordinal(spark, d):
+    from ridgeline.llm import toxicity
+
+    return toxicity.assess(table(spark, d, "documents"), table(spark, d, "labels"))
