@@ -62,3 +62,10 @@ def op6_toxicity_ordinal(spark, d):
     from ridgeline.llm import toxicity
 
     return toxicity.assess(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op10_minhash_components(spark, d):
+    from ridgeline.llm import minhash
+
+    return minhash.deduplicate(table(spark, d, "documents"), percent=85)
