@@ -69,25 +69,25 @@ def document_frequencies(training: DataFrame, slots: int = SLOTS) -> tuple[np.nd
 
 
 def sample_features(training: DataFrame, idf: np.ndarray, per_lang: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, slots, weights) of about ``per_lang`` documents a language at most, drawn by a hash of their text."""
+    """(lang, slots, weights) of about ``per_lang`` documents a language at most, drawn by a hash of their id (which serves for nothing else)."""
     sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}  # a row a language
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     rate = F.lit(0)
     for lang, n in sorted(sizes.items()):
         rate = F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, per_lang / n)))).otherwise(rate)
     slots = len(idf)
-    fields = "lang string, slot array<int>, weight array<double>, mark long"
+    fields = "lang string, slot binary, weight binary, mark long"  # arrays as bytes: a collected list is many times larger
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, some in texts(batches):
             found = [np.unique(grams(t, slots), return_counts=True) for t in some]
-            weights = [n / n.sum() * idf[s] for s, n in found]
-            yield record(arrow_schema(fields), lang=chunk.column("lang"), slot=[s for s, _ in found], weight=weights, mark=chunk.column("mark"))
+            weights = [(n / n.sum() * idf[s]).astype(np.float32).tobytes() for s, n in found]
+            yield record(arrow_schema(fields), lang=chunk.column("lang"), slot=[s.tobytes() for s, _ in found], weight=weights, mark=chunk.column("mark"))
 
-    drawn = training.where(draw < rate).select("lang", "text", F.xxhash64("text", F.lit(7)).alias("mark"))
+    drawn = training.where(draw < rate).select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("mark"))
     rows = drawn.mapInArrow(weigh, fields).collect()
     rows.sort(key=lambda r: (r["mark"], r["lang"]))
-    return [(r["lang"], np.asarray(r["slot"]), np.asarray(r["weight"])) for r in rows]
+    return [(r["lang"], np.frombuffer(r["slot"], np.int32), np.frombuffer(r["weight"], np.float32).astype(float)) for r in rows]
 
 
 @dataclass
@@ -176,9 +176,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, fields)
 
 
-def fit(training: DataFrame, per_lang: int = 1500, slots: int = SLOTS, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(training: DataFrame, per_lang: int = 1000, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from all document frequencies and about ``per_lang`` documents of each language at most; None without any."""
-    known = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
+    known = training.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna(subset=["text", "lang"])
     df, total = document_frequencies(known, slots)
     if not total:
         return None
@@ -186,6 +186,6 @@ def fit(training: DataFrame, per_lang: int = 1500, slots: int = SLOTS, text_col:
     return train(sample_features(known, idf, per_lang), idf)
 
 
-def identify(docs: DataFrame, learn_from: Column, per_lang: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, learn_from: Column, per_lang: int = 1000) -> DataFrame:
     """Predictions for all documents by a model learned from those where ``learn_from`` holds."""
     return predict(docs, fit(docs.where(learn_from), per_lang))
