@@ -69,3 +69,22 @@ def op10_minhash_components(spark, d):
     from ridgeline.llm import minhash
 
     return minhash.deduplicate(table(spark, d, "documents"), percent=85)
+
+
+#: Target weights of the sources, in the order of their numbers; any other source has OTHER_WEIGHT.
+WEIGHTS = {f"src{k}": float(1 + k % 5) for k in range(20)}
+OTHER_WEIGHT = 1.0
+
+
+@query
+def op7_poisson_mix(spark, d):
+    from ridgeline.llm import mixing
+
+    return mixing.mix(table(spark, d, "documents"), WEIGHTS, OTHER_WEIGHT)
+
+
+@query
+def op9_line_dedup(spark, d):
+    from ridgeline.llm import lines
+
+    return lines.deduplicate(table(spark, d, "documents"), percent=80).select("doc_id", "text", "n_lines", "n_removed")
