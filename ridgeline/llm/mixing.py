@@ -81,6 +81,6 @@ p AS (SELECT mix_group, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
       FROM (SELECT mix_group, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k FROM r WHERE rate > 0)),
 c AS (SELECT mix_group, list(c ORDER BY k) AS below FROM (SELECT mix_group, k, sum(p) OVER (PARTITION BY mix_group ORDER BY k) AS c FROM p) GROUP BY 1),
 t AS (SELECT d.*, rate, {bits(f"concat_ws('|', doc_id, {seed})")} / 4503599627370496.0::DOUBLE AS u, below FROM d JOIN r USING (mix_group) JOIN c USING (mix_group)),
-x AS (SELECT *, unnest(range(1, 1 + len(list_filter(below, b -> b <= u)))) AS copy FROM t)
-SELECT {columns}, CAST(copy AS INTEGER) AS copy, rate, {bits(f"concat_ws('|', doc_id, copy, {seed})")} AS shuffle_key FROM x
+x AS (SELECT *, unnest(range(1, 1 + len(list_filter(below, lambda b: b <= u)))) AS copy FROM t)
+SELECT {columns}, CAST(copy AS INTEGER) AS copy, {bits(f"concat_ws('|', doc_id, copy, {seed})")} AS shuffle_key FROM x
 """

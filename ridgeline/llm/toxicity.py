@@ -71,6 +71,9 @@ class Ordinal:
     weights: dict[str, float]
     thresholds: np.ndarray
 
+    def score(self, text: str) -> float:
+        return sum(self.weights[f] for f in sorted(features(words(text)) & self.weights.keys()))
+
     def above(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each k."""
         return 1 / (1 + np.exp(-(np.asarray(scores, float)[:, None] - self.thresholds[None, :])))
@@ -153,14 +156,26 @@ def score(docs: DataFrame, model: Ordinal | None, reject: float = 0.5, id_col: s
             if model is None:
                 above = np.zeros((chunk.num_rows, 1))
             else:
-                known, weight = model.weights.keys(), model.weights
-                above = model.above([sum(weight[f] for f in sorted(features(words(t or "")) & known)) for t in chunk.column("text").to_pylist()])
+                above = model.above([model.score(t or "") for t in chunk.column("text").to_pylist()])
             each = -np.diff(np.column_stack([np.ones(len(above)), above, np.zeros(len(above))]), axis=1)
             yield record(schema, doc_id=chunk.column("doc_id"), severity=above.sum(1), grade=each.argmax(1).astype(np.int32), rejected=above[:, 0] >= reject)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rate, fields)
 
 
+def clean(docs: DataFrame, model: Ordinal | None, reject: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``score`` does not reject. Nothing is shuffled."""
+    if model is None:
+        return docs
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, text_col):
+            above = model.above([model.score(t or "") for t in chunk.column(text_col).to_pylist()])
+            yield chunk.filter(pa.array(above[:, 0] < reject))
+
+    return docs.mapInArrow(pick, docs.schema)
+
+
 def graded_sample(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = 8000) -> DataFrame:
     """``text, grade`` of about ``sample`` labelled documents at most, half of them of grade 0, drawn by a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna()
@@ -174,5 +189,8 @@ def graded_sample(docs: DataFrame, labels: DataFrame, grade: Column, sample: int
 
 def assess(docs: DataFrame, labels: DataFrame, sample: int = 8000, levels: int = 3, reject: float = 0.5) -> DataFrame:
     """Severity of every document, learned from labels ``doc_id, toxic``: grade 0 is clean, 1 to ``levels`` toxic."""
-    graded = kept(graded_sample(docs, labels, F.col("toxic"), sample))
-    return score(docs, fit(graded, levels=levels), reject)
+    return score(docs, learn(docs, labels, sample, levels), reject)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, levels: int = 3) -> Ordinal | None:
+    return fit(kept(graded_sample(docs, labels, F.col("toxic"), sample)), levels=levels)
