@@ -81,29 +81,42 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: keys of sets of which one may be similar enough to the other."""
     t = percent / 100
-    rows = sets.select("key", "n", "odd", "prefix").dropDuplicates(["key"]).where("n > 3")  # smaller sets would have to be equal
-    rows = rows.select("key", "n", "odd", F.posexplode("prefix").alias("at", "token"))
+    # written once: the two sides of the join then share one exchange, of rows packed into three numbers
+    one = kept(sets.select("key", "n", "odd", "prefix").dropDuplicates(["key"]).where("n > 3"))  # smaller sets would have to be equal
+    rows = one.select("key", "n", "odd", F.posexplode("prefix").alias("at", "token"))
+    pack = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
+    rows = rows.select("key", pack("token", "odd").alias("token_odd"), pack("n", "at").alias("n_at"))
     x, y = rows.alias("x"), rows.alias("y")
-    both = F.col("x.n") + F.col("y.n")
-    need = F.ceil(both * (t / (1 + t)) - 1e-9)
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    high = lambda c: F.shiftright(F.col(c), 32).cast("int")
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    nx, ny, ax, ay = high("x.n_at"), high("y.n_at"), low("x.n_at"), low("y.n_at")
+    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
     same = (
-        (F.col("x.token") == F.col("y.token"))
+        (high("x.token_odd") == high("y.token_odd"))
         & (F.col("x.key") < F.col("y.key"))
-        & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * t - 1e-9)
-        & (rest >= need - F.least("x.at", "y.at"))
-        & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= both - 2 * need)
+        & (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9)
+        & (F.least(nx - ax, ny - ay) >= need - F.least(ax, ay))
+        & (F.bit_count(low("x.token_odd").bitwiseXOR(low("y.token_odd"))) <= nx + ny - 2 * need)
     )
     return x.join(y.hint("merge"), same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
+def mark(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("int")
+
+
+def marked(marks: DataFrame) -> bytearray:
+    """A table of MARKS bytes with 1 at each ``mark``: a filter before a join, which stays exact."""
+    table = bytearray(MARKS)
+    for (at,) in marks.collect():
+        table[at] = 1
+    return table
+
+
 def repeated_sets(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``key`` of the sets whose first line comes after the first line of a similar set."""
-    marked = bytearray([0]) * MARKS
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    for row in ends.select(F.pmod("key", F.lit(MARKS)).cast("int").alias("mark")).distinct().collect():  # at most MARKS numbers
-        marked[row["mark"]] = 1
-    likely = lines.where(byte_at(marked, F.pmod("key", F.lit(MARKS))) == 1)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(mark(F.col("key")).alias("mark")).distinct()
+    likely = lines.where(byte_at(marked(ends), mark(F.col("key"))) == 1)
     first = likely.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "words")).alias("first"))
     one = first.select(F.col("key").alias("a"), F.col("first").alias("first_a"))
     two = first.select(F.col("key").alias("b"), F.col("first").alias("first_b"))
@@ -123,23 +136,36 @@ def kept_lines(sets: DataFrame, repeated: DataFrame) -> DataFrame:
     return bits.groupBy("doc_id", "word").agg(F.sum("bit").alias("bits")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
 
 
+def changed_documents(sets: DataFrame, stays: DataFrame) -> bytearray:
+    """Marks, by a hash of the id, of the documents that lose a line: at most MARKS numbers."""
+    had = sets.groupBy("doc_id").agg(F.count("line_no").alias("n"))
+    has = stays.select("doc_id", F.aggregate(F.map_values("bits"), F.lit(0), lambda a, b: a + F.bit_count(b)).alias("m"))
+    lose = had.join(has, "doc_id", "left").where("m is null or m < n").select(mark(F.col("doc_id")).alias("mark")).distinct()
+    return marked(lose)
+
+
 def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay as text, and n_lines (with a word) and n_removed of each document."""
+    """``docs`` with the lines that stay as text, and n_lines (with a word) and n_removed of each document.
+
+    Only documents that may lose a line meet their lines in a shuffle; the others pass as they are.
+    """
     lines = split_lines(docs, id_col, text_col)
     sets = coded(lines, rarities(lines), percent)
-    pairs = kept(candidates(sets, percent))
-    repeated = kept(repeated_sets(sets, pairs, percent))
-    stays = kept_lines(sets, repeated).withColumnRenamed("doc_id", "stays_id")
+    repeated = kept(repeated_sets(sets, kept(candidates(sets, percent)), percent))
+    stays = kept(kept_lines(sets, repeated))
+    changed = F.coalesce(byte_at(changed_documents(sets, stays), mark(F.col(id_col).cast("long"))) == 1, F.lit(True))
     own = [c for c in docs.columns if c not in ADDED]
-    joined = docs.select(*own).join(stays, F.col(id_col) == F.col("stays_id"), "left")
+    count = lambda c: F.greatest(F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), has_word)), F.lit(0)).cast("long")
     parts = F.split(F.col(text_col), "\n")
+    as_is = docs.where(~changed).select(*own, count(parts).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+
+    joined = docs.where(changed).select(*own).join(stays.withColumnRenamed("doc_id", "stays_id"), F.col(id_col) == F.col("stays_id"), "left")
     last = F.floor((F.size(parts) - 1) / 32).cast("int")
-    dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at("bits", w), F.lit(0).cast("long")))
-    joined = joined.withColumn("line_parts", parts).withColumn("line_bits", F.coalesce(F.when(F.col("bits").isNotNull(), dense), F.transform(F.sequence(F.lit(0), last), lambda w: F.lit(0).cast("long"))))
-    held = lambda line, i: F.call_function("shiftright", F.get("line_bits", F.floor(i / 32).cast("int")), F.pmod(i, F.lit(32)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    joined = joined.withColumn("line_kept", F.filter("line_parts", lambda line, i: ~has_word(line) | held(line, i)))
-    count = lambda c: F.coalesce(F.size(F.filter(c, has_word)), F.lit(0))
-    n_lines, n_kept = count("line_parts"), count("line_kept")
+    none = F.lit(0).cast("long")
+    dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at("bits", w), none))
+    joined = joined.withColumn("line_parts", parts).withColumn("line_bits", dense)
+    bit = lambda i: F.call_function("shiftright", F.get("line_bits", F.floor(i / 32).cast("int")), F.pmod(i, F.lit(32)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    joined = joined.withColumn("line_kept", F.filter("line_parts", lambda line, i: ~has_word(line) | (bit(i) == 1)))
     new = [F.array_join("line_kept", "\n").alias(c) if c == text_col else F.col(c) for c in own]
-    out = joined.select(*new, F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n_lines - n_kept, F.lit(0)).cast("long").alias("n_removed"))
-    return out
+    n_lines = count(F.col("line_parts"))
+    return as_is.unionByName(joined.select(*new, n_lines.alias("n_lines"), (n_lines - count(F.col("line_kept"))).alias("n_removed")))
