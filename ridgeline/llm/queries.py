@@ -90,3 +90,10 @@ def op9_line_dedup(spark, d):
     from ridgeline.llm import lines
 
     return lines.deduplicate(table(spark, d, "documents"), percent=80).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op4_pivot_links(spark, d):
+    from ridgeline.llm import pivots
+
+    return pivots.link(table(spark, d, "embeddings"), least=0.95)
