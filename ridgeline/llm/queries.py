@@ -97,3 +97,13 @@ def op4_pivot_links(spark, d):
     from ridgeline.llm import pivots
 
     return pivots.link(table(spark, d, "embeddings"), least=0.95)
+
+
+@query
+def op1_context_tree(spark, d):
+    from ridgeline.llm import ctw
+    from ridgeline.llm.common import crc_fold
+
+    held_out = crc_fold(F.col("doc_id"), 7) == 2
+    found = ctw.evaluate(table(spark, d, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
