@@ -107,3 +107,12 @@ def op1_context_tree(spark, d):
     held_out = crc_fold(F.col("doc_id"), 7) == 2
     found = ctw.evaluate(table(spark, d, "documents"), ~held_out)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op8_bwt_substrings(spark, d):
+    from ridgeline.llm import substrings
+
+    out = substrings.deduplicate(table(spark, d, "documents"), least=50)
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
