@@ -6,10 +6,11 @@ half its own estimate and half the product of its children's, and a decision is
 of all depths along its context that these weights give. Counts come from all training documents; a text is scored with
 the counts as they are at the end of training. The size of the tree follows the corpus: no context is hashed or dropped.
 
-How it runs: blocks of documents count their distinct strings of DEPTH + 1 bytes and words, Spark adds the counts up, the trees
-below each pair of nearest bytes are mixed in one group, the two upper levels on the driver (at
-most 256 x 255 nodes). The log probability of each string and the count of each word then go back to the blocks that hold
-it, where they meet the texts. The base score is the add-one unigram score of the words.
+How it runs: blocks of documents send their distinct strings of DEPTH + 1 bytes and their distinct words, as packed arrays
+for each group of hashes; groups add the counts up. The trees below each pair of nearest bytes are mixed in one group of
+distinct strings, the two upper levels on the driver (at most 256 x 255 nodes). The log probability of each string (in
+single precision) and the count of each word then go back to the blocks that hold it, in the order of the block's keys,
+where they meet the texts. The base score is the add-one unigram score of the words.
 
 Odd cases: a null text is an empty one: no byte, log probability 0, and one token, the end; without training documents
 all decisions have probability one half; repeated rows are each scored and learned; other columns are not read.
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import arrow_schema, chunks, joined_bytes, kept, record, text_bytes
+from ridgeline.llm.common import arrow_schema, chunks, joined_bytes, kept, mix64, record, text_bytes
 from ridgeline.llm.minhash import WordHashes
 
 DEPTH = 5
-#: Text of a block of documents, and the words counted at once, at about eight bytes each.
-BLOCK_BYTES = 8 << 20
+#: Text of a block of documents.
+BLOCK_BYTES = 32 << 20
+CHUNK = 2 << 20
+PAIR_GROUPS = 256
 END = 0  # the key of the end of a text among words; no word hashes are zero in practice, and one would only share it
 
 _hashes = WordHashes()
@@ -65,7 +68,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         back += np.log(x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - back
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - back
 
 
 def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -135,64 +138,162 @@ class PairTree:
         return np.log10(np.where(self.one, p, 1 - p)).reshape(8, strings_).sum(axis=0)
 
 
-def blocked(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, train, block: a block is a part of one split of the input, so that no shuffle is needed to count it."""
+def blocked(docs: DataFrame, train: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id, text, train, block; and the number of groups, which grows with the bytes.
+
+    A block is a part of one split of the input, so that no shuffle is needed to count it.
+    """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("train"),
         F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"),
     )
-    largest = source.groupBy("split").agg(F.sum(F.octet_length("text")).alias("bytes")).agg(F.max("bytes")).first()[0] or 0
-    parts = math.ceil(largest / BLOCK_BYTES) or 1
-    return source.withColumn("block", F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))).drop("split")
-
-
-def counted(blocks: DataFrame) -> DataFrame:
-    """block, word (is it one, or a string?), key, n: distinct keys of a block with their counts in training documents."""
-    fields = "block long, word boolean, key long, n long"
+    sizes = source.groupBy("split").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    size = sizes.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("all")).first()
+    parts = math.ceil((size["most"] or 0) / BLOCK_BYTES) or 1
+    block = F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    return source.withColumn("block", block).drop("split"), max(16, math.ceil((size["all"] or 0) / (8 << 20)))
+
+
+class Counts:
+    """Distinct keys with their counts, gathered in pieces."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.least = 0
+
+    def add(self, keys: np.ndarray, learned: bool) -> None:
+        key, n = np.unique(keys, return_counts=True)
+        self.parts.append((key, n if learned else np.zeros(len(n), np.int64)))
+        self.size += len(key)
+        if self.size > 2_000_000 + 2 * self.least:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) != 1:
+            key, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in self.parts)]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([np.zeros(0), *(c for _, c in self.parts)]), len(key)).astype(np.int64)
+            self.parts = [(key, n)]
+        self.size = self.least = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def by_group(key: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys by group and key, and where each group starts in it."""
+    grp = (mix64(key) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(grp, kind="stable")
+    return order, np.searchsorted(grp[order], np.arange(groups + 1))
+
+
+def counted(blocks: DataFrame, groups: int, kinds: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """word (or string?), grp, block, keys, few (counts below 255 as bytes), many (the others): of each block."""
+    fields = "word boolean, grp long, block long, keys binary, few binary, many binary"
     schema = arrow_schema(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (block, word), parts in held.items():
-                key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
-                yield record(schema, block=np.full(len(key), block), word=np.full(len(key), word), key=key.astype(np.uint64).view(np.int64), n=n)
-            held.clear()
-
-        for chunk in chunks(batches, "text", 2 << 20):
+        held: dict[tuple[int, bool], Counts] = {}
+        for chunk in chunks(batches, "text", CHUNK):
             block, train = chunk.column("block").to_numpy(), chunk.column("train").to_numpy(zero_copy_only=False)
             texts = text_bytes(chunk.column("text"))
             for b in np.unique(block).tolist():
                 for learned in (True, False):
                     own = [texts[i] for i in np.flatnonzero((block == b) & (train == learned))]
-                    if not own:
-                        continue
-                    for word, keys in ((False, strings(*joined_bytes(own))), (True, np.concatenate([word_keys(t) for t in own]))):
-                        key, n = np.unique(keys, return_counts=True)
-                        held.setdefault((b, word), []).append((key, n if learned else np.zeros(len(n), np.int64)))
-                        size += len(key)
-            if size > 3_000_000:
-                yield from flush()
-                size = 0
-        yield from flush()
+                    for word in kinds if own else ():
+                        held.setdefault((b, word), Counts()).add(block_keys(own, word), learned)
+        for (block, word), counts in held.items():
+            key, n = counts.merge()
+            order, cuts = by_group(key, groups)
+            for g in np.flatnonzero(np.diff(cuts)).tolist():
+                own = order[cuts[g] : cuts[g + 1]]
+                few = np.minimum(n[own], 255).astype(np.uint8)
+                yield record(schema, word=[word], grp=[g], block=[block], keys=[packed(key[own], word)], few=[few.tobytes()], many=[n[own][few == 255].tobytes()])
 
     return blocks.mapInArrow(count, fields)
 
 
-def string_logs(strings_: DataFrame) -> DataFrame:
-    """gram, log10 of the probability of its last byte after the others; from gram, n for all strings of the corpus."""
-    pair = F.pmod(F.shiftright("gram", 8), F.lit(65536)).cast("int")
-    grams = kept(strings_.withColumn("pair", pair))
+def block_keys(texts: list[bytes], word: bool) -> np.ndarray:
+    return np.concatenate([word_keys(t) for t in texts]) if word else strings(*joined_bytes(texts))
+
+
+def packed(key: np.ndarray, word: bool) -> bytes:
+    """Words in eight bytes each, strings in as many as they have."""
+    wide = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8))
+    return wide.tobytes() if word else np.ascontiguousarray(wide[:, : DEPTH + 1]).tobytes()
+
+
+def unpacked(data: bytes, word: bool) -> np.ndarray:
+    width = 8 if word else DEPTH + 1
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def sent_counts(table: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of one group: keys, counts and blocks of all entries."""
+    keys, counts, blocks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for block, k, few, many in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "few", "many"))):
+        n = np.frombuffer(few, np.uint8).astype(np.int64)
+        n[n == 255] = np.frombuffer(many, np.int64)
+        keys.append(unpacked(k, word))
+        counts.append(n)
+        blocks.append(np.full(len(n), block))
+    return np.concatenate(keys), np.concatenate(counts), np.concatenate(blocks)
+
+
+def answers(key: np.ndarray, value: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each block the values of its distinct keys in their order."""
+    for b in np.unique(block).tolist():
+        own = np.flatnonzero(block == b)
+        yield b, value[own[np.unique(key[own], return_index=True)[1]]]
+
+
+def totals(sent: DataFrame) -> DataFrame:
+    """Of each group of words: block, values (counts for its words), and a row of tokens and different words.
+    Of each group of strings: keys and values (counts) of the whole corpus."""
+    fields = "word boolean, grp long, block long, keys binary, values binary, tokens long, different long"
+    schema = arrow_schema(fields)
+
+    def add(table: pa.Table) -> pa.Table:
+        word, grp = table.column("word")[0].as_py(), table.column("grp")[0].as_py()
+        keys, counts, blocks = sent_counts(table, word)
+        distinct, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, counts, len(distinct))
+        row = lambda block, k, v, t, d: record(schema, word=[word], grp=[grp], block=[block], keys=[k], values=[v], tokens=[t], different=[d])
+        if not word:
+            return pa.Table.from_batches([row(None, packed(distinct, False), n.tobytes(), None, None)])
+        out = [row(b, None, v.tobytes(), None, None) for b, v in answers(keys, n[at], blocks)]
+        return pa.Table.from_batches([*out, row(None, None, None, int(n.sum()), int((n > 0).sum()))], schema)
+
+    return sent.groupBy("word", "grp").applyInArrow(add, fields)
+
+
+def string_logs(totals_: DataFrame) -> DataFrame:
+    """grp, keys, logs (single precision): log10 of the probability of the last byte of each string after the others."""
+    fields = "pairs long, grp long, keys binary, n binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, k, v in zip(*(batch.column(c).to_pylist() for c in ("grp", "keys", "values"))):
+                key, n = unpacked(k, False), np.frombuffer(v)
+                order, cuts = by_group((key >> np.uint64(8)) & np.uint64(65535), PAIR_GROUPS)
+                own = [(g, order[cuts[g] : cuts[g + 1]]) for g in np.flatnonzero(np.diff(cuts)).tolist()]
+                yield record(arrow_schema(fields), pairs=[g for g, _ in own], grp=[grp] * len(own), keys=[packed(key[o], False) for _, o in own], n=[n[o].tobytes() for _, o in own])
+
+    dealt = kept(totals_.select("grp", "keys", "values").mapInArrow(deal, fields))
+
+    def trees(table: pa.Table) -> Iterator[tuple[int, np.ndarray, PairTree]]:
+        """Nearest byte, places among the strings of the table, tree: of each pair."""
+        key = np.concatenate([unpacked(k, False) for k in table.column("keys").to_pylist()])
+        n = np.concatenate([np.frombuffer(v) for v in table.column("n").to_pylist()])
+        pair = (key >> np.uint64(8)) & np.uint64(65535)
+        order = np.argsort(pair, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
+            yield int(pair[own[0]]) & 255, own, PairTree(key[own], n[own])
 
     def up(table: pa.Table) -> pa.Table:
-        tree = PairTree(table.column("gram").to_numpy(), table.column("n").to_numpy())
-        near = np.full(len(tree.node), table.column("pair")[0].as_py() & 255)
-        return pa.table({"near": near, "node": tree.node, "zeros": tree.zeros[2], "ones": tree.ones[2], "log": tree.log})
+        found = [(np.full(len(t.node), near), t.node, t.zeros[2], t.ones[2], t.log) for near, _, t in trees(table)]
+        return pa.table(dict(zip(("near", "node", "zeros", "ones", "log"), map(np.concatenate, zip(*found)))))
 
-    rows = grams.groupBy("pair").applyInArrow(up, "near long, node long, zeros double, ones double, log double")
+    rows = dealt.groupBy("pairs").applyInArrow(up, "near long, node long, zeros double, ones double, log double")
     top = rows.groupBy("near", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("log")).collect()  # 256 x 255 rows
     counts, below = np.zeros((2, 256, 256)), np.zeros((256, 256))
     for r in top:
@@ -205,56 +306,76 @@ def string_logs(strings_: DataFrame) -> DataFrame:
     rest = (1 - root_share) * (1 - share)
 
     def down(table: pa.Table) -> pa.Table:
-        near = table.column("pair")[0].as_py() & 255
-        tree = PairTree(table.column("gram").to_numpy(), table.column("n").to_numpy())
-        return pa.table({"gram": table.column("gram"), "log": tree.log10(mixed[near], rest[near], table.num_rows)})
+        sizes = [len(k) // (DEPTH + 1) for k in table.column("keys").to_pylist()]
+        logs = np.zeros(sum(sizes))
+        for near, own, tree in trees(table):
+            logs[own] = tree.log10(mixed[near], rest[near], len(own))
+        parts = np.split(logs.astype(np.float32), np.cumsum(sizes)[:-1])
+        return pa.table({"grp": table.column("grp"), "keys": table.column("keys"), "logs": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    return dealt.groupBy("pairs").applyInArrow(down, "grp long, keys binary, logs binary")
+
+
+def string_answers(sent: DataFrame, logs: DataFrame) -> DataFrame:
+    """word, grp, block, values: the logs of a block's strings of one group, in the order of the strings."""
+    fields = "word boolean, grp long, block long, values binary"
+
+    def look(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, _, blocks = sent_counts(asked, False)
+        name = np.concatenate([np.zeros(0, np.uint64), *(unpacked(k, False) for k in known.column("keys").to_pylist())])
+        log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(v, np.float32) for v in known.column("logs").to_pylist())])
+        order = np.argsort(name, kind="stable")
+        value = log[order[np.searchsorted(name[order], keys)]] if len(keys) else log[:0]
+        out = list(answers(keys, value, blocks))
+        grp = asked.column("grp")[0].as_py() if out else None
+        return pa.Table.from_batches([record(arrow_schema(fields), word=[False] * len(out), grp=[grp] * len(out), block=[b for b, _ in out], values=[v.tobytes() for _, v in out])])
 
-    return grams.groupBy("pair").applyInArrow(down, "gram long, log double")
+    return sent.groupBy("grp").cogroup(logs.groupBy("grp")).applyInArrow(look, fields)
 
 
-def scored(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def scored(blocks: DataFrame, told: DataFrame, groups: int) -> DataFrame:
     """Sums for each document over the values of its strings and words."""
     fields = "doc_id long, train boolean, n_tokens long, n_known long, log_words double, score double"
     schema = arrow_schema(fields)
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        word = values.column("word").to_numpy()
+        pieces = [(c, text_bytes(c.column("text"))) for c in chunks(texts.to_batches(), "text", CHUNK)]
         tables = []
-        for kind in (False, True):
-            key = values.column("key").to_numpy()[word == kind].view(np.uint64)
-            order = np.argsort(key, kind="stable")
-            tables.append((key[order], values.column("value").to_numpy()[word == kind][order]))
+        for kind, width in ((False, np.float32), (True, np.float64)):
+            own = Counts()
+            for _, part in pieces:
+                own.add(block_keys(part, kind), False)
+            key, _ = own.merge()
+            order, _ = by_group(key, groups)
+            heard = sorted((g, v) for w, g, v in zip(*(values.column(c).to_pylist() for c in ("word", "grp", "values"))) if w == kind)
+            value = np.empty(len(key), width)
+            value[order] = np.concatenate([np.zeros(0, width), *(np.frombuffer(v, width) for _, v in heard)])
+            tables.append((key, value))
         (grams, logs), (words, counts) = tables
         log_counts = np.log10(counts + 1)
         out: list[pa.RecordBatch] = []
-        for chunk in chunks(texts.to_batches(), "text", 1 << 20):
-            own = text_bytes(chunk.column("text"))
+        for chunk, own in pieces:
             data, ends = joined_bytes(own)
-            value = np.append(logs[np.searchsorted(grams, strings(data, ends))] if len(data) else [], 0.0)
+            value = np.append(logs[np.searchsorted(grams, strings(data, ends))].astype(float) if len(data) else [], 0.0)
             total = np.add.reduceat(value, ends[:-1])
             total[ends[1:] == ends[:-1]] = 0.0
-            keys = [word_keys(t) for t in own]
-            at = [np.searchsorted(words, k) for k in keys]
+            at = [np.searchsorted(words, word_keys(t)) for t in own]
             out.append(record(
-                schema, doc_id=chunk.column("doc_id"), train=chunk.column("train"), n_tokens=[len(k) for k in keys],
+                schema, doc_id=chunk.column("doc_id"), train=chunk.column("train"), n_tokens=[len(a) for a in at],
                 n_known=[int((counts[a] > 0).sum()) for a in at], log_words=[float(log_counts[a].sum()) for a in at], score=total,
             ))
         return pa.Table.from_batches(out, schema)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, fields)
 
 
 def evaluate(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (both log10) of every document."""
-    blocks = blocked(docs, train, id_col, text_col)
-    keys = kept(counted(blocks))
-    strings_ = keys.where(~F.col("word")).groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
-    words = keys.where("word").groupBy("key").agg(F.sum("n").alias("n"))
-    words = kept(words)
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("different")).first()
-    values = string_logs(strings_).select(F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("log").alias("value"))
-    values = values.union(words.select(F.lit(True), "key", F.col("n").cast("double")))
-    answers = keys.select("block", "word", "key").join(values, ["word", "key"])
-    sums = scored(blocks, answers)
+    blocks, groups = blocked(docs, train, id_col, text_col)
+    found = kept(totals(counted(blocks, groups)))
+    size = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("different"), F.lit(0)).alias("different")).first()
+    logs = kept(string_logs(found.where(~F.col("word"))))
+    told = string_answers(counted(blocks, groups, (False,)), logs)
+    told = told.unionByName(found.where(F.col("word") & F.col("block").isNotNull()).select("word", "grp", "block", "values"))
     base = F.col("log_words") - F.col("n_tokens") * F.lit(math.log10(size["tokens"] + size["different"] or 1))
-    return sums.select("doc_id", "train", "n_tokens", "n_known", F.lit(size["tokens"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored(blocks, told, groups).select("doc_id", "train", "n_tokens", "n_known", F.lit(size["tokens"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
