@@ -27,6 +27,8 @@ from ridgeline.llm.common import kept
 
 CLASSES = 1 << 16
 MARKS = 1 << 20
+#: Sizes from here on are not told apart before verification.
+MOST = (1 << 16) - 1
 ADDED = ["n_lines", "n_removed"]
 
 
@@ -45,9 +47,14 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(has_word(F.col("line"))).select("doc_id", "line_no", words(F.col("line")).alias("words"))
 
 
-def byte_at(table: bytearray, at: Column) -> Column:
-    """One byte (below 128) of a constant table."""
-    return F.ascii(F.substring(F.lit(table), at.cast("int") + 1, F.lit(1)).cast("string"))
+def with_table(df: DataFrame, name: str, table: bytearray) -> DataFrame:
+    """A constant table of fixed size as a column. A subquery, as a literal would be printed into every plan."""
+    return df.withColumn(name, df.sparkSession.createDataFrame([(table,)], f"{name} binary").scalar())
+
+
+def byte_at(table: str, at: Column) -> Column:
+    """One byte (below 128) of a table."""
+    return F.ascii(F.substring(F.col(table), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
 def rarities(lines: DataFrame) -> bytearray:
@@ -66,14 +73,14 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
 
     def order(word: Column) -> Column:
         h = F.xxhash64(word)
-        return F.shiftleft(byte_at(table, F.pmod(h, F.lit(CLASSES))).cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
+        return F.shiftleft(byte_at("rarity", F.pmod(h, F.lit(CLASSES))).cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
 
     n = F.size("tokens")
     need = F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int")
-    with_tokens = lines.withColumn("tokens", F.sort_array(F.transform("words", order)))
+    with_tokens = with_table(lines, "rarity", table).withColumn("tokens", F.sort_array(F.transform("words", order)))
     return with_tokens.select(
         "doc_id", "line_no", "words", F.xxhash64("tokens").alias("key"), n.alias("n"),
-        F.aggregate("tokens", F.lit(0), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.pmod(F.shiftright(t, 8), F.lit(31)).cast("int")))).alias("odd"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(t, 8), F.lit(64)).cast("int")))).alias("odd"),
         F.transform(F.slice("tokens", F.lit(1), n - need + 1), lambda t: F.hash(t)).alias("prefix"),
     )
 
@@ -83,21 +90,21 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     t = percent / 100
     # written once: the two sides of the join then share one exchange, of rows packed into three numbers
     one = kept(sets.select("key", "n", "odd", "prefix").dropDuplicates(["key"]).where("n > 3"))  # smaller sets would have to be equal
-    rows = one.select("key", "n", "odd", F.posexplode("prefix").alias("at", "token"))
-    pack = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
-    rows = rows.select("key", pack("token", "odd").alias("token_odd"), pack("n", "at").alias("n_at"))
+    rows = one.select("key", "odd", "n", F.posexplode("prefix").alias("at", "token"))
+    short = lambda c: F.least(F.col(c), F.lit(MOST)).cast("long")
+    packed = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.shiftleft(short("n"), 16)).bitwiseOR(short("at"))
+    rows = rows.select(packed.alias("token_n_at"), "key", "odd")
     x, y = rows.alias("x"), rows.alias("y")
-    high = lambda c: F.shiftright(F.col(c), 32).cast("int")
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    nx, ny, ax, ay = high("x.n_at"), high("y.n_at"), low("x.n_at"), low("y.n_at")
+    token = lambda c: F.shiftright(F.col(c), 32).cast("int")
+    part = lambda c, bits: F.shiftright(F.col(c), bits).bitwiseAND(F.lit(MOST)).cast("int")
+    nx, ny, ax, ay = part("x.token_n_at", 16), part("y.token_n_at", 16), part("x.token_n_at", 0), part("y.token_n_at", 0)
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
-    same = (
-        (high("x.token_odd") == high("y.token_odd"))
-        & (F.col("x.key") < F.col("y.key"))
-        & (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9)
+    fits = (
+        (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9)
         & (F.least(nx - ax, ny - ay) >= need - F.least(ax, ay))
-        & (F.bit_count(low("x.token_odd").bitwiseXOR(low("y.token_odd"))) <= nx + ny - 2 * need)
+        & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= nx + ny - 2 * need)
     )
+    same = (token("x.token_n_at") == token("y.token_n_at")) & (F.col("x.key") < F.col("y.key")) & (fits | (F.greatest(nx, ny) == MOST))
     return x.join(y.hint("merge"), same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
@@ -116,7 +123,7 @@ def marked(marks: DataFrame) -> bytearray:
 def repeated_sets(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``key`` of the sets whose first line comes after the first line of a similar set."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(mark(F.col("key")).alias("mark")).distinct()
-    likely = lines.where(byte_at(marked(ends), mark(F.col("key"))) == 1)
+    likely = with_table(lines, "marks", marked(ends)).where(byte_at("marks", mark(F.col("key"))) == 1)
     first = likely.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "words")).alias("first"))
     one = first.select(F.col("key").alias("a"), F.col("first").alias("first_a"))
     two = first.select(F.col("key").alias("b"), F.col("first").alias("first_b"))
@@ -153,19 +160,21 @@ def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     sets = coded(lines, rarities(lines), percent)
     repeated = kept(repeated_sets(sets, kept(candidates(sets, percent)), percent))
     stays = kept(kept_lines(sets, repeated))
-    changed = F.coalesce(byte_at(changed_documents(sets, stays), mark(F.col(id_col).cast("long"))) == 1, F.lit(True))
+    # the row stays apart, so that its columns may have any name
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row"))
+    rows = with_table(rows, "marks", changed_documents(sets, stays))
+    changed = F.coalesce(byte_at("marks", mark(F.col("id"))) == 1, F.lit(True))
     own = [c for c in docs.columns if c not in ADDED]
     count = lambda c: F.greatest(F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), has_word)), F.lit(0)).cast("long")
-    parts = F.split(F.col(text_col), "\n")
-    as_is = docs.where(~changed).select(*own, count(parts).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-
-    joined = docs.where(changed).select(*own).join(stays.withColumnRenamed("doc_id", "stays_id"), F.col(id_col) == F.col("stays_id"), "left")
-    last = F.floor((F.size(parts) - 1) / 32).cast("int")
-    none = F.lit(0).cast("long")
-    dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at("bits", w), none))
-    joined = joined.withColumn("line_parts", parts).withColumn("line_bits", dense)
-    bit = lambda i: F.call_function("shiftright", F.get("line_bits", F.floor(i / 32).cast("int")), F.pmod(i, F.lit(32)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    joined = joined.withColumn("line_kept", F.filter("line_parts", lambda line, i: ~has_word(line) | (bit(i) == 1)))
-    new = [F.array_join("line_kept", "\n").alias(c) if c == text_col else F.col(c) for c in own]
-    n_lines = count(F.col("line_parts"))
-    return as_is.unionByName(joined.select(*new, n_lines.alias("n_lines"), (n_lines - count(F.col("line_kept"))).alias("n_removed")))
+    parts = F.split("text", "\n")
+    as_is = rows.where(~changed).select("row.*", count(parts).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    whole = rows.where(changed).select("id", parts.alias("parts"), "row")
+    joined = whole.join(stays, F.col("id") == F.col("doc_id"), "left")
+    last = F.floor((F.size("parts") - 1) / 32).cast("int")
+    dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at("bits", w), F.lit(0).cast("long")))
+    joined = joined.select("row", "parts", dense.alias("dense"))
+    bit = lambda i: F.call_function("shiftright", F.get("dense", F.floor(i / 32).cast("int")), F.pmod(i, F.lit(32)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    joined = joined.withColumn("left", F.filter("parts", lambda line, i: ~has_word(line) | (bit(i) == 1)))
+    new = [F.array_join("left", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own]
+    n_lines = count(F.col("parts"))
+    return as_is.unionByName(joined.select(*new, n_lines.alias("n_lines"), (n_lines - count(F.col("left"))).alias("n_removed")))

@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import mixing
+from ridgeline.llm import mixing, sql
 from ridgeline.session import ship
 
 QUERIES = {}
@@ -116,3 +116,8 @@ def op8_bwt_substrings(spark, d):
     out = substrings.deduplicate(table(spark, d, "documents"), least=50)
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op4_pivot_links"] = sql.VECTOR_LINKS
+ORACLE["op9_line_dedup"] = sql.LINES
+ORACLE["op10_minhash_components"] = sql.NEAR_COPIES
