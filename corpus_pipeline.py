@@ -39,8 +39,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     found = minhash.deduplicate(docs, percent=PERCENT)
-    stays = found.where("kept").select(F.col("doc_id").alias("stays_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays_id")), "left_semi")
+    stays = found.where("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that columns may have any name
+    return rows.join(stays, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,17 +53,18 @@ def mix(docs: DataFrame, weights: dict[str, float], other_weight: float = 1.0, e
     own = [c for c in docs.columns if c not in ADDED]
     source = F.col(source_col)
     group = F.when(source.isin(list(weights)), source).otherwise(F.lit(OTHER))
-    grouped = docs.select(*own, group.alias("mix_group"))
+    # the row stays apart, so that its columns may have any name
+    grouped = docs.select(group.alias("mix_group"), F.col(id_col).alias("id"), F.struct(*own).alias("row"))
     counts = {r["mix_group"]: r["count"] for r in grouped.groupBy("mix_group").count().collect()}  # the named groups
     mean = rates(counts, weights, other_weight, round(epochs * sum(counts.values())))
     rows = [(s, float(m), distribution(m)) for s, m in sorted(mean.items())]
     table = docs.sparkSession.createDataFrame(rows, "mix_group string, rate double, below array<double>")
-    drawn = hashed(F.col(id_col), F.lit(seed)) / F.lit(float(1 << 52))
+    drawn = hashed(F.col("id"), F.lit(seed)) / F.lit(float(1 << 52))
     times = F.size(F.filter("below", lambda c: c <= drawn))
     repeated = grouped.join(F.broadcast(table), "mix_group").withColumn("times", times).where("times > 0")
-    copies = repeated.select(*own, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"), "rate")
-    keyed = copies.withColumn("shuffle_key", hashed(F.col(id_col), F.col("copy"), F.lit(seed)))
-    return keyed.orderBy("shuffle_key", id_col, "copy")
+    copies = repeated.select("row", "id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"), "rate")
+    keyed = copies.withColumn("shuffle_key", hashed(F.col("id"), F.col("copy"), F.lit(seed)))
+    return keyed.orderBy("shuffle_key", "id", "copy").select(*[F.col("row").getField(c).alias(c) for c in own], "copy", "rate", "shuffle_key")
 
 
 def mix_sql(weights: dict[str, float], other_weight: float = 1.0, seed: int = 17, columns: str = "doc_id, text, lang, source, n_chars") -> str:
