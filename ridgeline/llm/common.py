@@ -59,6 +59,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bundled(blocks: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
+    """``block, bundle``: the rows of each block in compressed pieces of about ``most`` bytes of text, for a shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text", most):
+            block = chunk.column("block").to_numpy()
+            for b in np.unique(block).tolist():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, chunk.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(chunk.filter(pa.array(block == b)))
+                yield record(arrow_schema("block long, bundle binary"), block=[b], bundle=[sink.getvalue().to_pybytes()])
+
+    return blocks.mapInArrow(pack, "block long, bundle binary")
+
+
+def unbundled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for bundle in table.column("bundle"):
+        yield from pa.ipc.open_stream(bundle.as_buffer())
+
+
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

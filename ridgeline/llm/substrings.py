@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import arrow_schema, chunks, joined_bytes, kept, mix64, record, text_bytes
+from ridgeline.llm.common import arrow_schema, bundled, chunks, joined_bytes, kept, mix64, record, text_bytes, unbundled
 
 SEED = 24
 BLOCK_BYTES = 8 << 20
@@ -191,7 +191,7 @@ def segments(blocks: DataFrame, shared: DataFrame, groups: int, least: int) -> D
     def collect(texts: pa.Table, heard: pa.Table) -> pa.Table:
         known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpacked(k) for k in heard.column("keys").to_pylist())]))
         parts: dict[str, list] = {"key": [], "segment": [], "low": [], "run": [], "content": []}
-        for chunk in chunks(texts.to_batches(), "text", CHUNK):
+        for chunk in unbundled(texts):
             found = Windows(text_bytes(chunk.column("text")), least)
             at = np.searchsorted(known, found.key)
             own = np.flatnonzero((at < len(known)) & (np.append(known, np.uint64(0))[at] == found.key))
@@ -218,7 +218,7 @@ def segments(blocks: DataFrame, shared: DataFrame, groups: int, least: int) -> D
                     out[name].append(value)
         return pa.Table.from_batches([record(schema, **out)])
 
-    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(collect, fields)
+    return bundled(blocks, CHUNK).groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(collect, fields)
 
 
 def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
@@ -352,7 +352,7 @@ def cut(blocks: DataFrame, heard: DataFrame, least: int) -> DataFrame:
         begin, length = read("starts", np.uint16).astype(np.int64), read("lengths", np.uint16).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         segment, low, begin, length = segment[order], low[order], begin[order], length[order]
-        pieces = [(c.column("doc_id").to_numpy(), text_bytes(c.column("text"))) for c in chunks(texts.to_batches(), "text", CHUNK)]
+        pieces = [(c.column("doc_id").to_numpy(), text_bytes(c.column("text"))) for c in unbundled(texts)]
         # the smallest doc of each segment within the block
         seen = []
         for ids, own in pieces:
@@ -387,7 +387,7 @@ def cut(blocks: DataFrame, heard: DataFrame, least: int) -> DataFrame:
             out.append(record(schema, doc_id=ids, n_bytes=[len(t) for t in own], starts=[s for s, _ in spans], ends=[e for _, e in spans], kept=stays))
         return pa.Table.from_batches(out, schema)
 
-    return blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(remove, fields)
+    return bundled(blocks, CHUNK).groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(remove, fields)
 
 
 def deduplicate(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
