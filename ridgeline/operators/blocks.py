@@ -54,7 +54,11 @@ def to_blocks(cells: DataFrame, layout: Layout) -> DataFrame:
     def run(brow, bcol, at, values):
         return {"cells": square_of(at, values["value"], t).ravel()}
 
-    placed = cells.withColumns({"brow": F.expr(f"row div {t}"), "bcol": F.expr(f"col div {t}")})
+    # A negative address would land in another block's array.
+    held = layout.contains(F.col("row"), F.col("col"))
+    message = F.concat_ws(" ", F.lit("cell outside the layout:"), "row", "col")
+    checked = cells.withColumn("row", F.when(held, F.col("row")).otherwise(F.raise_error(message).cast("long")))
+    placed = checked.withColumns({"brow": F.expr(f"row div {t}"), "bcol": F.expr(f"col div {t}")})
     field = T.StructField("cells", T.DoubleType())
     return map_blocks(gather(placed, t, 0, t, ["value"]), ["value"], run, [field])
 

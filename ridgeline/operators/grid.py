@@ -64,9 +64,9 @@ def nearest_onto(
     keyed = cells.withColumns({"r_": other_layout.row_of(y), "c_": other_layout.col_of(x)})
     right = other.select(
         "layer", F.col("row").alias("r_"), F.col("col").alias("c_"), F.col("value").alias(name)
-    )
+    ).hint("merge")  # its size before an explode would invite a broadcast
     if not match_layer:
-        return keyed.join(right.drop("layer"), ["r_", "c_"], "left").drop("r_", "c_")
+        return keyed.join(right.drop("layer").hint("merge"), ["r_", "c_"], "left").drop("r_", "c_")
     return keyed.join(right, ["layer", "r_", "c_"], "left").drop("r_", "c_")
 
 

@@ -77,8 +77,11 @@ def land_cover_legend(spark) -> DataFrame:
 
 
 def combine(a: DataFrame, b: DataFrame, join: Callable[[Column, Column], Column], how: str = "inner") -> DataFrame:
-    """Cell-aligned join of two layers. ``inner`` drops cells either side lacks."""
-    right = b.select(*CELL_KEY, F.col("value").alias("other"))
+    """Cell-aligned join of two layers. ``inner`` drops cells either side lacks.
+
+    A merge join is asked for: the optimizer does not see how far an explode multiplied the cells, and would broadcast.
+    """
+    right = b.select(*CELL_KEY, F.col("value").alias("other")).hint("merge")
     return a.join(right, CELL_KEY, how).select(*CELL_KEY, join(F.col("value"), F.col("other")).alias("value"))
 
 

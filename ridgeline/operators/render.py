@@ -20,7 +20,7 @@ def colorize(cells: DataFrame, ramp: str) -> DataFrame:
 
 
 def colorize_by_quantiles(
-    cells: DataFrame, run: str = "green-red-orange", domain: int | None = None, reference: DataFrame | None = None
+    cells: DataFrame, run: str = "green-red-orange", reference: DataFrame | None = None
 ) -> DataFrame:
     """Add ``rgba`` by the quantile breaks of the whole job, so tiles show no seams.
 
@@ -30,7 +30,7 @@ def colorize_by_quantiles(
     if run not in colour.RUNS:
         raise ValueError(f"unknown colour run: {run}")
     codes = colour.RUNS[run]
-    breaks = distinct_breaks(quantile_breaks(reference if reference is not None else cells, len(codes), (), domain), ())
+    breaks = distinct_breaks(quantile_breaks(reference if reference is not None else cells, len(codes), ()), ())
     stops = breaks.select("breaks").scalar()
     painted = cells.withColumn("b_", stops)
     below = F.size(F.filter("b_", lambda b: b < F.col("value")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.grid import with_tiles
@@ -20,31 +20,14 @@ def tile_histogram(cells: DataFrame, tile_size: int) -> DataFrame:
     return histogram(with_tiles(cells, tile_size), ("layer", "trow", "tcol"))
 
 
-def quantile_breaks(
-    cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",), domain: int | None = None
-) -> DataFrame:
+def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",)) -> DataFrame:
     """``i, brk``: the least value that at least ``ceil(i * N / k)`` cells do not exceed, i = 1..k.
 
-    Exact. ``domain`` is a proven bound on the number of distinct values (a focal sum over a disc
-    has at most as many as the disc has cells); with it one running sum over the histogram does.
-    Without it the ranks are narrowed to buckets of values first: once to buckets of fixed relative
-    width, once to 4,096 slices of the buckets that hold a rank. Only the slices that hold a rank
-    are ever put in order, so no task sees a large histogram whole.
+    Exact, by one path for all layers: ranks are narrowed to buckets of fixed relative width, counted
+    straight from the cells, then to 4,096 slices of the buckets that hold a rank. Only the slices
+    that hold a rank are put in order, so neither a histogram is shuffled whole nor does a task see one.
     """
-    by = list(by)
-    hist = histogram(cells, by)
-    if domain is not None:
-        if domain > 1_000_000:
-            raise ValueError("leave the domain open for layers with many values")
-        ranked = hist.withColumns(
-            {
-                "cum": F.sum("n").over(Window.partitionBy(*by).orderBy("value")),
-                "total": F.sum("n").over(Window.partitionBy(*by)),
-            }
-        )
-        hits = _hits(ranked, k)
-        return hits.groupBy(*by, "i").agg(F.min("value").alias("brk"))
-    return _narrowed_breaks(hist, k, by)
+    return _narrowed_breaks(cells.where("value IS NOT NULL"), k, list(by))
 
 
 def _hits(ranked: DataFrame, k: int) -> DataFrame:
@@ -57,13 +40,16 @@ def _hits(ranked: DataFrame, k: int) -> DataFrame:
     ).withColumn("rank", F.expr(rank))
 
 
-def _narrowed_breaks(hist: DataFrame, k: int, by: list[str]) -> DataFrame:
+def _bucket(v: Column) -> Column:
+    """Never decreasing in v, and 0.14 % of the value wide, down to the smallest doubles."""
+    # The logarithm of a positive double is above -745, so each sign keeps its own side of zero.
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v).cast("long") * F.floor((F.ln(F.abs(v)) + 746) * 720))
+
+
+def _narrowed_breaks(cells: DataFrame, k: int, by: list[str]) -> DataFrame:
     v = F.col("value").cast("double")
-    # Never decreasing in v, and spaced by relative size: 0.14 % of the value per bucket, at most
-    # about a million buckets whatever the data.
-    coarse = F.floor(F.signum(v) * (F.ln(1 + F.abs(v)) * 720))
-    level1 = hist.withColumn("b1", coarse)
-    runs = level1.groupBy(*by, "b1").agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    level1 = cells.withColumn("b1", _bucket(v))
+    runs = level1.groupBy(*by, "b1").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     runs = runs.withColumns(
         {
             "cum": F.sum("n").over(Window.partitionBy(*by).orderBy("b1")),
@@ -74,11 +60,11 @@ def _narrowed_breaks(hist: DataFrame, k: int, by: list[str]) -> DataFrame:
     chosen = ranks.groupBy(*by, "b1").agg(
         F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.collect_list(F.struct("i", "rest")).alias("ranks")
     )
-    # At most k rows per layer meet the histogram; one bucket may hold much of it, so it is salted.
+    # At most k rows per layer meet the cells; one bucket may hold many of them, so it is salted.
     width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / 4096
     fine = F.when(width > 0, F.floor((v - F.col("lo").cast("double")) / width)).otherwise(F.lit(0))
     picked = with_salt(level1, "value").join(salted(chosen.select(*by, "b1", "lo", "hi")), [*by, "b1", "salt_"])
-    inside = picked.select(*by, "b1", "value", "n", fine.alias("b2"))
+    inside = picked.select(*by, "b1", "value", fine.alias("b2")).groupBy(*by, "b1", "b2", "value").agg(F.count("*").alias("n"))
     slices = inside.groupBy(*by, "b1", "b2").agg(F.sum("n").alias("n"))
     slices = slices.withColumn("cum", F.sum("n").over(Window.partitionBy(*by, "b1").orderBy("b2")))
     placed = (

@@ -94,24 +94,18 @@ def site_scores(
     return per_block(cells, layout, halo, kernel, ("value",), inputs=inputs, keep="filled")
 
 
-def score_domain(radius: float) -> int:
-    """How many values a score can have: the cells of the disc, and none."""
-    return sum(2 * w + 1 for w in kernels.disc_widths(radius).values()) + 1
-
-
-def site_limits(scores: DataFrame, radius: float) -> Column:
+def site_limits(scores: DataFrame) -> Column:
     """Thresholds of the rings as one scalar subquery (a struct ``center, middle, outer``)."""
-    thresholds = ring_thresholds(distinct_breaks(quantile_breaks(scores, 10, (), score_domain(radius)), ()))
+    thresholds = ring_thresholds(distinct_breaks(quantile_breaks(scores, 10, ()), ()))
     return thresholds.select(F.struct("center", "middle", "outer").alias("limits")).scalar()
 
 
-def site_rings(scores: DataFrame, radius: float) -> DataFrame:
+def site_rings(scores: DataFrame) -> DataFrame:
     """Classes 3, 2, 1, 0 of the scores against the last three of ten quantile breaks.
 
-    A score counts the cells of a disc, which bounds the histogram. The three thresholds enter as
-    one scalar subquery.
+    The three thresholds enter as one scalar subquery.
     """
-    limits = site_limits(scores, radius)
+    limits = site_limits(scores)
     ring = local.ring_class(F.col("limits.center"), F.col("limits.middle"), F.col("limits.outer"))
     return scores.withColumn("limits", limits).select(*CELL_KEY, ring(F.col("value")).alias("value"))
 
@@ -134,7 +128,7 @@ def suitability(
     """
     radius = radius_in_cells(layout, diameter, radius_units)
     scores = site_scores(cells, layout, radius, smooth, slope_limit, z_factor, masked, decimals)
-    classes = site_rings(scores, radius)
+    classes = site_rings(scores)
     return symbol_rings(classes, layout, rings) if rings else classes
 
 
@@ -165,9 +159,9 @@ def suitability_on_cover(
     return suitability(kept, layout, smooth=None, z_factor=z_factor, **options)
 
 
-def suitability_statistics(scores: DataFrame, radius: float, k: int = 10) -> DataFrame:
+def suitability_statistics(scores: DataFrame, k: int = 10) -> DataFrame:
     """``breaks, top, mean`` of the scores in one row."""
-    breaks = distinct_breaks(quantile_breaks(scores, k, (), score_domain(radius)), ())
+    breaks = distinct_breaks(quantile_breaks(scores, k, ()), ())
     totals = scores.where("value IS NOT NULL").agg(F.max("value").alias("top"), F.avg("value").alias("mean"))
     return totals.select(breaks.select("breaks").scalar().alias("breaks"), "top", "mean")
 

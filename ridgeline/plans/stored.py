@@ -81,7 +81,7 @@ def suitability(
     radius = products.radius_in_cells(layout, diameter, radius_units)
     halo, kernel = products.site_kernel(layout, radius, smooth, slope_limit, z_factor, False, decimals)
     scores = blocks.focal(stored, layout, halo, lambda a, i, o: {"cells": kernel(a, i, o)["value"]}, ("cells",), keep="filled")
-    limits = products.site_limits(blocks.to_cells(scores, layout), radius)
+    limits = products.site_limits(blocks.to_cells(scores, layout))
     ring = lambda v: F.when(
         v.isNotNull(),
         local.ring_class(F.col("limits.center"), F.col("limits.middle"), F.col("limits.outer"))(v).cast("double"),

@@ -30,11 +30,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a scratch one where none is set."""
+    """Use the folder the cluster names. Only a local session may do with a scratch one: elsewhere each node has its own disk."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ridgeline-checkpoint-"))
 
 

@@ -13,7 +13,8 @@ def write_tiles(tiles: DataFrame, root: str) -> None:
     alone would be one hot key.
     """
     spread = tiles.repartition("job_id", "z", "x", "y").sortWithinPartitions("z", "x", "y")
-    spread.write.mode("append").partitionBy("job_id", "z").parquet(root)
+    # A job that runs again replaces its own folders and no others.
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id", "z").parquet(root)
 
 
 def read_tile(spark: SparkSession, root: str, job_id: str, z: int, x: int, y: int) -> DataFrame:

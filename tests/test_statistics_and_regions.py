@@ -29,16 +29,29 @@ def test_narrowed_breaks_are_exact(spark, kind):
         assert got == expected_breaks(values, k)
 
 
-def test_bounded_and_narrowed_breaks_agree(spark):
-    cells = spark.range(5000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise("b").alias("layer"),
-        F.col("id").alias("row"),
-        F.lit(0).cast("long").alias("col"),
-        ((F.col("id") * 7919) % 101).alias("value"),
-    )
-    a = stats.quantile_breaks(cells, 10, domain=101).select("layer", "i", "brk").collect()
-    b = stats.quantile_breaks(cells, 10).select("layer", "i", "brk").collect()
-    assert sorted(a) == sorted(b) and len(a) == 20
+def test_breaks_equal_sorted_ranks(spark):
+    import math
+
+    rng = np.random.default_rng(6)
+    layers = {
+        "hot": [float((k * 7919) % 101) for k in range(3000)],
+        "tiny": [float(x) for x in 10.0 ** rng.uniform(-12, -3, 3000)],
+        "denormal": [5e-324 * int(x) for x in rng.integers(-1000, 1000, 500)] + [-1e300, 1e300, 0.0],
+        "signs": [float(x) for x in np.round(rng.normal(size=2000), 2)],
+    }
+    rows = [(name, k, 0, v) for name, values in layers.items() for k, v in enumerate(values)]
+    cells = spark.createDataFrame(rows, "layer string, row long, col long, value double")
+    got = {(r["layer"], r["i"]): r["brk"] for r in stats.quantile_breaks(cells, 10).collect()}
+    for name, values in layers.items():
+        ordered = sorted(values)
+        for i in range(1, 11):
+            assert got[name, i] == ordered[math.ceil(i * len(ordered) / 10) - 1]
+
+
+def test_breaks_of_more_than_a_million_values(spark):
+    cells = spark.range(1_100_000).select(F.lit("a").alias("layer"), F.col("id").alias("row"), F.lit(0).alias("col"), F.col("id").cast("double").alias("value"))
+    got = {r["i"]: r["brk"] for r in stats.quantile_breaks(cells, 10).collect()}
+    assert got == {i: i * 110_000.0 - 1 for i in range(1, 11)}
 
 
 def test_few_breaks_share_one_threshold(spark):

@@ -51,7 +51,8 @@ def sql(body: str, *names: str, recursive: bool = False, **extra: str) -> str:
 
     for name in names:
         add(name)
-    parts = [f"{n} AS ({COMMON[n]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
+    # Materialized, so that no planner merges the cross products of two of them.
+    parts = [f"{n} AS MATERIALIZED ({COMMON[n]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return (head + ",\n".join(parts) + "\n" if parts else "") + body
 

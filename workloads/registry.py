@@ -21,7 +21,6 @@ BOX = (-77.6, 36.2, -77.3, 36.6)
 DIAMETER = 1200.0
 RADIUS = 3.0
 RINGS = ((100, 600.0), (110, 400.0), (120, 200.0))
-LONLAT = Layout(4326, -77.75, 38.95, 0.002, 0.002, 100, 60000, ras.TILE)
 
 
 def query(fn):
@@ -92,12 +91,6 @@ def s7_scene_files(spark, d):
     return ras.scenes(spark, d).where(text.is_scene_file(F.col("uri"))).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query
-def s10_inventory(spark, d):
-    files = catalog.inventory(spark, d, "*.parquet")
-    return files.select(text.file_stem(F.col("path")).alias("name"), "length")
-
-
 def _held(spark, d, wanted):
     """The inventory: scenes of suppliers whose balance is not negative."""
     good = ras.table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("scene_id"))
@@ -450,7 +443,7 @@ def c8_breaks(spark, d):
     cover, cover_lay = ras.landcover(spark, d), ras.landcover_layout(lay)
     kept = products.suitable_elevation(ras.dem(spark, d), lay, cover, cover_lay)
     scores = products.site_scores(kept, lay, RADIUS, smooth=None, decimals=4)
-    found = products.suitability_statistics(scores, RADIUS)
+    found = products.suitability_statistics(scores)
     return found.select(
         F.explode(F.transform("breaks", lambda b: b.cast("long"))).alias("brk"),
         F.col("top").cast("long").alias("top"),
@@ -513,14 +506,19 @@ def l4_combined(spark, d):
 # Reshaping
 
 
+def lonlat(spark, d) -> Layout:
+    """A lon/lat grid that grows with the raster."""
+    return Layout(4326, -77.75, 38.95, 0.002, 0.002, 100, 4 * ras.layout(spark, d).rows, ras.TILE)
+
+
 @query
 def t1_reproject_bilinear(spark, d):
-    return rounded(grid.resample(ras.dem_gaps(spark, d), ras.layout(spark, d), LONLAT, "bilinear"))
+    return rounded(grid.resample(ras.dem_gaps(spark, d), ras.layout(spark, d), lonlat(spark, d), "bilinear"))
 
 
 @query
 def t1_reproject_nearest(spark, d):
-    return whole(grid.resample(ras.dem_gaps(spark, d), ras.layout(spark, d), LONLAT, "nearest"))
+    return whole(grid.resample(ras.dem_gaps(spark, d), ras.layout(spark, d), lonlat(spark, d), "nearest"))
 
 
 @query
