@@ -52,7 +52,7 @@ def sql(body: str, *names: str, recursive: bool = False, **extra: str) -> str:
     for name in names:
         add(name)
     # Materialized, so that no planner merges the cross products of two of them.
-    parts = [f"{n} AS MATERIALIZED ({COMMON[n]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
+    parts = [f"{n} AS MATERIALIZED ({COMMON[n]})" for n in order] + [f"{n} AS {'MATERIALIZED ' if n in ('st', 'tg') else ''}({q})" for n, q in extra.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return (head + ",\n".join(parts) + "\n" if parts else "") + body
 
@@ -535,13 +535,13 @@ def sight(elevation: str, radius: int, eye: float, target: float) -> dict[str, s
     reach = f"(SELECT dr, dc FROM {offsets(radius)} WHERE dr * dr + dc * dc <= {radius * radius})"
     return {
         "ob": f"SELECT p.id, p.r, p.c, e.z + {eye} AS zo FROM points p JOIN {elevation} e ON e.r = p.r AND e.c = p.c",
-        "tg": f"""SELECT id, ob.r, ob.c, zo, dr, dc, greatest(abs(dr), abs(dc)) AS n, e.z + {target} AS zt
+        # Sight lines run over the observer's other targets, so their steps are worked out once for all observers.
+        "st": f"""SELECT dr, dc, k, (2 * k * dr + n + 2 * n * 1000) // (2 * n) - 1000 AS sr, (2 * k * dc + n + 2 * n * 1000) // (2 * n) - 1000 AS sc
+            FROM (SELECT dr, dc, greatest(abs(dr), abs(dc)) AS n FROM {reach}), range(1, {radius}) t(k) WHERE k < n""",
+        "tg": f"""SELECT id, ob.r, ob.c, zo, dr, dc, greatest(abs(dr), abs(dc)) AS n, e.z, e.z + {target} AS zt
             FROM ob, {reach} JOIN {elevation} e ON e.r = ob.r + dr AND e.c = ob.c + dc""",
-        "hid": f"""SELECT DISTINCT id, dr, dc FROM (
-            SELECT id, dr, dc, zo, zt, n, k, r + (2 * k * dr + n + 2 * n * 1000) // (2 * n) - 1000 AS sr,
-              c + (2 * k * dc + n + 2 * n * 1000) // (2 * n) - 1000 AS sc
-            FROM tg, range(1, {radius}) t(k) WHERE k < n)
-          JOIN {elevation} e ON e.r = sr AND e.c = sc WHERE (e.z - zo) * n > (zt - zo) * k""",
+        "hid": """SELECT DISTINCT a.id, a.dr, a.dc FROM tg a JOIN st USING (dr, dc)
+            JOIN tg b ON b.id = a.id AND b.dr = sr AND b.dc = sc WHERE (b.z - b.zo) * a.n > (a.zt - a.zo) * k""",
         "seen": """SELECT id, r + dr AS r, c + dc AS c, CAST(hid.id IS NULL AS INTEGER) AS visible
             FROM tg LEFT JOIN hid USING (id, dr, dc)""",
     }
