@@ -34,7 +34,7 @@ def bag(frame, columns):
 
 def test_every_sql_belongs_to_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"v1_ring_viewshed"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -52,7 +52,7 @@ def sql(body: str, *names: str, recursive: bool = False, **extra: str) -> str:
     for name in names:
         add(name)
     # Materialized, so that no planner merges the cross products of two of them.
-    parts = [f"{n} AS MATERIALIZED ({COMMON[n]})" for n in order] + [f"{n} AS {'MATERIALIZED ' if n in ('st', 'tg') else ''}({q})" for n, q in extra.items()]
+    parts = [f"{n} AS MATERIALIZED ({COMMON[n]})" for n in order] + [f"{n} AS {'MATERIALIZED ' if n in ('st', 'tg', 'cl', 'look') or n[0] == 'h' and n[1:].isdigit() else ''}({q})" for n, q in extra.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return (head + ",\n".join(parts) + "\n" if parts else "") + body
 
@@ -553,6 +553,42 @@ ORACLE["v2_viewshed"] = sql(
 ORACLE["v6_cumulative"] = sql(
     'SELECT r AS "row", c AS col, max(visible) AS visible FROM seen GROUP BY 1, 2', "dem", "points", **sight("dem", 8, 3, 2)
 )
+
+
+def ring_sight(elevation: str, radius: int) -> dict[str, str]:
+    """A horizon carried outward: ring k needs ring k - 1 only. Doubles in the order of the recurrence."""
+    parts = {
+        "cl": f"""SELECT p.id, a.dr, a.dc, CAST(o.z AS DOUBLE) AS eye, CAST(e.z AS DOUBLE) AS z
+            FROM points p JOIN {elevation} o ON o.r = p.r AND o.c = p.c, {offsets(radius)} a
+            JOIN {elevation} e ON e.r = p.r + a.dr AND e.c = p.c + a.dc""",
+        "rg": f"""SELECT dr, dc, k, CASE WHEN abs(dr) = k THEN dc ELSE dr END AS along, abs(dr) = k AS down,
+            CASE WHEN abs(dr) = k THEN sign(dr) ELSE sign(dc) END * (k - 1) AS inward
+            FROM (SELECT dr, dc, greatest(abs(dr), abs(dc)) AS k FROM {offsets(radius)})""",
+        "lh": """SELECT *, CASE WHEN (along * (k - 1)) % k = 0 THEN low ELSE low + 1 END AS high,
+            CASE WHEN (along * (k - 1)) % k = 0 THEN 0.0::DOUBLE ELSE CAST(along * (k - 1) AS DOUBLE) / k - low END AS share
+            FROM (SELECT *, CAST(floor(CAST(along * (k - 1) AS DOUBLE) / k) AS BIGINT) AS low FROM rg WHERE k > 1)""",
+        "look": """SELECT dr, dc, k, share, CASE WHEN down THEN inward ELSE low END AS lr, CASE WHEN down THEN low ELSE inward END AS lc,
+            CASE WHEN down THEN inward ELSE high END AS hr, CASE WHEN down THEN high ELSE inward END AS hc FROM lh""",
+        "h1": "SELECT id, dr, dc, z, eye, z AS h FROM cl WHERE greatest(abs(dr), abs(dc)) <= 1",
+    }
+    for k in range(2, radius + 1):
+        parts[f"h{k}"] = f"""SELECT id, dr, dc, z, eye, greatest(z, before + (before - eye) / {k - 1}) AS h FROM (
+            SELECT cl.*, (1.0::DOUBLE - share) * a.h + share * b.h AS before FROM look JOIN cl USING (dr, dc)
+            LEFT JOIN h{k - 1} a ON a.id = cl.id AND a.dr = lr AND a.dc = lc
+            LEFT JOIN h{k - 1} b ON b.id = cl.id AND b.dr = hr AND b.dc = hc WHERE k = {k})"""
+        # greatest() leaves NULL out, but a horizon that is not known stays unknown
+        parts[f"h{k}"] = f"SELECT id, dr, dc, z, eye, CASE WHEN before IS NOT NULL THEN h END AS h FROM ({parts[f'h{k}'].replace(' AS h FROM (', ' AS h, before FROM (', 1)})"
+    parts["hz"] = " UNION ALL ".join(f"SELECT id, dr, dc, z, h FROM h{k}" for k in range(1, radius + 1))
+    return parts
+
+
+ORACLE["v1_ring_viewshed"] = sql(
+    """SELECT p.id AS observer_id, p.r + dr AS "row", p.c + dc AS col, CAST(coalesce(z = h, FALSE) AS INTEGER) AS visible
+      FROM hz JOIN points p ON p.id = hz.id WHERE dr * dr + dc * dc <= 144""",
+    "dem",
+    "points",
+    **ring_sight("dem", 12),
+)
 ORACLE["v3_symbol_rings"] = sql(
     symbols("marks"), "gaps", "size", marks="SELECT r, c, CASE WHEN z % 97 = 0 THEN 3 ELSE z % 3 END AS z FROM gaps"
 )
