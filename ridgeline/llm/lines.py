@@ -7,7 +7,7 @@ Lines without a word stay.
 Method: tokens of a set are ordered by rarity. Two sets can only be similar enough if they share a token within their
 first ``n - ceil(t n) + 1`` ones (prefix filter), if their sizes differ little enough (length filter), if what follows
 the shared token is long enough (positional filter), and if the parities of their hashed tokens differ in no more bits
-than the sets may differ in tokens. What passes is verified on the words themselves. Equal sets are one set throughout,
+than the sets may differ in tokens. What passes is verified on all words. Equal sets are one set throughout,
 so a line that fills a third of a corpus is one row.
 
 Rarity is the binary logarithm of the count of a token's hash class, over all lines, and then the token's hash: a total
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import kept
 
-CLASSES = 1 << 16
+CLASSES = 1 << 14
 MARKS = 1 << 20
 #: Sizes from here on are not told apart before verification.
 MOST = (1 << 16) - 1
@@ -47,14 +47,9 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(has_word(F.col("line"))).select("doc_id", "line_no", words(F.col("line")).alias("words"))
 
 
-def with_table(df: DataFrame, name: str, table: bytearray) -> DataFrame:
-    """A constant table of fixed size as a column. A subquery, as a literal would be printed into every plan."""
-    return df.withColumn(name, df.sparkSession.createDataFrame([(table,)], f"{name} binary").scalar())
-
-
-def byte_at(table: str, at: Column) -> Column:
-    """One byte (below 128) of a table."""
-    return F.ascii(F.substring(F.col(table), at.cast("int") + 1, F.lit(1)).cast("string"))
+def byte_at(table: bytearray, at: Column) -> Column:
+    """One byte (below 128) of a constant table."""
+    return F.ascii(F.substring(F.lit(table), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
 def rarities(lines: DataFrame) -> bytearray:
@@ -73,11 +68,11 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
 
     def order(word: Column) -> Column:
         h = F.xxhash64(word)
-        return F.shiftleft(byte_at("rarity", F.pmod(h, F.lit(CLASSES))).cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
+        return F.shiftleft(byte_at(table, F.pmod(h, F.lit(CLASSES))).cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
 
     n = F.size("tokens")
     need = F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int")
-    with_tokens = with_table(lines, "rarity", table).withColumn("tokens", F.sort_array(F.transform("words", order)))
+    with_tokens = lines.withColumn("tokens", F.sort_array(F.transform("words", order)))
     return with_tokens.select(
         "doc_id", "line_no", "words", F.xxhash64("tokens").alias("key"), n.alias("n"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(t, 8), F.lit(64)).cast("int")))).alias("odd"),
@@ -85,17 +80,29 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
     )
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: keys of sets of which one may be similar enough to the other."""
-    t = percent / 100
-    # written once: the two sides of the join then share one exchange, of rows packed into three numbers
-    one = kept(sets.select("key", "n", "odd", "prefix").dropDuplicates(["key"]).where("n > 3"))  # smaller sets would have to be equal
-    rows = one.select("key", "odd", "n", F.posexplode("prefix").alias("at", "token"))
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row for each set, with its first line; ``id`` grows with that line's place."""
+    one = sets.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "prefix")])
+    ordered = one.select("first.doc_id", "first.line_no", "n", "odd", "prefix").orderBy("doc_id", "line_no")
+    return kept(ordered.withColumn("id", F.monotonically_increasing_id()))
+
+
+def token_rows(one: DataFrame) -> DataFrame:
+    """token_n_at, id, odd: a row for each prefix token. Sets of three words or fewer would have to be equal."""
+    rows = one.where("n > 3").select("id", "odd", "n", F.posexplode("prefix").alias("at", "token"))
     short = lambda c: F.least(F.col(c), F.lit(MOST)).cast("long")
     packed = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.shiftleft(short("n"), 16)).bitwiseOR(short("at"))
-    rows = rows.select(packed.alias("token_n_at"), "key", "odd")
-    x, y = rows.alias("x"), rows.alias("y")
-    token = lambda c: F.shiftright(F.col(c), 32).cast("int")
+    return rows.select(packed.alias("token_n_at"), "id", "odd")
+
+
+def token(packed: Column) -> Column:
+    return F.shiftright(packed, 32).cast("int")
+
+
+def candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: ids of an earlier and a later set that may be similar enough; once for each token they share."""
+    t = percent / 100
+    x, y = earlier.alias("x"), later.alias("y")
     part = lambda c, bits: F.shiftright(F.col(c), bits).bitwiseAND(F.lit(MOST)).cast("int")
     nx, ny, ax, ay = part("x.token_n_at", 16), part("y.token_n_at", 16), part("x.token_n_at", 0), part("y.token_n_at", 0)
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
@@ -104,51 +111,61 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
         & (F.least(nx - ax, ny - ay) >= need - F.least(ax, ay))
         & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= nx + ny - 2 * need)
     )
-    same = (token("x.token_n_at") == token("y.token_n_at")) & (F.col("x.key") < F.col("y.key")) & (fits | (F.greatest(nx, ny) == MOST))
-    return x.join(y.hint("merge"), same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    same = (token(F.col("x.token_n_at")) == token(F.col("y.token_n_at"))) & (F.col("x.id") < F.col("y.id")) & (fits | (F.greatest(nx, ny) == MOST))
+    return x.join(y.hint("merge"), same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def mark(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("int")
+def mark(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(MARKS)).cast("int")
 
 
-def marked(marks: DataFrame) -> bytearray:
-    """A table of MARKS bytes with 1 at each ``mark``: a filter before a join, which stays exact."""
-    table = bytearray(MARKS)
-    for (at,) in marks.collect():
-        table[at] = 1
-    return table
+def meeting(rows: DataFrame, keys: list[Column], marks: DataFrame, how: str) -> DataFrame:
+    """The rows whose keys have a ``mark`` (or none): a filter by at most MARKS broadcast numbers; a join stays to be done."""
+    return rows.join(F.broadcast(marks.distinct()), mark(*keys) == F.col("mark"), how)
+
 
+def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``b`` of the pairs that are similar enough on all their words, compared by 64-bit hashes."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = kept(one.select("id", "doc_id", "line_no").join(ids, "id", "left_semi"))
+    place = [F.col("doc_id"), F.col("line_no")]
+    likely = meeting(lines, place, wanted.select(mark(*place).alias("mark")), "left_semi")
+    found = likely.join(wanted, ["doc_id", "line_no"]).dropDuplicates(["id"]).select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    met = pairs.join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    return met.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("b").distinct()
 
-def repeated_sets(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``key`` of the sets whose first line comes after the first line of a similar set."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(mark(F.col("key")).alias("mark")).distinct()
-    likely = with_table(lines, "marks", marked(ends)).where(byte_at("marks", mark(F.col("key"))) == 1)
-    first = likely.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "words")).alias("first"))
-    one = first.select(F.col("key").alias("a"), F.col("first").alias("first_a"))
-    two = first.select(F.col("key").alias("b"), F.col("first").alias("first_b"))
-    met = pairs.join(one, "a").join(two, "b")
-    common = F.size(F.array_intersect("first_a.words", "first_b.words"))
-    union = F.size("first_a.words") + F.size("first_b.words") - common
-    place = lambda side: F.struct(F.col(f"{side}.doc_id"), F.col(f"{side}.line_no"))
-    later = F.when(place("first_a") < place("first_b"), F.col("b")).otherwise(F.col("a"))
-    return met.where(100 * common >= percent * union).select(later.alias("key")).distinct()
 
+def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """``b``: ids of the sets for which a similar one came earlier.
 
-def kept_lines(sets: DataFrame, repeated: DataFrame) -> DataFrame:
+    Each set is first held against its earliest candidate only, which settles nearly all sets of large groups with one
+    pair each; sets that this leaves open, and that have more candidates, are then held against all of them.
+    """
+    rows = token_rows(one)
+    met = kept(candidates(rows, rows, percent).groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("last")))
+    first = kept(verified(lines, one, met.select("a", "b"), percent))
+    open_ = kept(met.where("last > a").join(first, "b", "left_anti").select(F.col("b").alias("id")))
+    later = token_rows(one.join(open_, "id", "left_semi"))
+    tokens = later.select(mark(token(F.col("token_n_at"))).alias("mark"))
+    earlier = meeting(rows, [token(F.col("token_n_at"))], tokens, "left_semi")
+    rest = kept(candidates(earlier, later, percent).distinct())
+    return first.union(verified(lines, one, rest, percent)).distinct()
+
+
+def kept_lines(one: DataFrame, repeated: DataFrame) -> DataFrame:
     """doc_id, ``bits``: for each document a map from line_no / 32 to the bits of its lines that stay."""
-    first = sets.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).join(repeated, "key", "left_anti")
-    word, bit = F.floor(F.col("first.line_no") / 32).cast("int"), F.pmod("first.line_no", F.lit(32))
-    bits = first.select(F.col("first.doc_id").alias("doc_id"), word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    first = one.select("id", "doc_id", "line_no").join(repeated.withColumnRenamed("b", "id"), "id", "left_anti")
+    word, bit = F.floor(F.col("line_no") / 32).cast("int"), F.pmod("line_no", F.lit(32))
+    bits = first.select("doc_id", word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
     return bits.groupBy("doc_id", "word").agg(F.sum("bit").alias("bits")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
 
 
-def changed_documents(sets: DataFrame, stays: DataFrame) -> bytearray:
-    """Marks, by a hash of the id, of the documents that lose a line: at most MARKS numbers."""
-    had = sets.groupBy("doc_id").agg(F.count("line_no").alias("n"))
+def changed_documents(lines: DataFrame, stays: DataFrame) -> DataFrame:
+    """``mark``, a hash of the id, of the documents that lose a line: at most MARKS numbers."""
+    had = lines.groupBy("doc_id").agg(F.count("line_no").alias("n"))
     has = stays.select("doc_id", F.aggregate(F.map_values("bits"), F.lit(0), lambda a, b: a + F.bit_count(b)).alias("m"))
-    lose = had.join(has, "doc_id", "left").where("m is null or m < n").select(mark(F.col("doc_id")).alias("mark")).distinct()
-    return marked(lose)
+    return kept(had.join(has, "doc_id", "left").where("m is null or m < n").select(mark(F.col("doc_id")).alias("mark")).distinct())
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,18 +174,16 @@ def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     Only documents that may lose a line meet their lines in a shuffle; the others pass as they are.
     """
     lines = split_lines(docs, id_col, text_col)
-    sets = coded(lines, rarities(lines), percent)
-    repeated = kept(repeated_sets(sets, kept(candidates(sets, percent)), percent))
-    stays = kept(kept_lines(sets, repeated))
+    one = distinct_sets(coded(lines, rarities(lines), percent))
+    stays = kept(kept_lines(one, repeated_sets(lines, one, percent)))
     # the row stays apart, so that its columns may have any name
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row"))
-    rows = with_table(rows, "marks", changed_documents(sets, stays))
-    changed = F.coalesce(byte_at("marks", mark(F.col("id"))) == 1, F.lit(True))
+    changed = changed_documents(lines, stays)
     own = [c for c in docs.columns if c not in ADDED]
     count = lambda c: F.greatest(F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), has_word)), F.lit(0)).cast("long")
     parts = F.split("text", "\n")
-    as_is = rows.where(~changed).select("row.*", count(parts).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    whole = rows.where(changed).select("id", parts.alias("parts"), "row")
+    as_is = meeting(rows, [F.col("id")], changed, "left_anti").select("row.*", count(parts).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    whole = meeting(rows, [F.col("id")], changed, "left_semi").select("id", parts.alias("parts"), "row")
     joined = whole.join(stays, F.col("id") == F.col("doc_id"), "left")
     last = F.floor((F.size("parts") - 1) / 32).cast("int")
     dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at("bits", w), F.lit(0).cast("long")))
