@@ -59,3 +59,20 @@ def test_search_is_pushed_down(spark, tmp_path):
     for part in ("EqualTo(type,sources)", "LessThanOrEqual(xmin,2.0)", "GreaterThanOrEqual(xmax,1.0)"):
         assert part in pushed
     assert "uri" not in shown[shown.index("ReadSchema") :]
+
+
+def test_aligned_cells_are_never_broadcast(spark):
+    from ridgeline.operators import local
+    from ridgeline.operators.blocks import to_blocks, to_cells
+
+    few = to_cells(to_blocks(cells(spark).limit(100), LAY), LAY)
+    for df in (local.subtract(cells(spark), few), grid.nearest_onto(cells(spark), LAY, few, LAY, "cls")):
+        assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_cells_outside_the_layout_raise(spark):
+    from ridgeline.operators.blocks import to_blocks
+
+    stray = spark.createDataFrame([("a", -1, 2, 1.0)], "layer string, row long, col long, value double")
+    with pytest.raises(Exception, match="outside the layout"):
+        to_blocks(stray, LAY).collect()
