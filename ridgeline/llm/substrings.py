@@ -98,6 +98,10 @@ def packed(key: np.ndarray) -> bytes:
     return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
+def squeezed(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
+
+
 def unpacked(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
@@ -213,7 +217,7 @@ def segments(blocks: DataFrame, shared: DataFrame, groups: int, least: int) -> D
             for g in np.unique(grp).tolist():
                 part = slice(cuts[g], cuts[g + 1])
                 own = place[part]
-                values = (g, block, packed(key[own]), segment[own].tobytes(), low[part].tobytes(), run[own].astype(np.uint16).tobytes(), b"".join([parts["content"][i] for i in own.tolist()]))
+                values = (g, block, packed(key[own]), segment[own].tobytes(), squeezed(low[part].tobytes()), run[own].astype(np.uint16).tobytes(), squeezed(b"".join([parts["content"][i] for i in own.tolist()])))
                 for name, value in zip(out, values):
                     out[name].append(value)
         return pa.Table.from_batches([record(schema, **out)])
@@ -291,9 +295,11 @@ def earlier_windows(sent: DataFrame, least: int) -> DataFrame:
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
         per_block = read("segments", np.uint64)
         block = np.repeat(table.column("block").to_numpy(), [len(s) for s in per_block])
-        segment, own_low, run = np.concatenate(per_block), np.concatenate(read("low", np.int64)), np.concatenate(read("run", np.uint16)).astype(np.int64)
+        runs_of = read("run", np.uint16)
+        segment, run = np.concatenate(per_block), np.concatenate(runs_of).astype(np.int64)
+        own_low = np.concatenate([np.frombuffer(pa.decompress(x, 8 * len(r), "zstd"), np.int64) for x, r in zip(table.column("low").to_pylist(), runs_of)])
         key = np.concatenate([unpacked(k) for k in table.column("keys").to_pylist()])
-        content = b"".join(table.column("content").to_pylist())
+        content = b"".join(pa.decompress(x, int(r.sum(dtype=np.int64)) + (least - 1) * len(r), "zstd", asbytes=True) for x, r in zip(table.column("content").to_pylist(), runs_of))
         begins = np.cumsum(run + least - 1) - (run + least - 1)
         _, place, low, at = smallest(segment, own_low)
         order = np.argsort(key[place], kind="stable")  # anchors stay together
