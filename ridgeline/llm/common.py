@@ -74,7 +74,7 @@ def bundled(blocks: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
     return blocks.mapInArrow(pack, "block long, bundle binary")
 
 
-def unbundled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def unbundled(table: pa.Table | pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for bundle in table.column("bundle"):
         yield from pa.ipc.open_stream(bundle.as_buffer())
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import arrow_schema, bundled, chunks, joined_bytes, kept, mix64, record, text_bytes, unbundled
+from ridgeline.llm.common import arrow_schema, bundled, joined_bytes, kept, mix64, record, text_bytes, unbundled
 
 SEED = 24
 BLOCK_BYTES = 8 << 20
@@ -121,7 +121,10 @@ def group_of(key: np.ndarray, groups: int) -> np.ndarray:
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """doc_id, text, block; and the number of groups, which grows with the bytes."""
+    """block, bundle: the texts by block; and the number of groups, which grows with the bytes.
+
+    Blocks are parts of splits of the input. Splits can move from job to job, so blocks are named and written once.
+    """
     source = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_DOC))).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"),
@@ -130,7 +133,7 @@ def blocked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     size = sizes.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("all")).first()
     parts = math.ceil((size["most"] or 0) / BLOCK_BYTES) or 1
     block = F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    return source.withColumn("block", block).drop("split"), max(16, math.ceil((size["all"] or 0) / BLOCK_BYTES))
+    return kept(bundled(source.withColumn("block", block).drop("split"), CHUNK)), max(16, math.ceil((size["all"] or 0) / BLOCK_BYTES))
 
 
 def anchors(blocks: DataFrame, groups: int, least: int) -> DataFrame:
@@ -155,13 +158,10 @@ def anchors(blocks: DataFrame, groups: int, least: int) -> DataFrame:
                 yield record(schema, grp=[g for g, _ in own], block=[block] * len(own), keys=[packed(distinct[o]) for _, o in own], many=[np.packbits(many[o]).tobytes() for _, o in own])
             held.clear()
 
-        for chunk in chunks(batches, "text", CHUNK):
-            block, ids, texts = chunk.column("block").to_numpy(), chunk.column("doc_id").to_numpy(), text_bytes(chunk.column("text"))
-            for b in np.unique(block).tolist():
-                own = np.flatnonzero(block == b)
-                found = Windows([texts[i] for i in own], least)
-                held.setdefault(b, []).append((found.key, ids[own][found.doc]))
-                size += len(found.key)
+        for chunk in (c for batch in batches for c in unbundled(batch)):
+            found = Windows(text_bytes(chunk.column("text")), least)
+            held.setdefault(chunk.column("block")[0].as_py(), []).append((found.key, chunk.column("doc_id").to_numpy()[found.doc]))
+            size += len(found.key)
             if size > 4_000_000:
                 yield from flush()
                 size = 0
@@ -222,7 +222,7 @@ def segments(blocks: DataFrame, shared: DataFrame, groups: int, least: int) -> D
                     out[name].append(value)
         return pa.Table.from_batches([record(schema, **out)])
 
-    return bundled(blocks, CHUNK).groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(collect, fields)
+    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(collect, fields)
 
 
 def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
@@ -393,7 +393,7 @@ def cut(blocks: DataFrame, heard: DataFrame, least: int) -> DataFrame:
             out.append(record(schema, doc_id=ids, n_bytes=[len(t) for t in own], starts=[s for s, _ in spans], ends=[e for _, e in spans], kept=stays))
         return pa.Table.from_batches(out, schema)
 
-    return bundled(blocks, CHUNK).groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(remove, fields)
+    return blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(remove, fields)
 
 
 def deduplicate(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
