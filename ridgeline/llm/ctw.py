@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import arrow_schema, chunks, joined_bytes, kept, mix64, record, text_bytes
+from ridgeline.llm.common import arrow_schema, bundled, joined_bytes, kept, mix64, record, text_bytes, unbundled
 from ridgeline.llm.minhash import WordHashes
 
 DEPTH = 5
@@ -139,9 +139,10 @@ class PairTree:
 
 
 def blocked(docs: DataFrame, train: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """doc_id, text, train, block; and the number of groups, which grows with the bytes.
+    """block, bundle: doc_id, text, train by block; and the number of groups, which grows with the bytes.
 
-    A block is a part of one split of the input, so that no shuffle is needed to count it.
+    A block is a part of one split of the input, so that no shuffle is needed to count it. Splits can move from job to
+    job, so blocks are named and written once.
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("train"),
@@ -151,7 +152,7 @@ def blocked(docs: DataFrame, train: Column, id_col: str, text_col: str) -> tuple
     size = sizes.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("all")).first()
     parts = math.ceil((size["most"] or 0) / BLOCK_BYTES) or 1
     block = F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    return source.withColumn("block", block).drop("split"), max(16, math.ceil((size["all"] or 0) / (8 << 20)))
+    return kept(bundled(source.withColumn("block", block).drop("split"), CHUNK)), max(16, math.ceil((size["all"] or 0) / (8 << 20)))
 
 
 class Counts:
@@ -191,14 +192,13 @@ def counted(blocks: DataFrame, groups: int, kinds: tuple[bool, ...] = (False, Tr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bool], Counts] = {}
-        for chunk in chunks(batches, "text", CHUNK):
-            block, train = chunk.column("block").to_numpy(), chunk.column("train").to_numpy(zero_copy_only=False)
+        for chunk in (c for batch in batches for c in unbundled(batch)):
+            block, train = chunk.column("block")[0].as_py(), chunk.column("train").to_numpy(zero_copy_only=False)
             texts = text_bytes(chunk.column("text"))
-            for b in np.unique(block).tolist():
-                for learned in (True, False):
-                    own = [texts[i] for i in np.flatnonzero((block == b) & (train == learned))]
-                    for word in kinds if own else ():
-                        held.setdefault((b, word), Counts()).add(block_keys(own, word), learned)
+            for learned in (True, False):
+                own = [texts[i] for i in np.flatnonzero(train == learned)]
+                for word in kinds if own else ():
+                    held.setdefault((block, word), Counts()).add(block_keys(own, word), learned)
         for (block, word), counts in held.items():
             key, n = counts.merge()
             order, cuts = by_group(key, groups)
@@ -339,7 +339,7 @@ def scored(blocks: DataFrame, told: DataFrame, groups: int) -> DataFrame:
     schema = arrow_schema(fields)
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        pieces = [(c, text_bytes(c.column("text"))) for c in chunks(texts.to_batches(), "text", CHUNK)]
+        pieces = [(c, text_bytes(c.column("text"))) for c in unbundled(texts)]
         tables = []
         for kind, width in ((False, np.float32), (True, np.float64)):
             own = Counts()

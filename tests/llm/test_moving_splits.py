@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import substrings
+from ridgeline.llm import ctw, substrings
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -48,3 +48,14 @@ def test_substrings(spark, docs, monkeypatch):
     got = sorted(map(repr, substrings.deduplicate(docs, 50).collect()))
     spark.conf.unset(SPLIT)
     assert sum("starts=[]" not in r for r in expected) == 29 and got == expected
+
+
+def test_scores(spark, docs, monkeypatch):
+    train = F.col("doc_id") % 5 != 0
+    columns = ("doc_id", "n_tokens", "n_known", "train_tokens")
+    expected = sorted(ctw.evaluate(docs, train).collect())
+    moving(spark, monkeypatch, ctw, "string_logs")
+    got = sorted(ctw.evaluate(docs, train).collect())
+    spark.conf.unset(SPLIT)
+    for a, b in zip(got, expected, strict=True):
+        assert [a[c] for c in columns] == [b[c] for c in columns] and a["score"] == pytest.approx(b["score"], rel=1e-6)
