@@ -13,9 +13,9 @@ so a line that fills a third of a corpus is one row.
 Rarity is the binary logarithm of the count of a token's hash class, over all lines, and then the token's hash: a total
 order, as the prefix filter needs, that fits in a table of fixed size.
 
-Odd cases: a null text counts as empty and stays null; repeated rows of an id are one document with the lines of each
-row numbered alike, of which the first wins; other columns are kept as they are; ``n_lines`` and ``n_removed`` are
-replaced.
+Odd cases: a null text counts as empty and stays null; a null id counts as larger than all others; rows that share id
+and text are one document, of which each row keeps the lines that stay; rows that share an id only are documents of their
+own, in the order of a hash of the text; other columns are kept as they are; ``n_lines`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ MARKS = 1 << 20
 #: Sizes from here on are not told apart before verification.
 MOST = (1 << 16) - 1
 ADDED = ["n_lines", "n_removed"]
+NO_DOC = (1 << 63) - 1
+#: What tells documents apart, and the place of a line; never null.
+OWN = ["doc_id", "digest"]
+PLACE = [*OWN, "line_no"]
 
 
 def words(line: Column) -> Column:
@@ -40,11 +44,17 @@ def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
+def own_key(id_col: str, text_col: str) -> list[Column]:
+    """doc_id (nulls last) and digest of a row."""
+    doc = F.col(id_col).cast("long")
+    return [F.coalesce(doc, F.lit(NO_DOC)).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string"), doc.isNull()).alias("digest")]
+
+
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line_no (from 0), words: the lines that have a word."""
+    """doc_id, digest, line_no (from 0), words: the lines that have a word."""
     text = F.col(text_col).cast("string")
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.where(has_word(F.col("line"))).select("doc_id", "line_no", words(F.col("line")).alias("words"))
+    lines = docs.select(*own_key(id_col, text_col), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.where(has_word(F.col("line"))).select(*PLACE, words(F.col("line")).alias("words"))
 
 
 def byte_at(table: bytearray, at: Column) -> Column:
@@ -63,7 +73,7 @@ def rarities(lines: DataFrame) -> bytearray:
 
 
 def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
-    """doc_id, line_no, words and for each set: key, n, odd (parities), prefix (hashes of its rarest tokens, in order)."""
+    """doc_id, digest, line_no, words and for each set: key, n, odd (parities), prefix (hashes of its rarest tokens, in order)."""
     low = F.lit((1 << 48) - 1)
 
     def order(word: Column) -> Column:
@@ -74,7 +84,7 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
     need = F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int")
     with_tokens = lines.withColumn("tokens", F.sort_array(F.transform("words", order)))
     return with_tokens.select(
-        "doc_id", "line_no", "words", F.xxhash64("tokens").alias("key"), n.alias("n"),
+        *PLACE, "words", F.xxhash64("tokens").alias("key"), n.alias("n"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(t, 8), F.lit(64)).cast("int")))).alias("odd"),
         F.transform(F.slice("tokens", F.lit(1), n - need + 1), lambda t: F.hash(t)).alias("prefix"),
     )
@@ -82,8 +92,8 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
     """One row for each set, with its first line; ``id`` grows with that line's place."""
-    one = sets.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "prefix")])
-    ordered = one.select("first.doc_id", "first.line_no", "n", "odd", "prefix").orderBy("doc_id", "line_no")
+    one = sets.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "prefix")])
+    ordered = one.select("first.*", "n", "odd", "prefix").orderBy(*PLACE)
     return kept(ordered.withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -127,10 +137,10 @@ def meeting(rows: DataFrame, keys: list[Column], marks: DataFrame, how: str) ->
 def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``b`` of the pairs that are similar enough on all their words, compared by 64-bit hashes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = kept(one.select("id", "doc_id", "line_no").join(ids, "id", "left_semi"))
-    place = [F.col("doc_id"), F.col("line_no")]
+    wanted = kept(one.select("id", *PLACE).join(ids, "id", "left_semi"))
+    place = [F.col(c) for c in PLACE]
     likely = meeting(lines, place, wanted.select(mark(*place).alias("mark")), "left_semi")
-    found = likely.join(wanted, ["doc_id", "line_no"]).dropDuplicates(["id"]).select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    found = likely.join(wanted, PLACE).dropDuplicates(["id"]).select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
     met = pairs.join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return met.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("b").distinct()
@@ -154,18 +164,18 @@ def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
 
 
 def kept_lines(one: DataFrame, repeated: DataFrame) -> DataFrame:
-    """doc_id, ``bits``: for each document a map from line_no / 32 to the bits of its lines that stay."""
-    first = one.select("id", "doc_id", "line_no").join(repeated.withColumnRenamed("b", "id"), "id", "left_anti")
+    """doc_id, digest, ``bits``: for each document a map from line_no / 32 to the bits of its lines that stay."""
+    first = one.select("id", *PLACE).join(repeated.withColumnRenamed("b", "id"), "id", "left_anti")
     word, bit = F.floor(F.col("line_no") / 32).cast("int"), F.pmod("line_no", F.lit(32))
-    bits = first.select("doc_id", word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
-    return bits.groupBy("doc_id", "word").agg(F.sum("bit").alias("bits")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    bits = first.select(*OWN, word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    return bits.groupBy(*OWN, "word").agg(F.bit_or("bit").alias("bits")).groupBy(*OWN).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
 
 
 def changed_documents(lines: DataFrame, stays: DataFrame) -> DataFrame:
-    """``mark``, a hash of the id, of the documents that lose a line: at most MARKS numbers."""
-    had = lines.groupBy("doc_id").agg(F.count("line_no").alias("n"))
-    has = stays.select("doc_id", F.aggregate(F.map_values("bits"), F.lit(0), lambda a, b: a + F.bit_count(b)).alias("m"))
-    return kept(had.join(has, "doc_id", "left").where("m is null or m < n").select(mark(F.col("doc_id")).alias("mark")).distinct())
+    """``mark``, a hash of id and digest, of the documents that lose a line: at most MARKS numbers."""
+    had = lines.groupBy(*OWN).agg(F.count("line_no").alias("n"))
+    has = stays.select(*OWN, F.aggregate(F.map_values("bits"), F.lit(0), lambda a, b: a + F.bit_count(b)).alias("m"))
+    return kept(had.join(has, OWN, "left").where("m is null or m < n").select(mark(*[F.col(c) for c in OWN]).alias("mark")).distinct())
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,14 +187,15 @@ def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     one = distinct_sets(coded(lines, rarities(lines), percent))
     stays = kept(kept_lines(one, repeated_sets(lines, one, percent)))
     # the row stays apart, so that its columns may have any name
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row"))
+    rows = docs.select(*own_key(id_col, text_col), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row"))
     changed = changed_documents(lines, stays)
     own = [c for c in docs.columns if c not in ADDED]
     count = lambda c: F.greatest(F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), has_word)), F.lit(0)).cast("long")
     parts = F.split("text", "\n")
-    as_is = meeting(rows, [F.col("id")], changed, "left_anti").select("row.*", count(parts).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    whole = meeting(rows, [F.col("id")], changed, "left_semi").select("id", parts.alias("parts"), "row")
-    joined = whole.join(stays, F.col("id") == F.col("doc_id"), "left")
+    key = [F.col(c) for c in OWN]
+    as_is = meeting(rows, key, changed, "left_anti").select("row.*", count(parts).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    whole = meeting(rows, key, changed, "left_semi").select(*OWN, parts.alias("parts"), "row")
+    joined = whole.join(stays, OWN, "left")
     last = F.floor((F.size("parts") - 1) / 32).cast("int")
     dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at("bits", w), F.lit(0).cast("long")))
     joined = joined.select("row", "parts", dense.alias("dense"))
