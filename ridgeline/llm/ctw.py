@@ -377,5 +377,5 @@ def evaluate(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     logs = kept(string_logs(found.where(~F.col("word"))))
     told = string_answers(counted(blocks, groups, (False,)), logs)
     told = told.unionByName(found.where(F.col("word") & F.col("block").isNotNull()).select("word", "grp", "block", "values"))
-    base = F.col("log_words") - F.col("n_tokens") * F.lit(math.log10(size["tokens"] + size["different"] or 1))
+    base = F.col("log_words") - F.col("n_tokens") * F.lit(math.log10(size["tokens"] + size["different"] + 1))
     return scored(blocks, told, groups).select("doc_id", "train", "n_tokens", "n_known", F.lit(size["tokens"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
