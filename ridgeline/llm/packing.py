@@ -58,7 +58,8 @@ class WordIds(dict):
         for word in missing:
             text = word.decode()
             core = text.rstrip(ENDS)
-            if core and core[-1].isalnum() and "<|" not in text:
+            # "\u0130" lowers to an i and a combining dot, which joins the punctuation after it
+            if core and core.lower()[-1].isalnum() and "<|" not in text:
                 key = core.encode()
                 if core is not text and core != text:
                     run = text[len(core) :]
