@@ -15,7 +15,9 @@ in the lowest list of both. A task returns for each vector how many links it fou
 the pairs. Equal vectors are one class throughout. Recall against brute force is measured in the tests.
 
 Odd cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different length never link; rows that repeat an id count as copies of it; other columns are not read.
+different length never link; rows that repeat an id count as copies of it. A row without an id is a vector of its own,
+after all with one: it counts as a link of others, and ``component_id`` is null where no id is reachable, of which rows
+one is kept. Ids are below 2^62. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ MOST_PIVOTS = 8192
 LISTED = 16
 SHARED = 4
 BLOCK = 1024
+#: Rows without an id have numbers from here on.
+NO_ID = 1 << 62
 #: Cosines this close to the threshold are computed anew, one pair at a time.
 ROUNDING = 1e-9
 
 
 def units(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, the unit vector as bytes of doubles (null where it links with nothing) and its fingerprint fa, fb."""
+    """vec_id (never null), the unit vector as bytes of doubles (null where it links with nothing) and its fingerprint fa, fb."""
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.when(F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0), F.col("v"))
@@ -58,7 +62,8 @@ def units(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 out.append((x / np.sqrt(x @ x)).tobytes())
             yield record(arrow_schema(fields), vec_id=batch.column("vec_id"), unit=out)
 
-    scaled = source.select("vec_id", usable.alias("v")).mapInArrow(scale, fields)
+    own = F.coalesce("vec_id", F.lit(NO_ID) + F.monotonically_increasing_id())
+    scaled = source.select(own.alias("vec_id"), usable.alias("v")).mapInArrow(scale, fields)
     return scaled.withColumn("fa", F.xxhash64("unit")).withColumn("fb", F.xxhash64(F.lit(1), "unit"))
 
 
@@ -201,4 +206,6 @@ def link(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector
     known = known.select("fa", "fb", "n", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = lookup(scaled.select("vec_id", "fa", "fb", F.col("unit").isNotNull().alias("valid")), kept(known), ["fa", "fb"], ["n_links", "component"])
     out = out.select("vec_id", F.when(F.col("valid"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("valid"), F.col("component")).otherwise(F.col("vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    given = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return out.select(given("vec_id"), "n_links", given("component_id"), "kept")
