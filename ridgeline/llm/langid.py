@@ -6,13 +6,13 @@ documents. The regression is trained on a bounded sample with follow-the-regular
 which leaves most weights at zero; a temperature fitted on a part of the sample that training has not seen calibrates
 the probabilities. Because term shares are linear, a text is scored by averaging one table row per character.
 
-Odd cases: a null text, or one without a letter, is ``und`` with score 0; a null language is never learned from; with
-no training document at all everything is ``und``; repeated rows are each predicted; other columns are not read.
+Odd cases: a null text, or one without a letter (fractions, superscripts and digits are none), is ``und`` with score 0; a
+null language is never learned from; with no training document at all everything is ``und``; equal probabilities go to
+the language that sorts first; repeated rows are each predicted, a null id stays null; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,6 @@ from ridgeline.llm.common import arrow_schema, chunks, record
 
 UNKNOWN = "und"
 SLOTS = 1 << 17
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def grams(text: str, slots: int) -> np.ndarray:
@@ -158,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         for chunk, some in texts(batches):
             best, sure = [], []
             for text in some:
-                if model is None or not LETTER.search(text):
+                if model is None or not any(map(str.isalpha, text)):
                     best.append(UNKNOWN)
                     sure.append(0.0)
                     continue
