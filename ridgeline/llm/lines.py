@@ -97,9 +97,9 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     return kept(ordered.withColumn("id", F.monotonically_increasing_id()))
 
 
-def token_rows(one: DataFrame) -> DataFrame:
-    """token_n_at, id, odd: a row for each prefix token. Sets of three words or fewer would have to be equal."""
-    rows = one.where("n > 3").select("id", "odd", "n", F.posexplode("prefix").alias("at", "token"))
+def token_rows(one: DataFrame, percent: int) -> DataFrame:
+    """token_n_at, id, odd: a row for each prefix token. Sets too short to be similar to another one have none: n of n + 1 words is their best."""
+    rows = one.where(F.col("n") * (100 - percent) >= percent).select("id", "odd", "n", F.posexplode("prefix").alias("at", "token"))
     short = lambda c: F.least(F.col(c), F.lit(MOST)).cast("long")
     packed = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.shiftleft(short("n"), 16)).bitwiseOR(short("at"))
     return rows.select(packed.alias("token_n_at"), "id", "odd")
@@ -152,11 +152,11 @@ def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     Each set is first held against its earliest candidate only, which settles nearly all sets of large groups with one
     pair each; sets that this leaves open, and that have more candidates, are then held against all of them.
     """
-    rows = token_rows(one)
+    rows = token_rows(one, percent)
     met = kept(candidates(rows, rows, percent).groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("last")))
     first = kept(verified(lines, one, met.select("a", "b"), percent))
     open_ = kept(met.where("last > a").join(first, "b", "left_anti").select(F.col("b").alias("id")))
-    later = token_rows(one.join(open_, "id", "left_semi"))
+    later = token_rows(one.join(open_, "id", "left_semi"), percent)
     tokens = later.select(mark(token(F.col("token_n_at"))).alias("mark"))
     earlier = meeting(rows, [token(F.col("token_n_at"))], tokens, "left_semi")
     rest = kept(candidates(earlier, later, percent).distinct())
