@@ -97,7 +97,7 @@ def test_scores_of_words(spark, con):
         own = tokens[r["doc_id"]]
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(train[w] > 0 for w in own), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 1) / (n + v)) for w in own)) and r["score"] <= 0
+        assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in own)) and r["score"] <= 0
 
 
 def test_pipeline_stages(spark, tmp_path):

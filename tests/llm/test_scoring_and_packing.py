@@ -91,7 +91,7 @@ def test_pieces_equal_the_tokenizer(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer())
-    hard = ["don't STOP. I'll a.b,c. éa, É.", "X̌ J̌ J̌a ABC<|endoftext|>x. foo!.,", "5. 5, ñ. '…,x …, a'S 'S. I'M, ª. ²,", "ǅ, ß. 中文。 ８９ a b c", "\x00 \x1c a\x85b"]
+    hard = ["don't STOP. I'll a.b,c. éa, É.", "X̌ J̌ J̌a ABC<|endoftext|>x. foo!.,", "5. 5, ñ. '…,x …, a'S 'S. I'M, ª. ²,", "ǅ, ß. 中文。 ８９ a b c", "\x00 \x1c a\x85b", "BİLGİ, Wİ. (İ) İ!x İ. xİ İİ... aİb"]
     texts = hard + [t or "" for _, t in TEXTS]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     ids = {}
