@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.session import cut_lineage
+from ridgeline.session import cut_lineage, ensure_checkpoint_dir
 
 #: ASCII white space, space and \t \n \v \f \r: what ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,3 +93,15 @@ def arrow_schema(fields: str) -> pa.Schema:
 def kept(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder, so what follows neither repeats it nor depends on one executor."""
     return cut_lineage(df)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for tables that several jobs read."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_folder`` has named, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -27,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -118,6 +118,31 @@ def op8_bwt_substrings(spark, d):
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_phrase_cycles(spark, d):
+    from ridgeline.llm import phrases
+
+    return phrases.mine(table(spark, d, "documents"), least=30, longest=4, covered=80, most=2000)
+
+
+@query
+def op12_binary_packing(spark, d):
+    from ridgeline.llm import binary_packing
+
+    return binary_packing.pack(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json"), longest=1024)
+
+
+@query
+def op13_bond_negatives(spark, d):
+    from ridgeline.llm import negatives
+
+    label = F.col("label").cast("long")
+    vectors = table(spark, d, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3)
+
+
+ORACLE["op11_phrase_cycles"] = sql.PHRASES
+ORACLE["op13_bond_negatives"] = sql.NEGATIVES
 ORACLE["op4_pivot_links"] = sql.VECTOR_LINKS
 ORACLE["op9_line_dedup"] = sql.LINES
 ORACLE["op10_minhash_components"] = sql.NEAR_COPIES

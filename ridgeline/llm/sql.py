@@ -46,3 +46,33 @@ SELECT d.doc_id, any_value(CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, ''
 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (stays) AS text, count(*) FILTER (len(k) > 0) AS n_lines,
        count(*) FILTER (NOT stays) AS n_removed FROM o GROUP BY 1) j USING (doc_id) GROUP BY d.doc_id
 """
+
+PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS n FROM w WHERE len(w) > 0),
+i AS (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM s WHERE len(w) >= n),
+f AS (SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase, count(*) AS a FROM i GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS total FROM f WHERE n = 1 GROUP BY 1),
+c AS (SELECT lang, n, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND a >= 30),
+k AS (SELECT *, unnest(range(1, n)) AS k FROM c),
+u AS (SELECT k.lang, k.n, k.phrase, k.a, k.k, x.a AS l, y.a AS r, (2000000::HUGEINT * k.a) // (x.a::HUGEINT + y.a) AS score FROM k
+      JOIN f x ON x.lang = k.lang AND x.n = k.k AND x.phrase = array_to_string(k.w[1:k.k], ' ')
+      JOIN f y ON y.lang = k.lang AND y.n = k.n - k.k AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, n, phrase ORDER BY score, k) = 1),
+g AS (SELECT lang, w, n, a, unnest(range(2, n)) AS m FROM c WHERE n > 2),
+h AS (SELECT lang, w, m, a, unnest(range(1, n - m + 2)) AS i FROM g),
+o AS (SELECT lang, m AS n, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM h GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, n, phrase) WHERE longer IS NULL OR 100 * longer < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(total AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM z JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id AS id, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
