@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import arrow_schema, chunks, record, text_bytes
 
 #: Segments that a Python worker remembers, and the longest that it does.
-CACHED = 500_000
+CACHED = 1_000_000
 CACHED_BYTES = 64
 #: Row numbers of one run take fewer bits than this; the bucket stands above them.
 ROW_BITS = 58
 #: Before white space that a visible ASCII character follows, or one whose first byte no other white space has.
 SEGMENT = re.compile(rb"(?=[\x20\x09-\x0D][\x21-\x7E\xC3-\xE0\xE4-\xF4])")
+#: A segment of three tokens' runs at most: a line end or tab, letters of ASCII or Latin-1 after a space or none, punctuation.
+PLAIN = re.compile(rb"([\x09-\x0D]?)( ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]*)")
 #: A long text is encoded in parts of about so many bytes, cut between two words.
 PART_BYTES = 4 << 20
 BETWEEN = re.compile(rb"(?<=[\x21-\x7E])(?=[\x20\x09-\x0D][A-Za-z0-9])")
@@ -49,12 +52,31 @@ class SegmentIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.path = path
         special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabets show these bytes as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = "".join(map(chr, (b if b in set(shown) else 256 + hidden.index(b) for b in range(256))))
         self.special = re.compile(b"(" + b"|".join(special) + b")") if special else None
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def learn(self, missing: set[bytes]) -> None:
+        """Plain words go straight to the merges, run by run; all else goes through the whole tokenizer."""
+        other = []
+        for segment in missing:
+            plain = PLAIN.fullmatch(segment)
+            if plain is None:
+                other.append(segment)
+                continue
+            self[segment] = b"".join([self.get(run) or self.run(run) for run in plain.groups() if run])
+        self.update(zip(other, self.encode(other)))
+
+    def run(self, run: bytes) -> bytes:
+        ids = self[run] = array("I", [t.id for t in self.merge(run.decode("latin-1").translate(self.shown))]).tobytes()
+        return ids
+
     def split(self, text: bytes) -> list[bytes]:
         if self.special is None or not self.special.search(text):
             return SEGMENT.split(text)
@@ -68,8 +90,8 @@ class SegmentIds(dict):
         split = [self.split(t) for t in texts]
         if len(self) > CACHED:
             self.clear()
-        missing = list(set().union(*split) - self.keys())
-        self.update(zip(missing, self.encode(missing)))
+        missing = set().union(*split) - self.keys()
+        self.learn(missing)
         found = [b"".join(map(self.__getitem__, p)) for p in split]
         for segment in missing:
             if len(segment) > CACHED_BYTES:
