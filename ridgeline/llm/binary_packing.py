@@ -58,20 +58,18 @@ class SegmentIds(dict):
         self.shown = "".join(map(chr, (b if b in set(shown) else 256 + hidden.index(b) for b in range(256))))
         self.special = re.compile(b"(" + b"|".join(special) + b")") if special else None
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, missing: set[bytes]) -> None:
+    def __missing__(self, segment: bytes) -> bytes:
         """Plain words go straight to the merges, run by run; all else goes through the whole tokenizer."""
-        other = []
-        for segment in missing:
-            plain = PLAIN.fullmatch(segment)
-            if plain is None:
-                other.append(segment)
-                continue
-            self[segment] = b"".join([self.get(run) or self.run(run) for run in plain.groups() if run])
-        self.update(zip(other, self.encode(other)))
+        plain = PLAIN.fullmatch(segment)
+        if plain is not None:
+            ids = b"".join([self.get(run) or self.run(run) for run in plain.groups() if run])
+        else:
+            ids = np.asarray(self.tokenizer.encode(segment.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) > CACHED:
+            self.clear()
+        if len(segment) <= CACHED_BYTES:
+            self[segment] = ids
+        return ids
 
     def run(self, run: bytes) -> bytes:
         ids = self[run] = array("I", [t.id for t in self.merge(run.decode("latin-1").translate(self.shown))]).tobytes()
@@ -83,20 +81,9 @@ class SegmentIds(dict):
         own = self.special.split(text)
         return [s for k, part in enumerate(own) for s in ([part] if k % 2 else SEGMENT.split(part))]
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        if len(texts) == 1 and len(texts[0]) > 2 * PART_BYTES:
-            return [b"".join(self.of([part])[0] for part in parts(texts[0]))]
-        split = [self.split(t) for t in texts]
-        if len(self) > CACHED:
-            self.clear()
-        missing = set().union(*split) - self.keys()
-        self.learn(missing)
-        found = [b"".join(map(self.__getitem__, p)) for p in split]
-        for segment in missing:
-            if len(segment) > CACHED_BYTES:
-                del self[segment]
-        return found
+    def of(self, text: bytes) -> bytes:
+        """The ids of a text."""
+        return b"".join([ids for part in parts(text) for ids in map(self.__getitem__, self.split(part))])
 
 
 def parts(text: bytes) -> Iterator[bytes]:
@@ -136,7 +123,7 @@ def decompose(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id:
         known = _segment_ids(tokenizer_path)
         for chunk in chunks(batches, "text", 2 << 20):
             out: dict[str, list] = {f.name: [] for f in schema}
-            for key, ids in zip(chunk.column("doc_id").to_pylist(), known.of(text_bytes(chunk.column("text")))):
+            for key, ids in zip(chunk.column("doc_id").to_pylist(), map(known.of, text_bytes(chunk.column("text")))):
                 ids += end
                 total, at = len(ids) // 4, 0
                 for size in binary_lengths(total, longest):

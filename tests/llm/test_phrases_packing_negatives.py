@@ -130,9 +130,9 @@ def test_pieces_equal_the_tokenizer(spark):
 def test_long_texts_are_encoded_in_parts(monkeypatch):
     segments = binary_packing.SegmentIds(tokenizer("byte_bpe_50k.json"))
     text = ("Some words,  and\n\nmore — <|endoftext|> é  <|endoftext|>x " * 60).encode()
-    whole = segments.of([text])
+    whole = segments.of(text)
     monkeypatch.setattr(binary_packing, "PART_BYTES", 50)
-    assert len(list(binary_packing.parts(text))) > 20 and segments.of([text]) == whole
+    assert len(list(binary_packing.parts(text))) > 20 and segments.of(text) == whole
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 255, 256, 257, 1024, 5000])
