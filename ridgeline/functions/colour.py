@@ -80,22 +80,21 @@ RAMPS = {
 }
 
 # Colour runs stretched over a layer's own quantile breaks.
-_RUNS = {
+RUNS = {
     "green-red-orange": [
-        0x569543,
-        0x9EBD4D,
-        0xBBCA7A,
-        0xD9E2B2,
-        0xE4E7C4,
-        0xE6D6BE,
-        0xE3C193,
-        0xDFAC6C,
-        0xDB9842,
-        0xB96230,
+        0x569543FF,
+        0x9EBD4DFF,
+        0xBBCA7AFF,
+        0xD9E2B2FF,
+        0xE4E7C4FF,
+        0xE6D6BEFF,
+        0xE3C193FF,
+        0xDFAC6CFF,
+        0xDB9842FF,
+        0xB96230FF,
     ],
-    "muted-terrain": [0xCEE1E8, 0x7CBCB5, 0x82B36D, 0x94C279, 0xD1DE8D, 0xEDECC3, 0xCCAFB4, 0xC99884],
+    "muted-terrain": [0xCEE1E8FF, 0x7CBCB5FF, 0x82B36DFF, 0x94C279FF, 0xD1DE8DFF, 0xEDECC3FF, 0xCCAFB4FF, 0xC99884FF],
 }
-RUNS = {name: [code << 8 | 255 for code in codes] for name, codes in _RUNS.items()}
 
 # Which table a job's picture uses; the others stretch a run over quantiles.
 RAMP_BY_OP = {"artslope": "artslope", "tpi": "tpi", "aspect": "aspect", "hlz": "hlz", "hover": "hover"}
@@ -109,19 +108,13 @@ def ramp_table(spark) -> DataFrame:
 
 
 def classify(value: Column, stops: Sequence[tuple[float, int]]) -> Column:
-    """Colour of the least break that is not below the value; NULL above the last."""
+    """Colour of the least break that is not below the value; NULL above the last. A search tree of comparisons."""
     ordered = sorted(stops)
-    if len(ordered) <= 32:
-        out = F
-        for brk, code in ordered:
-            out = out.when(value <= F.lit(brk), F.lit(code).cast("long"))
-        return out
-    codes = F.array(*[F.lit(c).cast("long") for _, c in ordered])
-    first, step = ordered[0][0], ordered[1][0] - ordered[0][0]
-    if all(b == first + i * step for i, (b, _) in enumerate(ordered)):
-        # Evenly spaced: the break's number is arithmetic, the code one array access.
-        number = F.greatest(F.lit(0.0), F.ceil((value.cast("double") - first) / step).cast("double"))
-        return F.when(number < len(ordered), F.try_element_at(codes, number.cast("int") + 1))
-    breaks = F.array(*[F.lit(b) for b, _ in ordered])
-    below = F.size(F.filter(breaks, lambda b: b < value.cast("double")))
-    return F.when(value.isNotNull(), F.try_element_at(codes, below + 1))
+
+    def among(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(ordered[first][1]).cast("long")
+        middle = (first + last) // 2
+        return F.when(value <= F.lit(ordered[middle][0]), among(first, middle)).otherwise(among(middle + 1, last))
+
+    return F.when(value <= F.lit(ordered[-1][0]), among(0, len(ordered) - 1))

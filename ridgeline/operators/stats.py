@@ -6,9 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.operators.grid import with_tiles
-from ridgeline.operators.joins import salted, with_salt
+from ridgeline.session import cut_lineage
+
+#: Bits counted in a round, and open breaks that are sent to every task; more of them meet the codes in a shuffle.
+DIGIT = 16
+OPEN_ROWS = 100_000
 
 
 def histogram(cells: DataFrame, by: Sequence[str] = ("layer",)) -> DataFrame:
@@ -20,14 +25,89 @@ def tile_histogram(cells: DataFrame, tile_size: int) -> DataFrame:
     return histogram(with_tiles(cells, tile_size), ("layer", "trow", "tcol"))
 
 
-def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",)) -> DataFrame:
+def ordered_code(value: Column) -> Column:
+    """A 64-bit number for each double that orders as the doubles do: its bits, negated below zero.
+
+    Powers of two divide without rounding, so this is exact down to the smallest doubles. Both zeros are 0; NaN comes last.
+    """
+    size = F.abs(value)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    near = F.floor(F.log2(size))
+    exponent = F.when(power(near) > size, near - 1).when(power(near + 1) <= size, near + 1).otherwise(near)
+    normal = (exponent + 1023) * F.lit(2**52) + ((size / power(exponent) - 1) * F.lit(2.0**52)).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(size < F.lit(2.0**-1022), (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long"))
+        .when(size == F.lit(float("inf")), F.lit(2047 << 52))
+        .otherwise(normal)
+    )
+    return F.when(F.isnan(value), F.lit(4095 << 51)).when(value < 0, -bits).otherwise(bits)
+
+
+def coded_value(code: Column) -> Column:
+    """The double of an ordered code."""
+    bits = F.abs(code)
+    exponent, rest = F.shiftright(bits, 52), bits.bitwiseAND(F.lit(2**52 - 1)).cast("double")
+    size = (
+        F.when(exponent == 0, rest * F.lit(2.0**-537) * F.lit(2.0**-537))
+        .when(exponent == 2047, F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+        .otherwise((1 + rest / F.lit(2.0**52)) * F.pow(F.lit(2.0), exponent - 1023))
+    )
+    return F.when(code < 0, -size).otherwise(size)
+
+
+def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",), stored: bool = False) -> DataFrame:
     """``i, brk``: the least value that at least ``ceil(i * N / k)`` cells do not exceed, i = 1..k.
 
-    Exact, by one path for all layers: ranks are narrowed to buckets of fixed relative width, counted
-    straight from the cells, then to 4,096 slices of the buckets that hold a rank. Only the slices
-    that hold a rank are put in order, so neither a histogram is shuffled whole nor does a task see one.
+    Exact, by radix selection on 64-bit codes that order as the values do: each of at most four rounds counts ``DIGIT``
+    more bits of the codes that share their upper bits with a break, so a layer has at most 2^16 counts for each break,
+    and counts are combined before the exchange: a value that a third of the cells have is no hot key. A break is known
+    as soon as its count holds one value only. Codes are kept between the rounds, or computed again in each where the
+    cells are ``stored`` and cheap to read.
     """
-    return _narrowed_breaks(cells.where("value IS NOT NULL"), k, list(by))
+    by = list(by)
+    kind = cells.schema["value"].dataType
+    whole = isinstance(kind, T.IntegralType)
+    code = F.col("value").cast("long") if whole else ordered_code(F.col("value").cast("double"))
+    codes = cells.where("value IS NOT NULL").select(*by, code.alias("code_"), F.lit(1).cast("long").alias("n_"))
+    codes = codes if stored else cut_lineage(codes)
+    found, open_ = [], None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        hits = cut_lineage(_hits(_digit_counts(codes, open_, by, shift), k))
+        done = (F.col("lo") == F.col("hi")) if shift else F.lit(True)
+        found.append(hits.where(done).select(*by, "i", F.col("lo").alias("code_")))
+        open_ = hits.where(~done).select(*by, F.col("digit_").alias("prefix_"), (F.col("cum") - F.col("n")).alias("below_"), "total").distinct()
+        breaks = open_.count()
+        if not breaks:
+            break
+        if breaks <= OPEN_ROWS:
+            open_ = F.broadcast(open_)
+        elif shift == 64 - DIGIT:
+            # Very many layers: their values meet the open breaks in a shuffle, each value once.
+            codes = cut_lineage(codes.groupBy(*by, "code_").agg(F.sum("n_").alias("n_")))
+    value = F.col("code_") if whole else coded_value(F.col("code_"))
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.select(*by, "i", value.cast(kind).alias("brk"))
+
+
+def _digit_counts(codes: DataFrame, open_: DataFrame | None, by: list[str], shift: int) -> DataFrame:
+    """By the bits above ``shift`` of the codes that are open: ``n``, ``cum`` up to there, ``total``, least and greatest code."""
+    digit = F.shiftright("code_", shift).alias("digit_")
+    counts = [F.sum("n_").alias("n"), F.min("code_").alias("lo"), F.max("code_").alias("hi")]
+    if open_ is None:
+        runs = codes.groupBy(*by, digit).agg(*counts)
+        return runs.withColumns(
+            {"cum": F.sum("n").over(Window.partitionBy(*by).orderBy("digit_")), "total": F.sum("n").over(Window.partitionBy(*by))}
+        )
+    named = open_.select(*[F.col(c).alias(f"{c}_open") for c in by], "prefix_", "below_", "total")
+    same = F.shiftright("code_", shift + DIGIT) == F.col("prefix_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_open"))
+    runs = codes.join(named, same).groupBy(*by, "prefix_", "below_", "total", digit).agg(*counts)
+    order = Window.partitionBy(*by, "prefix_").orderBy("digit_")
+    return runs.withColumn("cum", F.col("below_") + F.sum("n").over(order))
 
 
 def _hits(ranked: DataFrame, k: int) -> DataFrame:
@@ -37,48 +117,6 @@ def _hits(ranked: DataFrame, k: int) -> DataFrame:
     first = f"least({k}L, greatest(1L, ((cum - n) * {k}) div total))"
     return ranked.withColumn("i", F.explode(F.expr(f"sequence({first}, {k}L)"))).where(
         F.expr(f"{rank} > cum - n AND {rank} <= cum")
-    ).withColumn("rank", F.expr(rank))
-
-
-def _bucket(v: Column) -> Column:
-    """Never decreasing in v, and 0.14 % of the value wide, down to the smallest doubles."""
-    # The logarithm of a positive double is above -745, so each sign keeps its own side of zero.
-    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v).cast("long") * F.floor((F.ln(F.abs(v)) + 746) * 720))
-
-
-def _narrowed_breaks(cells: DataFrame, k: int, by: list[str]) -> DataFrame:
-    v = F.col("value").cast("double")
-    level1 = cells.withColumn("b1", _bucket(v))
-    runs = level1.groupBy(*by, "b1").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    runs = runs.withColumns(
-        {
-            "cum": F.sum("n").over(Window.partitionBy(*by).orderBy("b1")),
-            "total": F.sum("n").over(Window.partitionBy(*by)),
-        }
-    )
-    ranks = _hits(runs, k).select(*by, "b1", "lo", "hi", "i", (F.col("rank") - F.col("cum") + F.col("n")).alias("rest"))
-    chosen = ranks.groupBy(*by, "b1").agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.collect_list(F.struct("i", "rest")).alias("ranks")
-    )
-    # At most k rows per layer meet the cells; one bucket may hold many of them, so it is salted.
-    width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / 4096
-    fine = F.when(width > 0, F.floor((v - F.col("lo").cast("double")) / width)).otherwise(F.lit(0))
-    picked = with_salt(level1, "value").join(salted(chosen.select(*by, "b1", "lo", "hi")), [*by, "b1", "salt_"])
-    inside = picked.select(*by, "b1", "value", fine.alias("b2")).groupBy(*by, "b1", "b2", "value").agg(F.count("*").alias("n"))
-    slices = inside.groupBy(*by, "b1", "b2").agg(F.sum("n").alias("n"))
-    slices = slices.withColumn("cum", F.sum("n").over(Window.partitionBy(*by, "b1").orderBy("b2")))
-    placed = (
-        slices.join(chosen.select(*by, "b1", F.explode("ranks").alias("r")), [*by, "b1"])
-        .where("r.rest > cum - n AND r.rest <= cum")
-        .select(*by, "b1", "b2", F.col("r.i").alias("i"), (F.col("r.rest") - F.col("cum") + F.col("n")).alias("rest"))
-    )
-    wanted = placed.groupBy(*by, "b1", "b2").agg(F.collect_list(F.struct("i", "rest")).alias("ranks"))
-    last = with_salt(inside, "value").join(salted(wanted), [*by, "b1", "b2", "salt_"])
-    last = last.withColumn("cum", F.sum("n").over(Window.partitionBy(*by, "b1", "b2").orderBy("value")))
-    return (
-        last.withColumn("r", F.explode("ranks"))
-        .where("r.rest > cum - n AND r.rest <= cum")
-        .select(*by, F.col("r.i").alias("i"), F.col("value").alias("brk"))
     )
 
 

@@ -14,6 +14,7 @@ from ridgeline.operators.focal import square_stats
 from ridgeline.operators.neighbours import per_block
 from ridgeline.operators.stats import distinct_breaks, quantile_breaks, ring_thresholds
 from ridgeline.operators.vector import SYMBOL_RINGS, symbol_rings
+from ridgeline.session import cut_lineage
 
 # Fixed value: vertical scale of slopes on degree grids.
 DEGREE_Z_FACTOR = 0.00000898
@@ -95,8 +96,8 @@ def site_scores(
 
 
 def site_limits(scores: DataFrame) -> Column:
-    """Thresholds of the rings as one scalar subquery (a struct ``center, middle, outer``)."""
-    thresholds = ring_thresholds(distinct_breaks(quantile_breaks(scores, 10, ()), ()))
+    """Thresholds of the rings as one scalar subquery (a struct ``center, middle, outer``). Scores are kept, and read again."""
+    thresholds = ring_thresholds(distinct_breaks(quantile_breaks(scores, 10, (), stored=True), ()))
     return thresholds.select(F.struct("center", "middle", "outer").alias("limits")).scalar()
 
 
@@ -128,7 +129,7 @@ def suitability(
     """
     radius = radius_in_cells(layout, diameter, radius_units)
     scores = site_scores(cells, layout, radius, smooth, slope_limit, z_factor, masked, decimals)
-    classes = site_rings(scores)
+    classes = site_rings(cut_lineage(scores))  # computed once, for the breaks and the classes
     return symbol_rings(classes, layout, rings) if rings else classes
 
 
@@ -161,8 +162,9 @@ def suitability_on_cover(
 
 def suitability_statistics(scores: DataFrame, k: int = 10) -> DataFrame:
     """``breaks, top, mean`` of the scores in one row."""
-    breaks = distinct_breaks(quantile_breaks(scores, k, ()), ())
-    totals = scores.where("value IS NOT NULL").agg(F.max("value").alias("top"), F.avg("value").alias("mean"))
+    scores = cut_lineage(scores.where("value IS NOT NULL").select("value"))
+    breaks = distinct_breaks(quantile_breaks(scores, k, (), stored=True), ())
+    totals = scores.agg(F.max("value").alias("top"), F.avg("value").alias("mean"))
     return totals.select(breaks.select("breaks").scalar().alias("breaks"), "top", "mean")
 
 

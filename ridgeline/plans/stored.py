@@ -18,6 +18,7 @@ from ridgeline.model import Layout
 from ridgeline.operators import blocks, kernels, local
 from ridgeline.operators.vector import CENTER_CLASS, SYMBOL_RINGS, ring_radii
 from ridgeline.plans import products
+from ridgeline.session import cut_lineage
 
 SURFACES = ("slope", "aspect", "hillshade")
 POSITIONS = ("tpi", "tpi_ratio", "ruggedness")
@@ -81,6 +82,7 @@ def suitability(
     radius = products.radius_in_cells(layout, diameter, radius_units)
     halo, kernel = products.site_kernel(layout, radius, smooth, slope_limit, z_factor, False, decimals)
     scores = blocks.focal(stored, layout, halo, lambda a, i, o: {"cells": kernel(a, i, o)["value"]}, ("cells",), keep="filled")
+    scores = cut_lineage(scores)
     limits = products.site_limits(blocks.to_cells(scores, layout))
     ring = lambda v: F.when(
         v.isNotNull(),

@@ -106,3 +106,39 @@ def test_region_reports(spark):
     assert {(r["value"], r["regions"]) for r in regions.regions_per_value(labelled).collect()} == {(1.0, 1), (2.0, 1)}
     edges = regions.outline(labelled).where("region = 0").count()
     assert edges == 8
+
+
+def test_codes_order_as_values_do(spark):
+    rng = np.random.default_rng(0)
+    bits = rng.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64)
+    edges = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), np.inf, -np.inf, 1.7976931348623157e308, 1.0, np.nextafter(1.0, 0), np.nextafter(1.0, 2)]
+    values = np.concatenate([bits[~np.isnan(bits)], edges, 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1070, 1024), 0)])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", stats.ordered_code(F.col("v")).alias("c"))
+    got = rows.select("v", "c", stats.coded_value(F.col("c")).alias("back")).collect()
+    assert all(r["v"] == r["back"] for r in got)
+    expected = np.asarray([r["v"] for r in got]).view(np.int64)
+    expected = np.where(expected < 0, -(expected & (2**63 - 1)), expected)
+    assert [r["c"] for r in got] == expected.tolist()
+
+
+@pytest.mark.parametrize("open_rows", [100_000, 3])
+def test_breaks_of_many_layers_by_either_join(spark, monkeypatch, open_rows):
+    monkeypatch.setattr(stats, "OPEN_ROWS", open_rows)
+    rng = np.random.default_rng(1)
+    rows = [(f"l{k % 23}" if k % 23 else None, float(rng.normal()) if k % 3 else 0.0) for k in range(3000)]
+    cells = spark.createDataFrame(rows, "layer string, value double")
+    got = {(r["layer"], r["i"]): r["brk"] for r in stats.quantile_breaks(cells, 4).collect()}
+    for layer in {r[0] for r in rows}:
+        want = expected_breaks(np.asarray([v for name, v in rows if name == layer]), 4)
+        assert {i: got[layer, i] for i in want} == want
+    whole = spark.createDataFrame([(2**62 + k,) for k in range(7)] + [(-(2**62),)] * 5, "value long")
+    assert [r["brk"] for r in stats.quantile_breaks(whole, 2, ()).orderBy("i").collect()] == [2**62, 2**62 + 6]
+    assert stats.quantile_breaks(cells.limit(0)).count() == 0
+
+
+def test_a_frequent_value_is_combined_before_the_exchange(spark):
+    """Two thirds of a layer are zero: what is exchanged is a count for each task."""
+    cells = spark.range(0, 30_000, 1, 8).select(F.lit("a").alias("layer"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).otherwise(0.0).alias("value"))
+    counts = stats._digit_counts(cells.select("layer", stats.ordered_code(F.col("value")).alias("code_"), F.lit(1).alias("n_")), None, ["layer"], 48)
+    shown = counts._jdf.queryExecution().executedPlan().toString()
+    assert shown.index("partial_sum") > shown.index("hashpartitioning")  # below it: before the exchange
