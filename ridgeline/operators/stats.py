@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ridgeline.operators.grid import with_tiles
 from ridgeline.session import cut_lineage
 
-#: Bits counted in a round, and open breaks that are sent to every task; more of them meet the codes in a shuffle.
+#: Bits counted in a round, and open parts that are sent to every task; more of them meet the codes in a shuffle.
 DIGIT = 16
 OPEN_ROWS = 100_000
 
@@ -59,11 +59,11 @@ def coded_value(code: Column) -> Column:
 def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",), stored: bool = False) -> DataFrame:
     """``i, brk``: the least value that at least ``ceil(i * N / k)`` cells do not exceed, i = 1..k.
 
-    Exact, by radix selection on 64-bit codes that order as the values do: each of at most four rounds counts ``DIGIT``
-    more bits of the codes that share their upper bits with a break, so a layer has at most 2^16 counts for each break,
-    and counts are combined before the exchange: a value that a third of the cells have is no hot key. A break is known
-    as soon as its count holds one value only. Codes are kept between the rounds, or computed again in each where the
-    cells are ``stored`` and cheap to read.
+    Exact, by radix selection on 64-bit codes that order as the values do. The first round counts the codes by their
+    upper ``DIGIT`` bits; each further one cuts the ranges that hold a break, from their least code to their greatest,
+    into at most 2^16 parts, until a part that holds a break has one value only: at most five rounds. Counts are combined
+    before the exchange, so a value that a third of the cells have is no hot key. Codes are kept between the rounds, or
+    computed again in each where the cells are ``stored`` and cheap to read.
     """
     by = list(by)
     kind = cells.schema["value"].dataType
@@ -72,18 +72,12 @@ def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",
     codes = cells.where("value IS NOT NULL").select(*by, code.alias("code_"), F.lit(1).cast("long").alias("n_"))
     codes = codes if stored else cut_lineage(codes)
     found, open_ = [], None
-    for shift in range(64 - DIGIT, -1, -DIGIT):
-        hits = cut_lineage(_hits(_digit_counts(codes, open_, by, shift), k))
-        done = (F.col("lo") == F.col("hi")) if shift else F.lit(True)
-        found.append(hits.where(done).select(*by, "i", F.col("lo").alias("code_")))
-        open_ = hits.where(~done).select(*by, F.col("digit_").alias("prefix_"), (F.col("cum") - F.col("n")).alias("below_"), "total").distinct()
-        breaks = open_.count()
-        if not breaks:
-            break
-        if breaks <= OPEN_ROWS:
-            open_ = F.broadcast(open_)
-        elif shift == 64 - DIGIT:
-            # Very many layers: their values meet the open breaks in a shuffle, each value once.
+    while open_ is None or not open_.isEmpty():
+        hits = cut_lineage(_hits(_part_counts(codes, open_, by), k))
+        found.append(hits.where("lo = hi").select(*by, "i", F.col("lo").alias("code_")))
+        first_round, (open_, breaks) = open_ is None, _open_parts(hits, by)
+        if first_round and breaks > OPEN_ROWS:
+            # Very many layers: their values meet the open parts in a shuffle, each value once.
             codes = cut_lineage(codes.groupBy(*by, "code_").agg(F.sum("n_").alias("n_")))
     value = F.col("code_") if whole else coded_value(F.col("code_"))
     rows = found[0]
@@ -92,22 +86,32 @@ def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",
     return rows.select(*by, "i", value.cast(kind).alias("brk"))
 
 
-def _digit_counts(codes: DataFrame, open_: DataFrame | None, by: list[str], shift: int) -> DataFrame:
-    """By the bits above ``shift`` of the codes that are open: ``n``, ``cum`` up to there, ``total``, least and greatest code."""
-    digit = F.shiftright("code_", shift).alias("digit_")
+def _open_parts(hits: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """The parts that hold a break and more than one value, and how many they are: few, unless layers are very many."""
+    parts = hits.where("lo < hi").select(
+        *[F.col(c).alias(f"{c}_open") for c in by], F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), (F.col("cum") - F.col("n")).alias("below_"), "total"
+    )
+    parts = parts.distinct().withColumn("top_", F.shiftright("lo_", 64 - DIGIT))
+    n = parts.count()
+    return (F.broadcast(parts) if n <= OPEN_ROWS else parts), n
+
+
+def _part_counts(codes: DataFrame, open_: DataFrame | None, by: list[str]) -> DataFrame:
+    """For each part of the codes: ``n``, ``cum`` up to its end, ``total``, its least and greatest code."""
     counts = [F.sum("n_").alias("n"), F.min("code_").alias("lo"), F.max("code_").alias("hi")]
+    top = F.shiftright("code_", 64 - DIGIT)
     if open_ is None:
-        runs = codes.groupBy(*by, digit).agg(*counts)
+        runs = codes.groupBy(*by, top.alias("part_")).agg(*counts)
         return runs.withColumns(
-            {"cum": F.sum("n").over(Window.partitionBy(*by).orderBy("digit_")), "total": F.sum("n").over(Window.partitionBy(*by))}
+            {"cum": F.sum("n").over(Window.partitionBy(*by).orderBy("part_")), "total": F.sum("n").over(Window.partitionBy(*by))}
         )
-    named = open_.select(*[F.col(c).alias(f"{c}_open") for c in by], "prefix_", "below_", "total")
-    same = F.shiftright("code_", shift + DIGIT) == F.col("prefix_")
+    inside = (top == F.col("top_")) & F.col("code_").between(F.col("lo_"), F.col("hi_"))
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_open"))
-    runs = codes.join(named, same).groupBy(*by, "prefix_", "below_", "total", digit).agg(*counts)
-    order = Window.partitionBy(*by, "prefix_").orderBy("digit_")
-    return runs.withColumn("cum", F.col("below_") + F.sum("n").over(order))
+        inside = inside & F.col(c).eqNullSafe(F.col(f"{c}_open"))
+    bits = F.ceil(F.log2((F.col("hi_") - F.col("lo_") + 1).cast("double"))).cast("int")
+    part = F.call_function("shiftright", F.col("code_") - F.col("lo_"), F.greatest(F.lit(0), bits - DIGIT))
+    runs = codes.join(open_, inside).groupBy(*by, "lo_", "below_", "total", part.alias("part_")).agg(*counts)
+    return runs.withColumn("cum", F.col("below_") + F.sum("n").over(Window.partitionBy(*by, "lo_").orderBy("part_")))
 
 
 def _hits(ranked: DataFrame, k: int) -> DataFrame:

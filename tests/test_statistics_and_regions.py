@@ -139,6 +139,6 @@ def test_breaks_of_many_layers_by_either_join(spark, monkeypatch, open_rows):
 def test_a_frequent_value_is_combined_before_the_exchange(spark):
     """Two thirds of a layer are zero: what is exchanged is a count for each task."""
     cells = spark.range(0, 30_000, 1, 8).select(F.lit("a").alias("layer"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).otherwise(0.0).alias("value"))
-    counts = stats._digit_counts(cells.select("layer", stats.ordered_code(F.col("value")).alias("code_"), F.lit(1).alias("n_")), None, ["layer"], 48)
+    counts = stats._part_counts(cells.select("layer", stats.ordered_code(F.col("value")).alias("code_"), F.lit(1).alias("n_")), None, ["layer"])
     shown = counts._jdf.queryExecution().executedPlan().toString()
     assert shown.index("partial_sum") > shown.index("hashpartitioning")  # below it: before the exchange
