@@ -71,12 +71,15 @@ def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",
     code = F.col("value").cast("long") if whole else ordered_code(F.col("value").cast("double"))
     codes = cells.where("value IS NOT NULL").select(*by, code.alias("code_"), F.lit(1).cast("long").alias("n_"))
     codes = codes if stored else cut_lineage(codes)
-    found, open_ = [], None
-    while open_ is None or not open_.isEmpty():
-        hits = cut_lineage(_hits(_part_counts(codes, open_, by), k))
+    found, open_, n = [], None, 1
+    while n:
+        hits, _ = _bounded(_hits(_part_counts(codes, open_, by), k))
         found.append(hits.where("lo = hi").select(*by, "i", F.col("lo").alias("code_")))
-        first_round, (open_, breaks) = open_ is None, _open_parts(hits, by)
-        if first_round and breaks > OPEN_ROWS:
+        first_round = open_ is None
+        open_, n = _bounded(_open_parts(hits, by))
+        if n <= OPEN_ROWS:
+            open_ = F.broadcast(open_)
+        elif first_round:
             # Very many layers: their values meet the open parts in a shuffle, each value once.
             codes = cut_lineage(codes.groupBy(*by, "code_").agg(F.sum("n_").alias("n_")))
     value = F.col("code_") if whole else coded_value(F.col("code_"))
@@ -86,14 +89,21 @@ def quantile_breaks(cells: DataFrame, k: int = 10, by: Sequence[str] = ("layer",
     return rows.select(*by, "i", value.cast(kind).alias("brk"))
 
 
-def _open_parts(hits: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
-    """The parts that hold a break and more than one value, and how many they are: few, unless layers are very many."""
+def _bounded(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, and how many they are: as a local table up to ``OPEN_ROWS``, beyond that kept in Spark."""
+    few = rows.limit(OPEN_ROWS + 1).toArrow()
+    if few.num_rows <= OPEN_ROWS:
+        return rows.sparkSession.createDataFrame(few, rows.schema), few.num_rows
+    rows = cut_lineage(rows)
+    return rows, rows.count()
+
+
+def _open_parts(hits: DataFrame, by: list[str]) -> DataFrame:
+    """The parts that hold a break and more than one value: as few as the breaks."""
     parts = hits.where("lo < hi").select(
         *[F.col(c).alias(f"{c}_open") for c in by], F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), (F.col("cum") - F.col("n")).alias("below_"), "total"
     )
-    parts = parts.distinct().withColumn("top_", F.shiftright("lo_", 64 - DIGIT))
-    n = parts.count()
-    return (F.broadcast(parts) if n <= OPEN_ROWS else parts), n
+    return parts.distinct().withColumn("top_", F.shiftright("lo_", 64 - DIGIT))
 
 
 def _part_counts(codes: DataFrame, open_: DataFrame | None, by: list[str]) -> DataFrame:
