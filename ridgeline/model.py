@@ -95,6 +95,12 @@ class Layout:
     def contains(self, row: Column, col: Column) -> Column:
         return row.between(0, self.rows - 1) & col.between(0, self.cols - 1)
 
+    def checked(self, cells: DataFrame) -> DataFrame:
+        """The cells as they are; one outside the layout ends the job, as its address would be taken for another one."""
+        message = F.concat_ws(" ", F.lit("cell outside the layout:"), F.col("row").cast("string"), F.col("col").cast("string"))
+        held = self.contains(F.col("row"), F.col("col"))
+        return cells.withColumn("row", F.when(held, F.col("row")).otherwise(F.raise_error(message).cast("long")))
+
     def grid(self, spark, layer: str | None = None) -> DataFrame:
         """All cell addresses of the layout, generated in parallel."""
         ids = spark.range(self.rows * self.cols)
@@ -104,14 +110,6 @@ class Layout:
         )
         return out if layer is None else out.select(F.lit(layer).alias("layer"), "row", "col")
 
-    @classmethod
-    def covering(cls, cells: DataFrame, crs, x0, y0, cell_w, cell_h, tile_size=256) -> Layout:
-        """Layout reaching the last row and column of a cell table (one small job)."""
-        last = cells.agg(F.max("row"), F.max("col")).first()
-        if last[0] is None:
-            raise ValueError("the layer has no cells")
-        return cls(crs, x0, y0, cell_w, cell_h, last[1] + 1, last[0] + 1, tile_size)
-
 
 def grid_to_map(df: DataFrame, layout: Layout) -> DataFrame:
     """Add the map coordinates ``x, y`` of each cell centre."""

@@ -2,7 +2,7 @@
 
 A block row carries 65,536 cells in one array, so a shuffle moves array bytes
 instead of addressed cells. Neighbourhood operators send each block's edge
-strips to the blocks beside it: one shuffle of ``1 + 4 * halo / tile_size``
+strips to the blocks around it: one shuffle of ``1 + 4 * halo / tile_size``
 times the layer. Local algebra needs no Python at all.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.model import BLOCK_SCHEMA, Layout
-from ridgeline.operators.neighbours import evaluate, gather, map_blocks, per_block, square_of
+from ridgeline.operators.neighbours import evaluate, gather, map_blocks, square_of
 
 BLOCK_KEY = ["layer", "brow", "bcol"]
 
@@ -54,28 +54,22 @@ def to_blocks(cells: DataFrame, layout: Layout) -> DataFrame:
     def run(brow, bcol, at, values):
         return {"cells": square_of(at, values["value"], t).ravel()}
 
-    # A negative address would land in another block's array.
-    held = layout.contains(F.col("row"), F.col("col"))
-    message = F.concat_ws(" ", F.lit("cell outside the layout:"), "row", "col")
-    checked = cells.withColumn("row", F.when(held, F.col("row")).otherwise(F.raise_error(message).cast("long")))
-    placed = checked.withColumns({"brow": F.expr(f"row div {t}"), "bcol": F.expr(f"col div {t}")})
+    placed = layout.checked(cells).withColumns({"brow": F.expr(f"row div {t}"), "bcol": F.expr(f"col div {t}")})
     field = T.StructField("cells", T.DoubleType())
     return map_blocks(gather(placed, t, 0, t, ["value"]), ["value"], run, [field])
 
 
 def to_cells(blocks: DataFrame, layout: Layout, column: str = "cells") -> DataFrame:
-    """Spread blocks into cells of the raster; NODATA gives no row. No shuffle."""
+    """Spread blocks into cells of the raster; NODATA gives no row, a value beyond the layout raises. No shuffle."""
     t = layout.tile_size
     cells = blocks.select("layer", "brow", "bcol", F.posexplode(column).alias("at", "value"))
-    return (
-        cells.where("value IS NOT NULL")
-        .select(
+    return layout.checked(
+        cells.where("value IS NOT NULL").select(
             "layer",
             F.expr(f"brow * {t} + at div {t}").alias("row"),
             F.expr(f"bcol * {t} + at % {t}").alias("col"),
             "value",
         )
-        .where(layout.contains(F.col("row"), F.col("col")))
     )
 
 
@@ -98,12 +92,13 @@ def focal(
     outputs: Sequence[str],
     keep: str = "known",
 ) -> DataFrame:
-    """The block form of ``per_block``: same kernels, one array column per output."""
+    """The block form of ``per_block``: same kernels, one array column per output.
+
+    A block sends each block that its cells reach the strip which that one needs: the adjoining ones where the halo is
+    no wider than a block, further rings of blocks where it is.
+    """
     t, names = layout.tile_size, list(outputs)
-    if halo > t:
-        # Strips reach the adjoining blocks only; wider halos go through addressed cells.
-        found = per_block(to_cells(blocks, layout), layout, halo, kernel, names, keep=keep)
-        return _regroup(found, layout, names)
+    rings = -(-halo // t)
     last_row, last_col = (layout.rows - 1) // t, (layout.cols - 1) // t
     strips = T.StructType(
         BLOCK_SCHEMA.fields[:3]
@@ -113,8 +108,9 @@ def focal(
             T.StructField("cells", T.ArrayType(T.DoubleType())),
         ]
     )
-    # Part of a block that the neighbour in direction d needs.
-    part = {-1: slice(0, halo), 0: slice(0, t), 1: slice(t - halo, t)}
+    # Part of a block that the block ``d`` further on needs, and its place in the padded array there.
+    part = {d: slice(max(0, d * t - halo), min(t, d * t + t + halo)) for d in range(-rings, rings + 1)}
+    place = {d: slice(p.start + halo - d * t, p.stop + halo - d * t) for d, p in part.items()}
 
     def cut(batches):
         for batch in batches:
@@ -122,18 +118,14 @@ def focal(
             keys = zip(*(batch.column(k).to_pylist() for k in BLOCK_KEY))
             for (layer, brow, bcol), flat in zip(keys, _arrays(batch.column("cells"))):
                 grid = flat.reshape(t, t)
-                for dr in (-1, 0, 1):
-                    for dc in (-1, 0, 1):
-                        if (dr or dc) and halo == 0:
-                            continue
+                for dr in part:
+                    for dc in part:
                         if 0 <= brow + dr <= last_row and 0 <= bcol + dc <= last_col:
                             piece = grid[part[dr], part[dc]].ravel()
-                            rows.append((layer, brow + dr, bcol + dc, -dr, -dc, piece))
+                            rows.append((layer, brow + dr, bcol + dc, dr, dc, piece))
             for out in _pack(rows, strips).to_batches():
                 yield out
 
-    # Where the piece that came from direction d lies in the padded block.
-    place = {-1: slice(0, halo), 0: slice(halo, halo + t), 1: slice(halo + t, t + 2 * halo)}
     schema = T.StructType(
         BLOCK_SCHEMA.fields[:3] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
     )
@@ -153,13 +145,6 @@ def focal(
         return _pack([(layer, brow, bcol, *(np.where(mask, found[n], np.nan).ravel() for n in names))], schema)
 
     pieces = blocks.select(*BLOCK_KEY, "cells").mapInArrow(cut, strips)
-    # At most nine pieces per block.
+    # At most (2 * rings + 1)^2 pieces per block: nine where the halo is no wider than a block.
     return pieces.groupBy(*BLOCK_KEY).applyInArrow(run, schema)
 
-
-def _regroup(found: DataFrame, layout: Layout, names: Sequence[str]) -> DataFrame:
-    parts = [to_blocks(found.select("layer", "row", "col", F.col(n).alias("value")), layout) for n in names]
-    out = parts[0].withColumnRenamed("cells", names[0])
-    for part, name in zip(parts[1:], names[1:]):
-        out = out.join(part.withColumnRenamed("cells", name), BLOCK_KEY)
-    return out

@@ -21,7 +21,7 @@ from ridgeline.model import Layout
 
 
 def halo_copies(cells: DataFrame, layout: Layout, halo: int) -> DataFrame:
-    """Add ``brow, bcol``: one row per block that needs the cell."""
+    """Add ``brow, bcol``: one row per block that needs the cell. Cells outside the layout raise."""
 
     def blocks(axis: str, size: int) -> Column:
         t = layout.tile_size
@@ -29,7 +29,7 @@ def halo_copies(cells: DataFrame, layout: Layout, halo: int) -> DataFrame:
         # "div" rounds towards zero, so positions before the first block clamp to 0 as wanted.
         return F.expr(f"sequence(greatest(0L, ({axis} - {halo}) div {t}), least({last}L, ({axis} + {halo}) div {t}))")
 
-    inside = cells.where(layout.contains(F.col("row"), F.col("col")))
+    inside = layout.checked(cells)
     if halo == 0:
         t = layout.tile_size
         return inside.withColumns({"brow": F.expr(f"row div {t}"), "bcol": F.expr(f"col div {t}")})

@@ -81,7 +81,7 @@ def test_horn_forms_agree_with_brute_force(spark, rough, form, tile):
         np.testing.assert_array_equal(as_array(found, rough.shape, name), want)
 
 
-@pytest.mark.parametrize("halo_n,tile", [(1, 16), (3, 16), (9, 8)])
+@pytest.mark.parametrize("halo_n,tile", [(1, 16), (3, 16), (9, 8), (20, 8)])
 def test_stored_blocks_agree_with_cells(spark, rough, halo_n, tile):
     lay = layout(rough.shape, tile)
     cells = grid_cells(spark, rough)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_array, grid_cells
 from ridgeline.model import Layout
-from ridgeline.operators import regions, stats
+from ridgeline.operators import blocks, regions, stats
 
 
 def expected_breaks(values, k):
@@ -100,12 +100,40 @@ def test_regions_agree_with_flood_fill(spark, kind):
 def test_region_reports(spark):
     a = np.array([[1, 1, 2], [2, 1, 2], [2, 2, 2]], dtype=float)
     lay = Layout(3857, 0, 0, 1, 1, 3, 3, 2)
-    labelled = regions.label(grid_cells(spark, a), lay)
-    rows = {r["region"]: (r["value"], r["cells"], r["row0"], r["row1"], r["col0"], r["col1"]) for r in regions.summary(labelled).collect()}
+    labelled = regions.label_blocks(blocks.to_blocks(grid_cells(spark, a), lay), lay)
+    rows = {r["region"]: (r["value"], r["cells"], r["row0"], r["row1"], r["col0"], r["col1"]) for r in regions.summary(labelled, lay).collect()}
     assert rows == {0: (1.0, 3, 0, 1, 0, 1), 2: (2.0, 6, 0, 2, 0, 2)}
-    assert {(r["value"], r["regions"]) for r in regions.regions_per_value(labelled).collect()} == {(1.0, 1), (2.0, 1)}
-    edges = regions.outline(labelled).where("region = 0").count()
-    assert edges == 8
+    assert {(r["value"], r["regions"]) for r in regions.regions_per_value(labelled, lay).collect()} == {(1.0, 1), (2.0, 1)}
+    edges = regions.outline(labelled, lay)
+    assert edges.where("region = 0").count() == 8
+    assert "Generate" not in labelled._jdf.queryExecution().executedPlan().toString()  # no cell rows
+
+
+@pytest.mark.parametrize("tile", [3, 8, 64])
+def test_outline_equals_a_plain_one(spark, tile):
+    rng = np.random.default_rng(2)
+    a = np.where(rng.random((21, 17)) < 0.1, np.nan, rng.integers(0, 3, (21, 17))).astype(float)
+    lay = Layout(3857, 0, 0, 1, 1, 17, 21, tile)
+    got = {tuple(r) for r in regions.outline(regions.label_blocks(blocks.to_blocks(grid_cells(spark, a), lay), lay), lay).select("region", "row", "col", "side").collect()}
+    ids, want = np.pad(flood(a), 1, constant_values=-1), set()
+    for r, c in np.argwhere(ids >= 0).tolist():
+        for side, dr, dc in (("N", -1, 0), ("E", 0, 1), ("S", 1, 0), ("W", 0, -1)):
+            if ids[r + dr, c + dc] != ids[r, c]:
+                want.add((int(ids[r, c]), r - 1, c - 1, side))
+    assert got == want
+
+
+def test_ids_beyond_doubles(spark):
+    """A corner of a grid of 2^62 cells: neighbouring ids that no double tells apart."""
+    far = 2**31 - 4
+    lay = Layout(3857, 0, 0, 1, 1, 2**31, 2**31, 4)
+    rows = [("a", far + r, far + c, float(v)) for r, c, v in ((0, 0, 1), (0, 1, 2), (0, 2, 1), (1, 0, 1), (1, 1, 1), (1, 2, 1))]
+    cells = spark.createDataFrame(rows, "layer string, row long, col long, value double")
+    got = {(r["row"] - far, r["col"] - far): r["region"] for r in regions.label(cells, lay).collect()}
+    first = far * 2**31 + far
+    assert got == {(0, 0): first, (0, 2): first, (1, 0): first, (1, 1): first, (1, 2): first, (0, 1): first + 1}
+    with pytest.raises(ValueError):
+        regions.label(cells, Layout(3857, 0, 0, 1, 1, 2**32, 2**32, 4))
 
 
 def test_codes_order_as_values_do(spark):

@@ -631,22 +631,29 @@ def _classes(spark, d):
     return local.local_map(ras.dem_gaps(spark, d), lambda v: F.expr("(value div 100) % 4"))
 
 
+def _labelled(cells, lay):
+    return regions.label_blocks(blocks.to_blocks(cells, lay), lay)
+
+
 @query
 def a9_regions(spark, d):
-    found = regions.summary(regions.label(_classes(spark, d), ras.layout(spark, d)))
+    lay = ras.layout(spark, d)
+    found = regions.summary(_labelled(_classes(spark, d), lay), lay)
     return found.select("region", F.col("value").cast("long").alias("value"), "cells", "row0", "row1", "col0", "col1")
 
 
 @query
 def a9_regions_per_value(spark, d):
-    found = regions.regions_per_value(regions.label(_classes(spark, d), ras.layout(spark, d)))
+    lay = ras.layout(spark, d)
+    found = regions.regions_per_value(_labelled(_classes(spark, d), lay), lay)
     return found.select(F.col("value").cast("long").alias("value"), "regions")
 
 
 @query
 def a10_region_outline(spark, d):
     one = _classes(spark, d).where("value = 1")
-    return regions.outline(regions.label(one, ras.layout(spark, d))).select("region", "row", "col", "side")
+    lay = ras.layout(spark, d)
+    return regions.outline(_labelled(one, lay), lay).select("region", "row", "col", "side")
 
 
 # Vector and visibility
