@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -46,3 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+
+def joinable(df: DataFrame, n: int, most: int) -> DataFrame:
+    """For a join: a table of ``n`` rows goes by broadcast if they are at most ``most``, else by a merge join."""
+    return F.broadcast(df) if n <= most else df.hint("merge")
+
+
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """Tasks for ``n`` rows of which each is much work: small tables would else be put into one task for their few bytes."""
+    return max(1, min(n, max(spark.sparkContext.defaultParallelism, n // 32)))

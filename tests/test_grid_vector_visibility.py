@@ -178,18 +178,68 @@ def test_points_at_the_edge_stay_inside(spark):
     assert near.count() == 2 * 6
 
 
-def test_slices_of_a_batch_hold_their_own_observers():
-    import pyarrow as pa
-
-    strip = lambda row, *cells: {"row": row, "cells": [{"col": c, "z": z} for c, z in cells]}
-    batch = pa.RecordBatch.from_pylist(
-        [
-            {"orow": 5, "ocol": 5, "strips": [strip(5, (5, 1.0), (6, 2.0)), strip(4, (5, 3.0))]},
-            {"orow": 0, "ocol": 0, "strips": [strip(0, (0, 4.0), (9, 9.0))]},
-            {"orow": 2, "ocol": 2, "strips": [strip(3, (3, 9.0), (2, 6.0)), strip(2, (2, 5.0))]},
-        ]
-    )
-    whole = visibility._discs(batch, 1)
-    parts = [visibility._discs(batch.slice(i, 1), 1) for i in range(3)]
-    np.testing.assert_array_equal(whole, np.concatenate(parts))
-    np.testing.assert_array_equal(whole[2].reshape(3, 3), [[np.nan] * 3, [np.nan, 5, np.nan], [np.nan, 6, np.nan]])
+def sight_reference(z, row, col, radius, eye=0.0, up=0.0):
+    """Sight lines, one sample after the other."""
+    seen = {}
+    for r, c in np.argwhere(~np.isnan(z)).tolist():
+        dr, dc = r - row, c - col
+        if dr * dr + dc * dc > radius * radius:
+            continue
+        n = max(abs(dr), abs(dc))
+        rise = z[r, c] + up - z[row, col] - eye
+        samples = [(k, z[row + (2 * k * dr + n) // (2 * n), col + (2 * k * dc + n) // (2 * n)]) for k in range(1, n)]
+        seen[r, c] = int(not any((s - z[row, col] - eye) * n > rise * k for k, s in samples))
+    return seen
+
+
+def many_blocks(seed=3):
+    rng = np.random.default_rng(seed)
+    z = np.cumsum(rng.integers(-3, 4, (61, 70)), axis=1).astype(float) + rng.integers(0, 4, (61, 70))
+    z[rng.random(z.shape) < 0.03] = np.nan
+    z[16:24, 32:40] = np.nan  # a block without data
+    observers = [(k, int(r), int(c)) for k, (r, c) in enumerate(zip(rng.integers(0, 61, 9), rng.integers(0, 70, 9)))] + [(20, 30, 30), (21, 30, 30)]
+    return z, [(k, r, c) for k, r, c in observers if not np.isnan(z[r, c])]
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 64])
+def test_sight_lines_over_more_than_three_blocks(spark, monkeypatch, pairs):
+    """A radius of three blocks and a half, in one group of observers for each block and in many."""
+    monkeypatch.setattr(visibility, "PAIRS", pairs)
+    z, observers = many_blocks()
+    df = spark.createDataFrame([("a", *o) for o in [*observers, (20, 30, 30)]], "layer string, observer_id long, row long, col long")
+    got = visibility.viewshed(df, grid_cells(spark, z), layout(z.shape, 8), 28, observer_height=1.0, target_height=0.5).collect()
+    for who, r, c in observers:
+        assert {(x["row"], x["col"]): x["visible"] for x in got if x["observer_id"] == who} == sight_reference(z, r, c, 28, 1.0, 0.5)
+    assert len(got) == len({(x["observer_id"], x["row"], x["col"]) for x in got})
+
+
+@pytest.mark.parametrize("tile", [8, 16, 100])
+def test_rings_over_more_than_three_blocks(spark, tile):
+    z, observers = many_blocks(5)
+    df = spark.createDataFrame([("a", *o) for o in observers], "layer string, observer_id long, row long, col long")
+    got = visibility.ring_viewshed(df, grid_cells(spark, z), layout(z.shape, tile), 27).collect()
+    for who, r, c in observers:
+        own = {(x["row"], x["col"]): x["visible"] for x in got if x["observer_id"] == who}
+        assert own.pop((r, c)) == 1 and own == ring_reference(z, r, c, 27)
+
+
+def test_corridors_hold_every_sample():
+    rng = np.random.default_rng(1)
+    for t in (4, 7):
+        for _ in range(200):
+            r, c, tr, tc = rng.integers(0, 80, 4).tolist()
+            blocks_ = set(visibility.corridor((r, r, c, c), (tr // t, tc // t), t))
+            dr, dc = tr - r, tc - c
+            n = max(abs(dr), abs(dc))
+            for k in range(1, n):
+                assert ((r + (2 * k * dr + n) // (2 * n)) // t, (c + (2 * k * dc + n) // (2 * n)) // t) in blocks_
+        assert len(list(visibility.corridor((0, 3, 0, 3), (40, 40), t))) < 6 * 41  # a band, not the square
+
+
+def test_observers_outside_the_layout_raise(spark):
+    stray = spark.createDataFrame([("a", 1, 99, 0)], "layer string, observer_id long, row long, col long")
+    z = np.zeros((5, 5))
+    with pytest.raises(Exception, match="outside the layout"):
+        visibility.viewshed(stray, grid_cells(spark, z), layout(z.shape), 3).collect()
+    none = visibility.ring_viewshed(stray.limit(0), grid_cells(spark, z), layout(z.shape), 3)
+    assert none.count() == 0 and visibility.viewshed(stray.limit(0), grid_cells(spark, z), layout(z.shape), 3).count() == 0
