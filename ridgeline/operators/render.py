@@ -50,6 +50,41 @@ def paint(cells: DataFrame, op: str, reference: DataFrame | None = None) -> Data
     return colorize_by_quantiles(cells, colour.RUN_BY_OP.get(op, "green-red-orange"), reference=reference)
 
 
+def paint_blocks(levels: DataFrame, op: str, reference: DataFrame | None = None, stored: bool = False) -> DataFrame:
+    """Blocks with ``rgba``: the colour of each cell, 0 where there is none. ``paint`` on arrays.
+
+    ``reference`` has the cells whose quantiles stretch a colour run; they are read again if they are ``stored``.
+    """
+    if op in colour.RAMP_BY_OP:
+        breaks, codes = map(np.asarray, zip(*sorted(colour.RAMPS[colour.RAMP_BY_OP[op]])))
+    else:
+        if reference is None:
+            raise ValueError(f"the colours of {op} need a reference")
+        run = colour.RUNS[colour.RUN_BY_OP.get(op, "green-red-orange")]
+        row = distinct_breaks(quantile_breaks(reference, len(run), (), stored), ()).first()  # at most ten numbers
+        breaks = np.asarray(row["breaks"] if row and row["breaks"] else [], float)
+        # Fewer distinct breaks than colours: spread them over the run.
+        codes = np.asarray(run)[np.arange(len(breaks)) * (len(run) - 1) // max(1, len(breaks) - 1)]
+    table = np.append(codes, 0).astype(np.int64)
+    schema = T.StructType(levels.schema.fields[:-1] + [T.StructField("rgba", T.ArrayType(T.LongType()))])
+
+    def fill(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = batch.column("cells")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                colours = np.where(np.isnan(cells), 0, table[np.searchsorted(breaks, cells, "left")])
+                packed = pa.ListArray.from_arrays(pa.array([0, len(colours)], pa.int32()), pa.array(colours))
+                yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns[:-1]] + [packed], names=schema.names)
+
+    return levels.mapInArrow(fill, schema)
+
+
+def block_tiles(painted: DataFrame, job_id: str) -> DataFrame:
+    """``picture_tiles`` of painted blocks on world-wide zoom grids: a block is a tile."""
+    shown = painted.where(F.exists("rgba", lambda c: c != 0))
+    return shown.select(F.lit(job_id).alias("job_id"), "z", F.col("bcol").alias("x"), F.col("brow").alias("y"), "rgba")
+
+
 def picture_tiles(painted: DataFrame, job_id: str, tile_size: int = 256) -> DataFrame:
     """``job_id, z, x, y, rgba`` with one array of ``tile_size^2`` colours; 0 is transparent.
 

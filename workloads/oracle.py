@@ -10,8 +10,8 @@ ORACLE = {}
 # Shared subqueries. Cells are (r, c, z).
 COMMON = {
     "size": "SELECT count(*) AS n FROM embeddings",
-    "dem": """SELECT vec_id AS r, p AS c, CAST(floor(CAST(embedding[p + 1] AS DOUBLE) * 1000) AS BIGINT) + 1000 AS z
-        FROM embeddings, range(0, 64) t(p)""",
+    "dem": """SELECT vec_id AS r, unnest(range(0, 64)) AS c, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) + 1000 AS z
+        FROM embeddings""",
     "gaps": "SELECT r, c, z FROM dem WHERE (r * 13 + c * 29) % 11 <> 0",
     "fr": """SELECT r, c, z + CASE WHEN (r * 31 + c * 17) % 7 = 0 THEN (r + c) % 40 ELSE 0 END AS z FROM dem""",
     "lc": """SELECT DISTINCT r // 4 AS r, c // 4 AS c, CAST(1 + ((r // 4) * 7 + (c // 4) * 3) % 15 AS INTEGER) AS cls FROM dem""",
