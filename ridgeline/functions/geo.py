@@ -31,12 +31,6 @@ def haversine_metres(lon1: float, lat1: float, lon2: float, lat2: float) -> floa
     return EARTH_KM * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a)) * 1000
 
 
-def box_radius(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Metres from a lon/lat box's centre to its north-east corner, at the fixed metres per degree."""
-    dx, dy = (xmax - xmin) / 2, (ymax - ymin) / 2
-    return F.sqrt(dx * dx + dy * dy) * METRES_PER_DEGREE
-
-
 def project(source: int, target: int, x: Column, y: Column) -> tuple[Column, Column]:
     """Between lon/lat (4326) and Web Mercator (3857)."""
     if source == target:

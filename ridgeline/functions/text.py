@@ -42,9 +42,5 @@ def box_wkt(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 
 def stable_id(*parts: Column) -> Column:
-    """A repeatable stand-in for a random id."""
+    """An id that the same parts always give."""
     return F.sha2(F.concat_ws("|", *parts), 256)
-
-
-def random_id() -> Column:
-    return F.expr("uuid()")

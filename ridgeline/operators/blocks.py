@@ -78,10 +78,14 @@ def local(blocks: DataFrame, change: Callable[[Column], Column], column: str = "
     return blocks.withColumn(column, F.transform(column, change))
 
 
-def combine(a: DataFrame, b: DataFrame, join: Callable[[Column, Column], Column]) -> DataFrame:
-    """Cell-wise combination of two layers: an equi-join on the block, then ``zip_with``."""
-    right = b.withColumnRenamed("cells", "other")
-    return a.join(right, BLOCK_KEY).select(*BLOCK_KEY, F.zip_with("cells", "other", join).alias("cells"))
+def combine(a: DataFrame, b: DataFrame, join: Callable[[Column, Column], Column], how: str = "inner") -> DataFrame:
+    """Cell-wise combination of two layers: an equi-join on the block, then ``zip_with``.
+
+    ``inner`` drops blocks that either side lacks; with ``left`` the cells of a block that ``b`` lacks meet NULL.
+    """
+    right = b.select(*BLOCK_KEY, F.col("cells").alias("other"))
+    joined = a.join(right, BLOCK_KEY, how).withColumn("other", F.coalesce("other", F.array().cast("array<double>")))
+    return joined.select(*BLOCK_KEY, F.zip_with("cells", "other", join).alias("cells"))
 
 
 def focal(

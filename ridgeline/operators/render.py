@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.functions import colour
+from ridgeline.operators.reshape import pyramid_blocks
 from ridgeline.operators.stats import distinct_breaks, quantile_breaks
 
 
@@ -85,6 +86,14 @@ def block_tiles(painted: DataFrame, job_id: str) -> DataFrame:
     return shown.select(F.lit(job_id).alias("job_id"), "z", F.col("bcol").alias("x"), F.col("brow").alias("y"), "rgba")
 
 
+def tile_on_demand(stored: DataFrame, op: str, tile_size: int, base_zoom: int, z: int, x: int, y: int, reference: DataFrame | None = None) -> DataFrame:
+    """One picture tile from the stored blocks of the base zoom: only those that lie below it are read, and no pyramid is built."""
+    below = 1 << (base_zoom - z)
+    under = lambda axis, at: F.col(axis).between(at * below, (at + 1) * below - 1)
+    blocks = stored.where(under("brow", y) & under("bcol", x))
+    return block_tiles(paint_blocks(pyramid_blocks(blocks, tile_size, base_zoom, z, every=False), op, reference), "")
+
+
 def picture_tiles(painted: DataFrame, job_id: str, tile_size: int = 256) -> DataFrame:
     """``job_id, z, x, y, rgba`` with one array of ``tile_size^2`` colours; 0 is transparent.
 

@@ -206,12 +206,13 @@ def halve(value: np.ndarray, count: np.ndarray | None, method: str) -> tuple[np.
     return out, None
 
 
-def pyramid_blocks(stored: DataFrame, tile_size: int, base_zoom: int, end_zoom: int = 0, method: str = "nearest") -> DataFrame:
+def pyramid_blocks(stored: DataFrame, tile_size: int, base_zoom: int, end_zoom: int = 0, method: str = "nearest", every: bool = True) -> DataFrame:
     """``z, layer, brow, bcol, cells``: all zoom levels from ``base_zoom`` up, cells halved in each direction per level.
 
     ``nearest`` keeps the first known child in row-major order, ``average`` the mean of the known base cells. A block
     reduces itself for every level up to one cell, and sends each result to the block of that level it is part of: one
-    exchange of a third of the layer serves ``log2(tile_size)`` levels.
+    exchange of a third of the layer serves ``log2(tile_size)`` levels. Without ``every`` only ``end_zoom`` is returned,
+    and of the levels between only one in ``log2(tile_size)`` is put together.
     """
     if method not in ("nearest", "average"):
         raise ValueError(f"unknown method: {method}")
@@ -239,7 +240,7 @@ def pyramid_blocks(stored: DataFrame, tile_size: int, base_zoom: int, end_zoom:
                     for up in range(1, depth + 1):
                         value, count = halve(value, count, method)
                         side, mask = t >> up, (1 << up) - 1
-                        if (count > 0).any() if method == "average" else not np.isnan(value).all():
+                        if (every or up == depth) and ((count > 0).any() if method == "average" else not np.isnan(value).all()):
                             at = ((brow & mask) * side, (bcol & mask) * side)
                             yield one_row(pieces, (zoom - up, layer, brow >> up, bcol >> up, side, *at, value, none if count is None else count))
 
@@ -262,7 +263,8 @@ def pyramid_blocks(stored: DataFrame, tile_size: int, base_zoom: int, end_zoom:
         depth = min(steps, zoom - end_zoom)
         found = current.mapInArrow(reduce(zoom, depth), pieces).groupBy(*key).applyInArrow(assemble, level)
         cells = F.col("value") if method == "nearest" else F.zip_with("value", "count", F.try_divide)
-        out = out.unionByName(found.select(*key, cells.alias("cells")))
+        level_cells = found.select(*key, cells.alias("cells"))
+        out = out.unionByName(level_cells) if every else level_cells
         zoom -= depth
         current = found.where(F.col("z") == zoom)
     return out

@@ -54,15 +54,19 @@ def combined_removal(
         if cover_layout is None:
             raise ValueError("land cover needs its layout")
         out = cover_filtered(out, layout, cover, cover_layout, mask="nodata")
-    flags = {
+    return out, removal_flags(first is not None, cover is not None)
+
+
+def removal_flags(first: bool, cover: bool) -> dict[str, bool]:
+    """Which steps of a combined removal ran."""
+    return {
         "result": True,
         "bareearthstored": True,
-        "firstreturnstored": first is not None,
-        "landcoverincluded": cover is not None,
-        "firstreturnincluded": first is not None,
+        "firstreturnstored": first,
+        "landcoverincluded": cover,
+        "firstreturnincluded": first,
         "obstructionstored": True,
     }
-    return out, flags
 
 
 def flags_row(spark, flags: dict[str, bool]) -> DataFrame:

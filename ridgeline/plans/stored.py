@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.model import Layout
-from ridgeline.operators import blocks, kernels, local
+from ridgeline.operators import blocks, kernels, local, reshape
 from ridgeline.operators.vector import CENTER_CLASS, SYMBOL_RINGS, ring_radii
 from ridgeline.plans import products
+from ridgeline.plans.layers import OBJECT_HEIGHT, removal_flags
 from ridgeline.session import cut_lineage
 
 SURFACES = ("slope", "aspect", "hillshade")
@@ -67,6 +68,45 @@ def focal_sum(stored: DataFrame, layout: Layout, radius: float) -> DataFrame:
     return blocks.focal(stored, layout, int(math.floor(radius)), kernel, ("cells",), keep="filled")
 
 
+def nearest_cover(layout: Layout, cover: DataFrame, cover_layout: Layout) -> DataFrame:
+    """Classes of a coarser layer as blocks of the finer grid."""
+    return reshape.resample_blocks(cover, cover_layout, layout, "nearest")
+
+
+def cover_filtered(stored: DataFrame, layout: Layout, cover: DataFrame, cover_layout: Layout, mask: str = "zero") -> DataFrame:
+    """Elevation on suitable land cover; elsewhere, and where no cover is known, 0 or NODATA."""
+    if mask not in ("zero", "nodata"):
+        raise ValueError(f"unknown mask: {mask}")
+    other = F.lit(0.0) if mask == "zero" else F.lit(None).cast("double")
+    keep = lambda v, c: F.when(v.isNull() | (F.coalesce(local.suitable_mask(c), F.lit(0)) == 1), v).otherwise(other)
+    return blocks.combine(stored, nearest_cover(layout, cover, cover_layout), keep, "left")
+
+
+def obstruction_removed(bare: DataFrame, first: DataFrame, height: float = OBJECT_HEIGHT) -> DataFrame:
+    """Bare earth, NODATA where the first return stands more than ``height`` above it."""
+    return blocks.combine(bare, first, lambda b, f: F.when(f > b + height, F.lit(None).cast("double")).otherwise(b), "left")
+
+
+def object_height(bare: DataFrame, first: DataFrame, height: float = OBJECT_HEIGHT) -> DataFrame:
+    """First return above bare earth where that is more than ``height``, else 0."""
+    return blocks.combine(bare, first, lambda b, f: F.when(f - b > height, f - b).when((f - b).isNotNull(), 0.0))
+
+
+def combined_removal(
+    bare: DataFrame,
+    layout: Layout,
+    first: DataFrame | None = None,
+    cover: DataFrame | None = None,
+    cover_layout: Layout | None = None,
+    height: float = OBJECT_HEIGHT,
+) -> tuple[DataFrame, dict[str, bool]]:
+    """Bare earth without obstructions and without unsuitable land cover, and which steps ran."""
+    out = bare if first is None else obstruction_removed(bare, first, height)
+    if cover is not None:
+        out = cover_filtered(out, layout, cover, cover_layout, mask="nodata")
+    return out, removal_flags(first is not None, cover is not None)
+
+
 def suitability(
     stored: DataFrame,
     layout: Layout,

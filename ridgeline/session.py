@@ -56,3 +56,8 @@ def joinable(df: DataFrame, n: int, most: int) -> DataFrame:
 def tasks_for(spark: SparkSession, n: int) -> int:
     """Tasks for ``n`` rows of which each is much work: small tables would else be put into one task for their few bytes."""
     return max(1, min(n, max(spark.sparkContext.defaultParallelism, n // 32)))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -100,11 +100,11 @@ def match_documents(stored: DataFrame, prop: str, value: str) -> DataFrame:
     """Parse stored documents and keep those whose property equals ``value``, ignoring case."""
     if prop not in SEARCHABLE:
         raise ValueError(f"not a searchable property: {prop}")
-    outer = F.from_json("content", T.StructType(_text("document")))
-    parsed = stored.withColumn("d", F.from_json(outer["document"], SCENE_DOCUMENT))
-    kept = parsed.where(F.lower(F.col(f"d.{prop}")) == value.lower())
-    bucket, key = text.split_uri(F.col("d.uri"))
-    return kept.select("scene_id", F.col("d.uri").alias("uri"), bucket.alias("bucket"), key.alias("key"))
+    # Exploding an array of one parses a text once, and not again for each use of what it holds.
+    once = lambda content, *names: F.inline(F.array(F.from_json(content, T.StructType(_text(*names)))))
+    parsed = stored.select("scene_id", once("content", "document")).select("scene_id", once("document", *{prop, "uri"}))
+    bucket, key = text.split_uri(F.col("uri"))
+    return parsed.where(F.lower(F.col(prop)) == value.lower()).select("scene_id", "uri", bucket.alias("bucket"), key.alias("key"))
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -117,13 +117,6 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame
     )
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """``n, path``: files numbered from 1 in path order, without one task holding the order."""
-    ordered = files.select("path").orderBy("path")
-    pairs = ordered.rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
-    return files.sparkSession.createDataFrame(pairs, "n long, path string")
-
-
 def scene_document(kind: str, file_name, resolution, xmin, ymin, xmax, ymax):
     """Struct of a layer's document. ``origin`` is the lower-left corner."""
     return F.struct(

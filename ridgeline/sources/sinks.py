@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.session import path_exists
+
 
 def write_tiles(tiles: DataFrame, root: str) -> None:
     """Store picture tiles under ``job_id=/z=``.
@@ -23,6 +25,10 @@ def read_tile(spark: SparkSession, root: str, job_id: str, z: int, x: int, y: in
     return stored.where((F.col("job_id") == job_id) & (F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y))
 
 
-def write_documents(documents: DataFrame, root: str) -> None:
-    """Documents as JSON lines."""
+def write_documents(documents: DataFrame, root: str, key: str) -> None:
+    """Add documents as JSON lines; one whose ``key`` is there already is left out, so a second run changes nothing."""
+    spark = documents.sparkSession
+    if path_exists(spark, root):
+        known = spark.read.schema(documents.schema).json(root).select(key)
+        documents = documents.join(known, key, "left_anti").select(*documents.columns)
     documents.write.mode("append").json(root)

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from conftest import as_array, grid_cells
 from ridgeline.functions import colour, text
 from ridgeline.model import Layout
-from ridgeline.operators import joins, render
-from ridgeline.plans import jobs, layers
+from ridgeline.operators import blocks, joins, render, reshape
+from ridgeline.plans import jobs, layers, stored as stored_plans
 from ridgeline.sources import catalog, requests, scenes, sinks
 
 LAY = Layout(4326, -77.0, 39.0, 0.0005, 0.0005, 40, 40, 16)
@@ -25,17 +25,17 @@ def scene_table(spark):
     return spark.createDataFrame(rows, "scene_id long, type string, uri string, xmin double, ymin double, xmax double, ymax double")
 
 
-def scene_cells(spark):
+def scene_blocks(spark):
     r, c = np.mgrid[0:40, 0:40]
-    cells = grid_cells(spark, 100.0 + 10 * np.sin(r / 5.0) + c)
-    return cells.select(F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3, 4)])).alias("scene_id"), "row", "col",
-                        (F.col("value") + 0).alias("value")).withColumn("value", F.when(F.col("scene_id") == 1, F.col("value")).otherwise(-9999.0))
+    stored = blocks.to_blocks(grid_cells(spark, 100.0 + 10 * np.sin(r / 5.0) + c), LAY)
+    each = stored.select(F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3, 4)])).alias("scene_id"), "brow", "bcol", "cells")
+    return each.withColumn("cells", F.when(F.col("scene_id") == 1, F.col("cells")).otherwise(F.transform("cells", lambda v: F.lit(-9999.0))))
 
 
 @pytest.mark.parametrize("op", ["artslope", "tpi", "slope", "hlz"])
 def test_analytic_job_end_to_end(spark, tmp_path, op):
     tiles, docs = str(tmp_path / "tiles"), str(tmp_path / "docs")
-    job = jobs.run_analytic(spark, BODY % op, scene_table(spark), scene_cells(spark), LAY, tiles, docs, end_zoom=8, clip=True)
+    job = jobs.run_analytic(spark, BODY % op, scene_table(spark), scene_blocks(spark), LAY, tiles, docs, end_zoom=8, clip=True)
     assert job == "job-1"
     stored = spark.read.parquet(tiles)
     levels = [r["z"] for r in stored.select("z").distinct().orderBy("z").collect()]
@@ -50,23 +50,25 @@ def test_analytic_job_end_to_end(spark, tmp_path, op):
 
 def test_unknown_operation_raises(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown operation"):
-        jobs.run_analytic(spark, BODY % "nothing", scene_table(spark), scene_cells(spark), LAY, str(tmp_path / "t"), str(tmp_path / "d"))
+        jobs.run_analytic(spark, BODY % "nothing", scene_table(spark), scene_blocks(spark), LAY, str(tmp_path / "t"), str(tmp_path / "d"))
     with pytest.raises(ValueError):
         jobs.product("nothing", None, LAY)
 
 
+COVER, COVER_LAY = np.array([[4.0, 11.0], [1.0, 7.0]]), Layout(4326, -77.0, 39.0, 0.01, 0.01, 2, 2, 8)
+
+
+def rasters(spark, **arrays):
+    return {role: (blocks.to_blocks(grid_cells(spark, a), lay), lay) for role, (a, lay) in arrays.items()}
+
+
 def test_pipelines_store_layers_and_documents(spark, tmp_path):
     bare = np.full((20, 20), 50.0)
     first = bare.copy()
     first[5:8, 5:8] += 12.0
     first[1, 1] += 0.5
     lay = Layout(4326, -77.0, 39.0, 0.001, 0.001, 20, 20, 8)
-    inputs = {
-        "bareearth": (grid_cells(spark, bare), lay),
-        "firstreturn": (grid_cells(spark, first), lay),
-        "dem": (grid_cells(spark, bare), lay),
-        "landcover": (grid_cells(spark, np.array([[4.0, 11.0], [1.0, 7.0]])), Layout(4326, -77.0, 39.0, 0.01, 0.01, 2, 2, 8)),
-    }
+    inputs = rasters(spark, bareearth=(bare, lay), firstreturn=(first, lay), dem=(bare, lay), landcover=(COVER, COVER_LAY))
     body = '{"type": "pipeline", "properties": {"op": "%s", "jobid": "p"}}'
     root, docs = str(tmp_path / "layers"), str(tmp_path / "docs")
     for op in ("buildobs", "buildhover", "buildobslc"):
@@ -90,7 +92,8 @@ def test_pipelines_store_layers_and_documents(spark, tmp_path):
 
 def test_upload_brings_scenes_to_lonlat(spark, tmp_path):
     lay = Layout(3857, -8654000.0, 4710000.0, 200.0, 200.0, 24, 24, 8)
-    document, target = scenes.upload(grid_cells(spark, np.full((24, 24), 9.0)), lay, "bareearth", str(tmp_path / "up"))
+    stored = blocks.to_blocks(grid_cells(spark, np.full((24, 24), 9.0)), lay)
+    document, target = scenes.upload(stored, lay, "bareearth", str(tmp_path / "up"))
     row = document.first()
     assert target.crs == 4326 and row["type"] == "bareearth" and row["resolution"].endswith("M")
     assert row["uri"].startswith("hdfs://bareearth/100M/")
@@ -105,9 +108,8 @@ def test_scene_files_by_uri(spark, tmp_path):
     assert back.count() == 9 and back.where("uri LIKE '%scene%'").count() == 9
     with pytest.raises(ValueError):
         scenes.read_cells(spark, [])
-    files = catalog.numbered(catalog.inventory(spark, path, "*.parquet")).collect()
-    assert [r["n"] for r in files] == list(range(1, len(files) + 1))
-    assert [r["path"] for r in files] == sorted(r["path"] for r in files)
+    files = catalog.inventory(spark, path, "*.parquet").collect()
+    assert files and all(r["path"].endswith(".parquet") and r["length"] > 0 for r in files)
 
 
 def test_uri_split_reads_the_scheme_only(spark):
@@ -169,7 +171,6 @@ def test_colours(spark):
     assert got == [0xFFFFFF00, 0x00FF0000, 0xFFFF667F, None, None, 0xFFFF6600]
     packed = frame.limit(1).select(colour.channels(colour.pack(*[F.lit(v) for v in (9, 8, 7, 6)])).alias("c")).first()["c"]
     assert tuple(packed) == (9, 8, 7, 6)
-    assert colour.ramp_table(spark).count() == sum(len(s) for s in colour.RAMPS.values())
     with pytest.raises(ValueError):
         render.colorize(frame, "none")
 
@@ -186,3 +187,123 @@ def test_combined_removal_flags(spark):
 def test_center_viewshed(spark):
     lay = Layout(3857, 0, 0, 1, 1, 9, 9, 4)
     assert jobs.center_viewshed(grid_cells(spark, np.zeros((9, 9))), lay, "a", 3).where("visible = 1").count() == 29
+
+
+def test_only_the_scenes_found_are_read(spark, tmp_path):
+    """The search's scenes prune the folders of the scan, also inside a job."""
+    root, catalog_path = str(tmp_path / "scenes"), str(tmp_path / "catalog")
+    scenes.write_scenes(scene_blocks(spark), root)
+    scene_table(spark).write.parquet(catalog_path)
+    table = spark.read.parquet(catalog_path)
+    chosen = catalog.job_scenes(table, "sources", -77.0, 38.98, -76.98, 39.0)
+    found = scenes.of_scenes(scenes.read_scenes(spark, root), chosen)
+    shown = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in shown[shown.index("PartitionFilters") :]
+    assert {r["scene_id"] for r in found.collect()} == {1} and found.count() == 9
+    scenes.write_scenes(scene_blocks(spark).where("scene_id = 1"), root)  # again: its own folder only
+    assert scenes.read_scenes(spark, root).count() == 4 * 9
+    tiles = [str(tmp_path / f"t{k}") for k in (0, 1)]
+    jobs.run_analytic(spark, BODY % "slope", table, scenes.read_scenes(spark, root), LAY, tiles[0], str(tmp_path / "d0"), end_zoom=14, clip=True)
+    jobs.run_analytic(spark, BODY % "slope", scene_table(spark), scene_blocks(spark), LAY, tiles[1], str(tmp_path / "d1"), end_zoom=14, clip=True)
+    bag = [sorted((r["z"], r["x"], r["y"], tuple(r["rgba"])) for r in spark.read.parquet(t).collect()) for t in tiles]
+    assert bag[0] == bag[1] and bag[0]
+
+
+def test_a_large_list_of_scenes_meets_them_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(scenes, "SENT_SCENES", 1)
+    found = scenes.of_scenes(scene_blocks(spark), spark.createDataFrame([(1,), (3,), (9,)], "scene_id long"))
+    assert {r["scene_id"] for r in found.collect()} == {1, 3}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_round_trip_and_second_run(spark, tmp_path):
+    """Write, search, read by the URI found; a second run changes nothing."""
+    root, docs = str(tmp_path / "layers"), str(tmp_path / "docs")
+    lay = Layout(4326, -77.0, 39.0, 0.001, 0.001, 20, 20, 8)
+    rng = np.random.default_rng(1)
+    bare = rng.integers(0, 50, (20, 20)).astype(float)
+    body = '{"type": "pipeline", "properties": {"op": "%s", "jobid": "%s", "type": "bareearth"}}'
+    inputs = rasters(spark, upload=(bare, lay))
+
+    def state():
+        layer_rows = spark.read.parquet(root).select("type", "resolution", "filename", "brow", "bcol", F.sha2(F.to_json("cells"), 256))
+        return sorted(map(tuple, layer_rows.collect())), sorted(r["uri"] for r in spark.read.json(docs).collect())
+
+    jobs.run_pipeline(spark, body % ("upload", "a"), inputs, root, docs)
+    first = state()
+    jobs.run_pipeline(spark, body % ("upload", "a"), inputs, root, docs)
+    assert state() == first and len(first[1]) == 1
+    jobs.run_pipeline(spark, body % ("upload", "b"), inputs, root, docs)  # another job's layer stands beside it
+    assert len(state()[1]) == 2
+    box = F.regexp_extract_all(F.col("bbox")["@WKT"], F.lit(r"(-?[0-9.]+)"), F.lit(1)).cast("array<double>")
+    table = spark.read.json(docs).select("type", "uri", F.array_min(F.filter(box, lambda v: v < 0)).alias("xmin"), F.lit(-76.98).alias("xmax"), F.lit(38.98).alias("ymin"), F.lit(39.0).alias("ymax"))
+    uris = [r["uri"] for r in catalog.job_scenes(table, "bareearth", -77.0, 38.9, -76.9, 39.0).collect()]
+    assert len(uris) == 2 and all(u.startswith("hdfs://bareearth/100M/") for u in uris)
+    for uri in uris:
+        back, found = scenes.open_layer(spark, root, uri)
+        assert found == lay
+        np.testing.assert_array_equal(as_array(blocks.to_cells(back, found), (20, 20)), bare)
+    shown = scenes.open_layer(spark, root, uris[0])[0]._jdf.queryExecution().executedPlan().toString()
+    assert "filename" in shown[shown.index("PartitionFilters") : shown.index("PushedFilters")]
+    # a pipeline that reads its inputs by URI
+    done = jobs.run_pipeline(spark, body % ("buildhover", "c"), {"bareearth": uris[0], "firstreturn": uris[1]}, root, docs)
+    blocks_, found = scenes.open_layer(spark, root, done.documents[0].first()["uri"])
+    assert set(as_array(blocks.to_cells(blocks_, found), (20, 20)).ravel()) == {0.0}
+    for wrong in ("s3://b/k", "hdfs://a/b", "hdfs://bareearth/100M/none.tif"):
+        with pytest.raises(ValueError):
+            scenes.open_layer(spark, root, wrong)
+
+
+@pytest.mark.parametrize("have", [(), ("firstreturn",), ("landcover",), ("firstreturn", "landcover")])
+def test_combined_removal_job_with_each_input_absent(spark, tmp_path, have):
+    bare = np.full((20, 20), 50.0)
+    first = bare.copy()
+    first[5:8, 5:8] += 12.0
+    lay = Layout(4326, -77.0, 39.0, 0.001, 0.001, 20, 20, 8)
+    every = rasters(spark, bareearth=(bare, lay), firstreturn=(first, lay), landcover=(COVER, COVER_LAY))
+    inputs = {k: v for k, v in every.items() if k == "bareearth" or k in have}
+    body = '{"type": "pipeline", "properties": {"op": "buildcombined", "jobid": "p"}}'
+    root, docs = str(tmp_path / "layers"), str(tmp_path / "docs")
+    done = jobs.run_pipeline(spark, body, inputs, root, docs)
+    flags = done.flags.first()
+    assert flags["result"] == "true" and flags["bareearthstored"] == "true"
+    assert (flags["firstreturnincluded"], flags["landcoverincluded"]) == tuple(str(k in have).lower() for k in ("firstreturn", "landcover"))
+    want = np.where(first > bare + 1, np.nan, bare) if "firstreturn" in have else bare.copy()
+    if "landcover" in have:
+        want[:10, 10:] = want[10:, :10] = np.nan
+    got = as_array(scenes.read_layer(spark, root, "combined", lay), (20, 20))
+    np.testing.assert_array_equal(got, want)
+    assert {r["type"] for r in spark.read.json(docs).collect()} == {"combined", "bareearth"} | ({"firstreturn"} & set(have))
+    with pytest.raises(ValueError):
+        jobs.run_pipeline(spark, body, {}, root, docs)
+
+
+@pytest.mark.parametrize("z, x, y", [(5, 1, 0), (4, 0, 1), (3, 0, 0), (1, 0, 0)])
+def test_tiles_on_demand_equal_the_pyramid(spark, tmp_path, z, x, y):
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random((60, 50)) < 0.2, np.nan, rng.integers(0, 256, (60, 50)).astype(float))
+    lay = Layout(3857, 0, 0, 1, 1, 50, 60, 8)
+    path = str(tmp_path / "base")
+    blocks.to_blocks(grid_cells(spark, a), lay).sortWithinPartitions("brow", "bcol").write.parquet(path)
+    base = spark.read.parquet(path)
+    one = render.tile_on_demand(base, "hover", 8, 5, z, x, y)
+    whole = render.block_tiles(render.paint_blocks(reshape.pyramid_blocks(base, 8, 5, 0), "hover"), "")
+    want = [list(r["rgba"]) for r in whole.where(f"z = {z} AND x = {x} AND y = {y}").collect()]
+    assert [list(r["rgba"]) for r in one.collect()] == want and len(want) == 1
+    shown = one._jdf.queryExecution().executedPlan().toString()
+    pushed = shown[shown.index("PushedFilters") :]
+    assert f"GreaterThanOrEqual(brow,{y << (5 - z)})" in pushed and "IsNotNull(bcol)" in pushed
+    assert shown.count("FlatMapGroupsInArrow") == -(-(5 - z) // 3)  # one step for each three levels, not one for each
+
+
+def test_stored_plans_reject_unknown_masks(spark):
+    with pytest.raises(ValueError):
+        stored_plans.cover_filtered(None, LAY, None, LAY, mask="other")
+
+
+def test_documents_are_parsed_once(spark):
+    table = scene_table(spark).withColumns({c: F.lit("x") for c in ("dataset", "directory", "location", "filetype", "filename", "resolution")})
+    found = catalog.match_documents(catalog.envelopes(table), "type", "HOVER")
+    assert [tuple(r) for r in found.collect()] == [(3, "hdfs://hover/c.tif", "hdfs", "hover/c.tif")]
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("from_json") == 2  # the envelope, and the document in it

@@ -640,6 +640,13 @@ ORACLE["m9_colour_channels"] = """SELECT CAST(red * 16777216 + green * 65536 + b
     CAST(red AS INTEGER) AS red, CAST(green AS INTEGER) AS green, CAST(blue AS INTEGER) AS blue, CAST(alpha AS INTEGER) AS alpha
   FROM (SELECT l_orderkey % 256 AS red, l_orderkey * 3 % 256 AS green, l_orderkey * 5 % 256 AS blue, l_orderkey * 7 % 256 AS alpha
     FROM lineitem) GROUP BY ALL"""
+ORACLE["l2_lcnoobs_stored_blocks"] = ORACLE["l2_lcnoobs"]
+ORACLE["l4_combined_stored_blocks"] = f"SELECT * FROM ({ORACLE['l4_combined']}) WHERE v IS NOT NULL"
+ORACLE["t1_reproject_stored_blocks"] = ORACLE["t1_reproject_bilinear"]
+ORACLE["t4_nearest_stored_blocks"] = ORACLE["t4_nearest_onto"]
+ORACLE["t8_pyramid_stored_blocks"] = ORACLE["t8_pyramid"]
+ORACLE["t3_mosaic_stored_blocks"] = """SELECT l_partkey AS "row", l_suppkey AS col, arg_min(z, l_linenumber) AS v
+    FROM (SELECT l_linenumber, l_partkey, l_suppkey, min(CAST(floor(l_extendedprice) AS BIGINT)) AS z FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2"""
 ORACLE["s18_read_tile"] = sql(
     f"""SELECT CAST(i AS INTEGER) AS at, CAST(coalesce(max(CASE WHEN r = 48 + i // 16 AND c = 16 + i % 16 THEN {RED} END), 0) AS BIGINT) AS rgba
       FROM p4, range(0, 256) t(i) WHERE r // 16 = 3 AND c // 16 = 1 GROUP BY i""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import colour, geo, text
 from ridgeline.model import Layout, grid_to_map, map_to_grid
-from ridgeline.operators import blocks, focal, grid, joins, local, regions, render, stats, surface, vector, visibility
+from ridgeline.operators import blocks, focal, grid, joins, local, regions, render, reshape, stats, surface, vector, visibility
 from ridgeline.plans import layers, products, stored
 from ridgeline.session import ship
 from ridgeline.sources import catalog, requests, scenes
@@ -122,7 +122,7 @@ def s12_load_scenes(spark, d):
         F.floor("l_extendedprice").cast("long").alias("value"),
     )
     return (
-        scenes.cells_of(cells, chosen)
+        scenes.of_scenes(cells, chosen)
         .groupBy("scene_id")
         .agg(F.count("*").alias("n"), F.min("value").alias("zmin"), F.max("value").alias("zmax"))
     )
@@ -157,11 +157,17 @@ def s16_layer_documents(spark, d):
     return parsed.select("layer", "j.type", "j.resolution", "j.uri", F.col("j.bbox")["@WKT"].alias("wkt"))
 
 
+def _low_blocks(spark, d, rows=None, cols=None):
+    """Elevation above 900 in blocks of 16 cells; of the named rows and columns only."""
+    cells = ras.dem(spark, d).withColumn("value", F.col("value") - 900)
+    if rows is not None:
+        cells = cells.where(F.col("row").between(rows[0], rows[-1]) & F.col("col").between(cols[0], cols[-1]))
+    return blocks.to_blocks(cells, ras.layout(spark, d).with_tile_size(16))
+
+
 @query
 def s17_picture_tiles(spark, d):
-    cells = ras.dem(spark, d).withColumn("value", F.col("value") - 900)
-    painted = render.colorize(grid.pyramid(cells, 5, 2, "nearest", 16), "hover")
-    tiles = render.picture_tiles(painted, "job", 16)
+    tiles = render.block_tiles(render.paint_blocks(reshape.pyramid_blocks(_low_blocks(spark, d), 16, 5, 2), "hover"), "job")
     shown = F.filter("rgba", lambda c: c != 0)
     return tiles.select("z", "x", "y", F.size(shown).cast("long").alias("n"), F.aggregate(shown, F.lit(0).cast("long"), lambda a, c: a + c).alias("total"))
 
@@ -751,13 +757,69 @@ def c6_suitability_stored_blocks(spark, d):
     return whole(blocks.to_cells(stored.suitability(_stored(spark, d), lay, DIAMETER, rings=RINGS, decimals=4), lay))
 
 
+def _elevations(spark, d, lay):
+    return blocks.to_blocks(ras.dem(spark, d), lay), blocks.to_blocks(ras.first_return(spark, d), lay)
+
+
 @query
 def l3_hover_stored_blocks(spark, d):
     lay = ras.layout(spark, d)
-    bare = blocks.to_blocks(ras.dem(spark, d), lay)
-    first = blocks.to_blocks(ras.first_return(spark, d), lay)
-    height = lambda b, f: F.when(f - b > 1, f - b).when((f - b).isNotNull(), 0.0)
-    return whole(blocks.to_cells(blocks.combine(bare, first, height), lay))
+    return whole(blocks.to_cells(stored.object_height(*_elevations(spark, d, lay)), lay))
+
+
+def _cover(spark, d, lay):
+    cover_lay = ras.landcover_layout(lay)
+    return blocks.to_blocks(ras.landcover(spark, d), cover_lay), cover_lay
+
+
+@query
+def l2_lcnoobs_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    bare, _ = _elevations(spark, d, lay)
+    return whole(blocks.to_cells(stored.cover_filtered(bare, lay, *_cover(spark, d, lay)), lay))
+
+
+@query
+def l4_combined_stored_blocks(spark, d):
+    """Cells that are left; one that is removed has no row."""
+    lay = ras.layout(spark, d)
+    _, first = _elevations(spark, d, lay)
+    cells, _ = stored.combined_removal(_stored(spark, d), lay, first, *_cover(spark, d, lay))
+    return whole(blocks.to_cells(cells, lay))
+
+
+@query
+def t1_reproject_stored_blocks(spark, d):
+    target = lonlat(spark, d)
+    return rounded(blocks.to_cells(reshape.resample_blocks(_stored(spark, d), ras.layout(spark, d), target), target))
+
+
+@query
+def t3_mosaic_stored_blocks(spark, d):
+    """Scenes of one line number each, the least one first."""
+    lay = Layout(3857, 0.0, 0.0, 1.0, 1.0, 2**20, 2**20, ras.TILE)
+    price = F.floor("l_extendedprice").cast("double")
+    cells = ras.table(spark, d, "lineitem").groupBy(
+        F.col("l_linenumber").cast("string").alias("layer"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")
+    )
+    scenes_ = blocks.to_blocks(cells.agg(F.min(price).alias("value")), lay)
+    ranked = scenes_.select(F.lit("m").alias("layer"), "brow", "bcol", "cells", F.col("layer").cast("int").alias("scene_rank"))
+    return whole(blocks.to_cells(reshape.mosaic_blocks(ranked), lay))
+
+
+@query
+def t4_nearest_stored_blocks(spark, d):
+    lay = ras.layout(spark, d)
+    found = blocks.to_cells(reshape.resample_blocks(*_cover(spark, d, lay), lay, "nearest"), lay)
+    return found.select("row", "col", F.col("value").cast("int").alias("cls"))
+
+
+@query
+def t8_pyramid_stored_blocks(spark, d):
+    lay = ras.layout(spark, d).with_tile_size(16)
+    levels = reshape.pyramid_blocks(blocks.to_blocks(ras.dem_gaps(spark, d), lay), 16, 6, 0)
+    cells = levels.select("z", "brow", "bcol", F.posexplode("cells").alias("at", "v")).where("v IS NOT NULL")
+    return cells.select("z", F.expr("brow * 16 + at div 16").alias("row"), F.expr("bcol * 16 + at % 16").alias("col"), F.col("v").cast("long").alias("v"))
 
 
 # Scalar functions
@@ -793,8 +855,7 @@ def m9_colour_channels(spark, d):
 
 @query
 def s18_read_tile(spark, d):
-    """The cells of one picture tile; job, zoom and address prune the stored tiles."""
-    cells = ras.dem(spark, d).withColumn("value", F.col("value") - 900)
-    painted = render.colorize(grid.pyramid(cells, 5, 2, "nearest", 16), "hover")
-    tiles = render.picture_tiles(painted, "job", 16).where("job_id = 'job' AND z = 4 AND x = 1 AND y = 3")
+    """The cells of one picture tile, from the 32 rows and columns that lie below it at the base zoom."""
+    low = _low_blocks(spark, d, rows=range(96, 128), cols=range(32, 64))
+    tiles = render.tile_on_demand(low, "hover", 16, 5, 4, 1, 3)
     return tiles.select(F.posexplode("rgba").alias("at", "rgba"))
