@@ -22,7 +22,8 @@ from ridgeline.operators.neighbours import evaluate, gather, map_blocks, square_
 BLOCK_KEY = ["layer", "brow", "bcol"]
 
 
-def _pack(rows: Sequence[tuple], schema: T.StructType) -> pa.Table:
+def table_of(rows: Sequence[tuple], schema: T.StructType) -> pa.Table:
+    """Rows as an Arrow table; arrays become lists with NaN as NULL."""
     columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
     kinds = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
     arrays = []
@@ -127,7 +128,7 @@ def focal(
                         if 0 <= brow + dr <= last_row and 0 <= bcol + dc <= last_col:
                             piece = grid[part[dr], part[dc]].ravel()
                             rows.append((layer, brow + dr, bcol + dc, dr, dc, piece))
-            for out in _pack(rows, strips).to_batches():
+            for out in table_of(rows, strips).to_batches():
                 yield out
 
     schema = T.StructType(
@@ -145,8 +146,8 @@ def focal(
             layout, halo, kernel, {"value": grid}, brow * t, bcol * t, keep, "value", names[0]
         )
         if not mask.any():
-            return _pack([], schema)
-        return _pack([(layer, brow, bcol, *(np.where(mask, found[n], np.nan).ravel() for n in names))], schema)
+            return table_of([], schema)
+        return table_of([(layer, brow, bcol, *(np.where(mask, found[n], np.nan).ravel() for n in names))], schema)
 
     pieces = blocks.select(*BLOCK_KEY, "cells").mapInArrow(cut, strips)
     # At most (2 * rings + 1)^2 pieces per block: nine where the halo is no wider than a block.

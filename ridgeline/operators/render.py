@@ -71,11 +71,12 @@ def paint_blocks(levels: DataFrame, op: str, reference: DataFrame | None = None,
 
     def fill(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                cells = batch.column("cells")[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
-                colours = np.where(np.isnan(cells), 0, table[np.searchsorted(breaks, cells, "left")])
-                packed = pa.ListArray.from_arrays(pa.array([0, len(colours)], pa.int32()), pa.array(colours))
-                yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns[:-1]] + [packed], names=schema.names)
+            lists = batch.columns[-1]
+            cells = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            colours = np.where(np.isnan(cells), 0, table[np.searchsorted(breaks, cells, "left")])
+            ends = pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32())
+            packed = pa.ListArray.from_arrays(ends, pa.array(colours))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=schema.names)
 
     return levels.mapInArrow(fill, schema)
 

@@ -9,7 +9,7 @@ the few cells it needs: no cell has a row or a key of its own.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,13 @@ from pyspark.sql import types as T
 
 from ridgeline.functions import geo
 from ridgeline.model import BLOCK_SCHEMA, Layout
-from ridgeline.operators.blocks import BLOCK_KEY
+from ridgeline.operators.blocks import BLOCK_KEY, table_of
 
 _PIECES = T.StructType(
     BLOCK_SCHEMA.fields[:3] + [T.StructField("srow", T.LongType()), T.StructField("scol", T.LongType()), T.StructField("cells", T.ArrayType(T.DoubleType()))]
 )
+#: Cells of the rows that make a batch.
+BATCH_CELLS = 1 << 19
 LEVELS = T.StructType([T.StructField("z", T.IntegerType())] + BLOCK_SCHEMA.fields)
 
 
@@ -32,17 +34,24 @@ def array_of(scalar: pa.Scalar) -> np.ndarray:
     return scalar.values.to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-def one_row(schema: T.StructType, values: Sequence) -> pa.RecordBatch:
-    """A batch of one row; arrays become lists with NaN as NULL."""
-    kinds = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
-    columns = []
-    for field, value in zip(schema, values, strict=True):
-        if isinstance(field.dataType, T.ArrayType):
-            flat = pa.array(np.ravel(value), from_pandas=True)
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-        else:
-            columns.append(pa.array([value], kinds[type(field.dataType)]))
-    return pa.RecordBatch.from_arrays(columns, names=schema.names)
+def batches_of(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some megabytes, so that small blocks cost no batch each; NaN becomes NULL."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(v.size for v in row if isinstance(v, np.ndarray))
+        if size >= BATCH_CELLS:
+            yield from table_of(held, schema).to_batches()
+            held, size = [], 0
+    if held:
+        yield from table_of(held, schema).to_batches()
+
+
+def each_row(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """The named plain values of each row, then its batch and its place there."""
+    for batch in batches:
+        for i, row in enumerate(zip(*(batch.column(n).to_pylist() for n in names))):
+            yield *row, batch, i
 
 
 class _Axis:
@@ -103,25 +112,26 @@ def resample_blocks(stored: DataFrame, source: Layout, target: Layout, method: s
     rows, cols = _axes(source, target, ahead)
     t, side = source.tile_size, target.tile_size
 
+    def footprints(batches):
+        for layer, brow, bcol, batch, i in each_row(batches, *BLOCK_KEY):
+            grid = array_of(batch.column("cells")[i]).reshape(t, t)
+            if np.isnan(grid).all():
+                continue
+            across = []
+            for tcol in cols.targets(bcol):
+                sampled = cols.sampled(tcol)
+                if len(own := sampled[cols.part(sampled, bcol)]):
+                    across.append((tcol, own - bcol * t))
+            for trow in rows.targets(brow):
+                sampled = rows.sampled(trow)
+                own = sampled[rows.part(sampled, brow)] - brow * t
+                for tcol, there in across if len(own) else ():
+                    piece = grid[np.ix_(own, there)]
+                    if not np.isnan(piece).all():
+                        yield layer, trow, tcol, brow, bcol, piece.ravel()
+
     def cut(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                layer, brow, bcol = (batch.column(n)[i].as_py() for n in BLOCK_KEY)
-                grid = array_of(batch.column("cells")[i]).reshape(t, t)
-                if np.isnan(grid).all():
-                    continue
-                across = []
-                for tcol in cols.targets(bcol):
-                    sampled = cols.sampled(tcol)
-                    if len(own := sampled[cols.part(sampled, bcol)]):
-                        across.append((tcol, own - bcol * t))
-                for trow in rows.targets(brow):
-                    sampled = rows.sampled(trow)
-                    own = sampled[rows.part(sampled, brow)] - brow * t
-                    for tcol, there in across if len(own) else ():
-                        piece = grid[np.ix_(own, there)]
-                        if not np.isnan(piece).all():
-                            yield one_row(_PIECES, (layer, trow, tcol, brow, bcol, piece))
+        return batches_of(footprints(batches), _PIECES)
 
     def sample(key, table):
         layer, trow, tcol = (k.as_py() for k in key)
@@ -152,9 +162,7 @@ def resample_blocks(stored: DataFrame, source: Layout, target: Layout, method: s
                 value = np.where(weight > 0, total / weight, np.nan)
         out = np.full((side, side), np.nan)
         out[: value.shape[0], : value.shape[1]] = value
-        if np.isnan(out).all():
-            return pa.Table.from_batches([one_row(BLOCK_SCHEMA, (layer, trow, tcol, out))]).slice(0, 0)
-        return pa.Table.from_batches([one_row(BLOCK_SCHEMA, (layer, trow, tcol, out))])
+        return table_of([] if np.isnan(out).all() else [(layer, trow, tcol, out.ravel())], BLOCK_SCHEMA)
 
     pieces = stored.select(*BLOCK_KEY, "cells").mapInArrow(cut, _PIECES)
     return pieces.groupBy(*BLOCK_KEY).applyInArrow(sample, BLOCK_SCHEMA)
@@ -179,20 +187,18 @@ def mosaic_blocks(scenes: DataFrame, rank: str = "scene_rank") -> DataFrame:
 
     def first_known(batches):
         now, grid = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                here = tuple(batch.column(n)[i].as_py() for n in BLOCK_KEY)
-                cells = array_of(batch.column("cells")[i])
-                if here != now:
-                    if now is not None:
-                        yield one_row(BLOCK_SCHEMA, (*now, grid))
-                    now, grid = here, cells
-                else:
-                    grid = np.where(np.isnan(grid), cells, grid)
+        for *here, batch, i in each_row(batches, *BLOCK_KEY):
+            cells = array_of(batch.column("cells")[i])
+            if here == now:
+                grid = np.where(np.isnan(grid), cells, grid)
+                continue
+            if now is not None:
+                yield *now, grid
+            now, grid = here, cells
         if now is not None:
-            yield one_row(BLOCK_SCHEMA, (*now, grid))
+            yield *now, grid
 
-    return ordered.mapInArrow(first_known, BLOCK_SCHEMA)
+    return ordered.mapInArrow(lambda batches: batches_of(first_known(batches), BLOCK_SCHEMA), BLOCK_SCHEMA)
 
 
 def halve(value: np.ndarray, count: np.ndarray | None, method: str) -> tuple[np.ndarray, np.ndarray | None]:
@@ -227,24 +233,22 @@ def pyramid_blocks(stored: DataFrame, tile_size: int, base_zoom: int, end_zoom:
     none = np.zeros(0)
 
     def reduce(zoom: int, depth: int):
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    layer, brow, bcol = (batch.column(n)[i].as_py() for n in BLOCK_KEY)
-                    value = array_of(batch.column("value")[i]).reshape(t, t)
-                    count = None
-                    if method == "average":
-                        held = array_of(batch.column("count")[i])
-                        count = held.reshape(t, t) if len(held) else (~np.isnan(value)).astype(float)
-                        value = np.nan_to_num(value)
-                    for up in range(1, depth + 1):
-                        value, count = halve(value, count, method)
-                        side, mask = t >> up, (1 << up) - 1
-                        if (every or up == depth) and ((count > 0).any() if method == "average" else not np.isnan(value).all()):
-                            at = ((brow & mask) * side, (bcol & mask) * side)
-                            yield one_row(pieces, (zoom - up, layer, brow >> up, bcol >> up, side, *at, value, none if count is None else count))
-
-        return run
+        def parts(batches):
+            for layer, brow, bcol, batch, i in each_row(batches, *BLOCK_KEY):
+                value = array_of(batch.column("value")[i]).reshape(t, t)
+                count = None
+                if method == "average":
+                    held = array_of(batch.column("count")[i])
+                    count = held.reshape(t, t) if len(held) else (~np.isnan(value)).astype(float)
+                    value = np.nan_to_num(value)
+                for up in range(1, depth + 1):
+                    value, count = halve(value, count, method)
+                    side, mask = t >> up, (1 << up) - 1
+                    if (every or up == depth) and ((count > 0).any() if method == "average" else not np.isnan(value).all()):
+                        at = ((brow & mask) * side, (bcol & mask) * side)
+                        yield zoom - up, layer, brow >> up, bcol >> up, side, *at, value.ravel(), none if count is None else count.ravel()
+
+        return lambda batches: batches_of(parts(batches), pieces)
 
     def assemble(k, table):
         value, count = np.full((t, t), np.nan), np.zeros((t, t))
@@ -254,7 +258,7 @@ def pyramid_blocks(stored: DataFrame, tile_size: int, base_zoom: int, end_zoom:
                 count[r : r + side, c : c + side] = array_of(n).reshape(side, side)
         if method == "average":
             value = np.where(count > 0, value, np.nan)
-        return pa.Table.from_batches([one_row(level, (*(x.as_py() for x in k), value, count if method == "average" else none))])
+        return table_of([(*(x.as_py() for x in k), value.ravel(), count.ravel() if method == "average" else none)], level)
 
     base = stored.select(F.lit(base_zoom).alias("z"), *BLOCK_KEY, F.col("cells").alias("value"), F.array().cast("array<double>").alias("count"))
     out = base.select(*key, F.col("value").alias("cells"))
