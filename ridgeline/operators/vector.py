@@ -81,19 +81,46 @@ def segments(vertices: DataFrame) -> DataFrame:
 
 
 def burn_lines(vertices: DataFrame, layout: Layout, code: int = LINE_CODE, layer: str = "lines") -> DataFrame:
-    """Cells touched by lines, walked one cell at a time along the longer axis."""
+    """Cells touched by lines, walked one cell at a time along the longer axis.
+
+    A segment is clipped to the layout first, so one that lies far outside gives no row; what is left of it is cut into
+    runs of a block's length, so no array is longer than that.
+    """
+    t = layout.tile_size
     seg = segments(vertices).select(
         layout.row_of(F.col("y")).alias("r0"),
         layout.col_of(F.col("x")).alias("c0"),
         layout.row_of(F.col("y1")).alias("r1"),
         layout.col_of(F.col("x1")).alias("c1"),
     )
-    steps = seg.withColumn("n", F.greatest(F.abs(F.col("r1") - F.col("r0")), F.abs(F.col("c1") - F.col("c0"))))
-    walk = steps.withColumn("k", F.explode(F.expr("sequence(0L, n)")))
-    at = lambda a, b: F.when(F.col("n") == 0, F.col(a)).otherwise(
-        F.expr(f"{a} + cast(floor((2 * k * ({b} - {a}) + n) / (2.0D * greatest(n, 1L))) as bigint)")
-    )
-    touched = walk.select(F.lit(layer).alias("layer"), at("r0", "r1").alias("row"), at("c0", "c1").alias("col"))
+    steps = seg.withColumns({"dr": F.col("r1") - F.col("r0"), "dc": F.col("c1") - F.col("c0")})
+    steps = steps.withColumn("n", F.greatest(F.abs("dr"), F.abs("dc"), F.lit(1).cast("long")))
+    rows, cols = _inside("r0", "dr", layout.rows), _inside("c0", "dc", layout.cols)
+    last = F.greatest(F.abs("dr"), F.abs("dc"))
+    steps = steps.withColumns({"k0": F.greatest(F.lit(0).cast("long"), rows[0], cols[0]), "k1": F.least(last, rows[1], cols[1])})
+    runs = steps.where("k0 <= k1").withColumn("run", F.explode(F.expr(f"sequence(k0 div {t}, k1 div {t})")))
+    walk = runs.withColumn("k", F.explode(F.expr(f"sequence(greatest(k0, run * {t}), least(k1, run * {t} + {t - 1}))")))
+    touched = walk.select(F.lit(layer).alias("layer"), _at("r0", "dr").alias("row"), _at("c0", "dc").alias("col"))
     return (
         touched.where(layout.contains(F.col("row"), F.col("col"))).distinct().withColumn("value", F.lit(code))
     )
+
+
+def _inside(start: str, by: str, size: int):
+    """First and last step at which a walk from ``start`` may be inside 0 .. size - 1: never too narrow, wider by a step or two."""
+    a, d, n = (F.col(c).cast("double") for c in (start, by, "n"))
+    enter, leave = (F.lit(-1.5) - a) * n, (F.lit(size + 0.5) - a) * n
+    outside = (a < 0) | (a > size - 1)
+    first = F.when(d > 0, F.floor(enter / d)).when(d < 0, F.floor(leave / d)).when(outside, F.col("n") + 1).otherwise(F.lit(0))
+    last = F.when(d > 0, F.ceil(leave / d)).when(d < 0, F.ceil(enter / d)).when(outside, F.lit(-1)).otherwise(F.col("n"))
+    return first.cast("long"), last.cast("long")
+
+
+def _at(start: str, by: str):
+    """The cell at step ``k``: ``start + floor((2 k by + n) / (2 n))`` in whole numbers, also where products pass 64 bits."""
+
+    def floor_div(kind: str) -> str:
+        x, y = f"(2 * cast(k as {kind}) * cast({by} as {kind}) + n)", f"(2 * cast(n as {kind}))"
+        return f"cast({x} div {y} as bigint) - if({x} % {y} < 0, 1L, 0L)"
+
+    return F.expr(f"{start} + if(n < {2**30}L, {floor_div('bigint')}, {floor_div('decimal(18,0)')})")

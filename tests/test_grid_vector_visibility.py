@@ -243,3 +243,28 @@ def test_observers_outside_the_layout_raise(spark):
         visibility.viewshed(stray, grid_cells(spark, z), layout(z.shape), 3).collect()
     none = visibility.ring_viewshed(stray.limit(0), grid_cells(spark, z), layout(z.shape), 3)
     assert none.count() == 0 and visibility.viewshed(stray.limit(0), grid_cells(spark, z), layout(z.shape), 3).count() == 0
+
+
+def test_lines_are_clipped_before_they_are_walked(spark):
+    rng = np.random.default_rng(6)
+    lay = layout((40, 50), 8)
+    ends = np.concatenate([rng.uniform(-30, 80, (60, 4)), rng.uniform(-500, 500, (60, 4)), [[3, -3, 3, -3], [-1e9, -5.2, 1e9, -6.9], [5.5, 2e9, 9.5, -3e9], [1e9, 1e9, 2e9, 1e9]]])
+    rows = [(i, s, float(e[2 * s]), float(e[2 * s + 1])) for i, e in enumerate(ends) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "line_id long, seq int, x double, y double")
+    got = {(r["row"], r["col"]) for r in vector.burn_lines(df, lay).collect()}
+    want = set()
+    for x0, y0, x1, y1 in ends.tolist():
+        r0, c0, r1, c1 = math.floor(-y0), math.floor(x0), math.floor(-y1), math.floor(x1)
+        dr, dc = r1 - r0, c1 - c0
+        n = max(abs(dr), abs(dc))
+        inside = range(n + 1) if n < 10**5 else {k for a, d, size in ((r0, dr, 40), (c0, dc, 50)) if d for v in range(-1, size + 1) for k in range((v - a) * n // d - 2 - n // abs(d), (v - a) * n // d + 3 + n // abs(d)) if 0 <= k <= n} if n // max(1, min(abs(dr), abs(dc)) or n) < 10**5 else range(0)
+        if n >= 10**5 and not inside:  # nearly level: step along the longer axis
+            a, d, size = (r0, dr, 40) if abs(dr) == n else (c0, dc, 50)
+            inside = [k for k in ((v - a) * (1 if d > 0 else -1) for v in range(size)) if 0 <= k <= n]
+        for k in inside:
+            at = (r0, c0) if n == 0 else (r0 + (2 * k * dr + n) // (2 * n), c0 + (2 * k * dc + n) // (2 * n))
+            if 0 <= at[0] < 40 and 0 <= at[1] < 50:
+                want.add(at)
+    assert got == want
+    far = vector.burn_lines(spark.createDataFrame([(1, 0, 1e6, 1e6), (1, 1, 2e6, 3e6)], "line_id long, seq int, x double, y double"), lay)
+    assert far.count() == 0

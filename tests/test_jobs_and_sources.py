@@ -159,9 +159,31 @@ def test_overlap_join_finds_every_pair_once(spark):
     left = spark.createDataFrame(a, "rid long, " + names)
     right = spark.createDataFrame(b, "sid long, " + names)
     want = sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
-    for levels in (1, 3, 6):
-        got = sorted(tuple(r) for r in joins.overlap_join(left, right, "rid", "sid", 0.5, levels).collect())
+    for size in (0.05, 0.5, 20.0):
+        got = sorted(tuple(r) for r in joins.overlap_join(left, right, "rid", "sid", size).collect())
         assert got == want
+    assert not joins.overlap_join(left.limit(0), right, "rid", "sid", 0.5).count()
+
+
+def test_large_and_small_boxes_on_both_sides(spark):
+    """Sizes over eight orders, points, and boxes that touch."""
+    rng = np.random.default_rng(4)
+
+    def boxes(n, shift):
+        w = 10.0 ** rng.uniform(-6, 2, n) * (rng.random(n) > 0.1)
+        x, y = rng.random(n) * 4 - 2, rng.random(n) * 4 - 2
+        every = [(i + shift, float(x[i]), float(y[i]), float(x[i] + w[i]), float(y[i] + w[i] / 2)) for i in range(n)]
+        return every + [(900 + shift, -180.0, -90.0, 180.0, 90.0), (901 + shift, 0.0, 0.0, 1.0, 1.0), (902 + shift, 1.0, 1.0, 2.0, 2.0)]
+
+    a, b = boxes(70, 0), boxes(90, 1000)
+    names = ", ".join(f"{c} double" for c in joins.BOX)
+    left, right = spark.createDataFrame(a, "rid long, " + names), spark.createDataFrame(b, "sid long, " + names)
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
+    assert sorted(tuple(r) for r in joins.overlap_join(left, right, "rid", "sid", 0.01).collect()) == want
+    world = joins._buckets(left.withColumn("own_", joins._level(0.01)).where("rid = 900"), list(range(40)), 0.01, 1)
+    assert world.count() <= 4 * 40
+    fine = joins._buckets(left.withColumn("own_", joins._level(0.01)), [16], 0.01, 1)
+    assert fine.groupBy("rid").count().agg(F.max("count")).first()[0] <= 12
 
 
 def test_colours(spark):
