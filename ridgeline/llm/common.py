@@ -101,6 +101,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Written as Parquet to the shared checkpoint folder and read again, and the folder: smaller than a checkpoint."""
+    path = shared_folder(df.sparkSession, name)
+    # room for a dictionary of the different values of a row group, as of hashed words
+    df.write.option("compression", "zstd").option("parquet.dictionary.page.size", 16 << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``shared_folder`` has named, once nothing reads it any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ Lines without a word stay.
 Method: tokens of a set are ordered by rarity. Two sets can only be similar enough if they share a token within their
 first ``n - ceil(t n) + 1`` ones (prefix filter), if their sizes differ little enough (length filter), if what follows
 the shared token is long enough (positional filter), and if the parities of their hashed tokens differ in no more bits
-than the sets may differ in tokens. What passes is verified on all words. Equal sets are one set throughout,
+than the sets may differ in tokens. What passes is held against finer parities, and then verified on all words. Equal sets are one set throughout,
 so a line that fills a third of a corpus is one row.
 
 Rarity is the binary logarithm of the count of a token's hash class, over all lines, and then the token's hash: a total
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import kept
+from ridgeline.llm.common import kept, remove_folder, written
 
 CLASSES = 1 << 14
 MARKS = 1 << 20
@@ -37,7 +37,9 @@ PLACE = [*OWN, "line_no"]
 
 
 def words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), ""))
+    """64-bit hashes of the distinct words."""
+    each = F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+    return F.array_distinct(F.transform(each, lambda w: F.xxhash64(w)))
 
 
 def has_word(line: Column) -> Column:
@@ -51,7 +53,7 @@ def own_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest, line_no (from 0), words: the lines that have a word."""
+    """doc_id, digest, line_no (from 0), words (hashes): the lines that have a word."""
     text = F.col(text_col).cast("string")
     lines = docs.select(*own_key(id_col, text_col), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return lines.where(has_word(F.col("line"))).select(*PLACE, words(F.col("line")).alias("words"))
@@ -64,7 +66,7 @@ def byte_at(table: bytearray, at: Column) -> Column:
 
 def rarities(lines: DataFrame) -> bytearray:
     """For each hash class of tokens the binary logarithm of its count: CLASSES numbers, whatever the corpus."""
-    token = F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int")
+    token = F.pmod("word", F.lit(CLASSES)).cast("int")
     counts = lines.select(F.explode("words").alias("word")).select(token.alias("class")).groupBy("class").count()
     table = bytearray([1]) * CLASSES
     for row in counts.collect():
@@ -72,20 +74,27 @@ def rarities(lines: DataFrame) -> bytearray:
     return table
 
 
+def parity(tokens: str, part: int | None = None) -> Column:
+    """64 bits: whether an odd number of the tokens hash there; of all tokens or of one part in four."""
+    place = lambda t: F.pmod(F.shiftright(t, 8), F.lit(64 if part is None else 256))
+    first = 0 if part is None else 64 * part
+    bit = lambda t: F.when(place(t).between(first, first + 63), F.call_function("shiftleft", F.lit(1).cast("long"), (place(t) - first).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+
+
 def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
-    """doc_id, digest, line_no, words and for each set: key, n, odd (parities), prefix (hashes of its rarest tokens, in order)."""
+    """doc_id, digest, line_no and for each set: key, n, odd (parities), prefix (hashes of its rarest tokens, in order)."""
     low = F.lit((1 << 48) - 1)
 
-    def order(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def order(h: Column) -> Column:
         return F.shiftleft(byte_at(table, F.pmod(h, F.lit(CLASSES))).cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
 
     n = F.size("tokens")
     need = F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int")
     with_tokens = lines.withColumn("tokens", F.sort_array(F.transform("words", order)))
     return with_tokens.select(
-        *PLACE, "words", F.xxhash64("tokens").alias("key"), n.alias("n"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(t, 8), F.lit(64)).cast("int")))).alias("odd"),
+        *PLACE, F.xxhash64("tokens").alias("key"), n.alias("n"),
+        parity("tokens").alias("odd"),
         F.transform(F.slice("tokens", F.lit(1), n - need + 1), lambda t: F.hash(t)).alias("prefix"),
     )
 
@@ -135,13 +144,25 @@ def meeting(rows: DataFrame, keys: list[Column], marks: DataFrame, how: str) ->
 
 
 def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``b`` of the pairs that are similar enough on all their words, compared by 64-bit hashes."""
+    """``b`` of the pairs that are similar enough on all their words, compared by 64-bit hashes.
+
+    Words only travel for pairs whose 256 parities differ in no more places than the sets may differ in words.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = kept(one.select("id", *PLACE).join(ids, "id", "left_semi"))
     place = [F.col(c) for c in PLACE]
     likely = meeting(lines, place, wanted.select(mark(*place).alias("mark")), "left_semi")
-    found = likely.join(wanted, PLACE).dropDuplicates(["id"]).select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    met = pairs.join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    found = likely.join(wanted, PLACE).dropDuplicates(["id"]).select("id", "words")
+    found = kept(found.select("id", "words", F.size("words").alias("n"), *[parity("words", k).alias(f"odd{k}") for k in range(4)]))
+    sketch = [*[f"odd{k}" for k in range(4)], "n"]
+    near = pairs
+    for side in ("a", "b"):
+        near = near.join(found.select(F.col("id").alias(side), F.struct(*sketch).alias(f"s{side}")), side)
+    apart = sum((F.bit_count(F.col(f"sa.odd{k}").bitwiseXOR(F.col(f"sb.odd{k}"))) for k in range(4)), F.lit(0))
+    total = F.col("sa.n") + F.col("sb.n")
+    # at least so many common words are needed, so at most the rest may differ
+    near = near.where(apart <= total - 2 * F.ceil(total * percent / F.lit(100.0 + percent) - 1e-9)).select("a", "b")
+    met = near.join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return met.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("b").distinct()
 
@@ -183,12 +204,13 @@ def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     Only documents that may lose a line meet their lines in a shuffle; the others pass as they are.
     """
-    lines = split_lines(docs, id_col, text_col)
+    lines, folder = written(split_lines(docs, id_col, text_col), "lines")  # texts are taken apart once
     one = distinct_sets(coded(lines, rarities(lines), percent))
     stays = kept(kept_lines(one, repeated_sets(lines, one, percent)))
     # the row stays apart, so that its columns may have any name
     rows = docs.select(*own_key(id_col, text_col), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row"))
     changed = changed_documents(lines, stays)
+    remove_folder(docs.sparkSession, folder)
     own = [c for c in docs.columns if c not in ADDED]
     count = lambda c: F.greatest(F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), has_word)), F.lit(0)).cast("long")
     parts = F.split("text", "\n")
