@@ -60,7 +60,7 @@ def main() -> None:
             "pyramid_cells": lambda: grid.pyramid(cells, 10, 0),
             "histogram_cells": lambda: stats.histogram(cells),
             "breaks_cells": lambda: stats.quantile_breaks(cells, 10),
-            "regions_cells": lambda: regions.summary(regions.label(local.local_map(cells, lambda v: F.floor(v / 50)), lay)),
+            "regions_cells": lambda: regions.summary(regions.label_blocks(blocks.to_blocks(local.local_map(cells, lambda v: F.floor(v / 50)), lay), lay), lay),
         }
         chosen = os.environ.get("ONLY", ",".join(work)).split(",")
         seconds = {}
