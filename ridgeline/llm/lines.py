@@ -4,7 +4,7 @@ A line's set is its distinct words, lower-cased. A line goes if an earlier one (
 similarity of at least ``percent``; lines are judged on the input, so a line that itself goes still removes later ones.
 Lines without a word stay.
 
-Method: tokens of a set are ordered by rarity. Two sets can only be similar enough if they share a token within their
+Method (exact set-similarity join): tokens of a set are ordered by rarity. Two sets can only be similar enough if they share a token within their
 first ``n - ceil(t n) + 1`` ones (prefix filter), if their sizes differ little enough (length filter), if what follows
 the shared token is long enough (positional filter), and if the parities of their hashed tokens differ in no more bits
 than the sets may differ in tokens. What passes is held against finer parities, and then verified on all words. Equal sets are one set throughout,
@@ -118,22 +118,35 @@ def token(packed: Column) -> Column:
     return F.shiftright(packed, 32).cast("int")
 
 
-def candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: ids of an earlier and a later set that may be similar enough; once for each token they share."""
+def fits(x: str, y: str, percent: int) -> Column:
+    """Whether two prefix rows with one token leave room for sets that are similar enough; long sizes are not told apart."""
     t = percent / 100
-    x, y = earlier.alias("x"), later.alias("y")
     part = lambda c, bits: F.shiftright(F.col(c), bits).bitwiseAND(F.lit(MOST)).cast("int")
-    nx, ny, ax, ay = part("x.token_n_at", 16), part("y.token_n_at", 16), part("x.token_n_at", 0), part("y.token_n_at", 0)
+    nx, ny, ax, ay = part(f"{x}.token_n_at", 16), part(f"{y}.token_n_at", 16), part(f"{x}.token_n_at", 0), part(f"{y}.token_n_at", 0)
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
-    fits = (
+    room = (
         (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9)
         & (F.least(nx - ax, ny - ay) >= need - F.least(ax, ay))
-        & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= nx + ny - 2 * need)
+        & (F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))) <= nx + ny - 2 * need)
     )
-    same = (token(F.col("x.token_n_at")) == token(F.col("y.token_n_at"))) & (F.col("x.id") < F.col("y.id")) & (fits | (F.greatest(nx, ny) == MOST))
+    return room | (F.greatest(nx, ny) == MOST)
+
+
+def candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: ids of an earlier and a later set that may be similar enough; once for each token they share."""
+    x, y = earlier.alias("x"), later.alias("y")
+    same = (token(F.col("x.token_n_at")) == token(F.col("y.token_n_at"))) & (F.col("x.id") < F.col("y.id")) & fits("x", "y", percent)
     return x.join(y.hint("merge"), same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def leading(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` as in ``candidates``, with the earliest set of each token only: one row at most for each prefix token."""
+    at = token(F.col("token_n_at")).alias("token")
+    first = rows.groupBy(at).agg(F.min(F.struct("id", "token_n_at", "odd")).alias("x"))
+    met = rows.select(at, F.struct("id", "token_n_at", "odd").alias("y")).hint("merge").join(first, "token")
+    return met.where((F.col("x.id") < F.col("y.id")) & fits("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def mark(*key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(MARKS)).cast("int")
 
@@ -170,17 +183,15 @@ def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -
 def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """``b``: ids of the sets for which a similar one came earlier.
 
-    Each set is first held against its earliest candidate only, which settles nearly all sets of large groups with one
-    pair each; sets that this leaves open, and that have more candidates, are then held against all of them.
+    Each set is first held against the earliest sets that have its tokens, and of these against the earliest that fits:
+    this settles nearly all sets of a large group of copies with one row for each token and one pair, however large the
+    group. Sets that it leaves open are then held against all their candidates.
     """
     rows = token_rows(one, percent)
-    met = kept(candidates(rows, rows, percent).groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("last")))
-    first = kept(verified(lines, one, met.select("a", "b"), percent))
-    open_ = kept(met.where("last > a").join(first, "b", "left_anti").select(F.col("b").alias("id")))
-    later = token_rows(one.join(open_, "id", "left_semi"), percent)
-    tokens = later.select(mark(token(F.col("token_n_at"))).alias("mark"))
-    earlier = meeting(rows, [token(F.col("token_n_at"))], tokens, "left_semi")
-    rest = kept(candidates(earlier, later, percent).distinct())
+    met = leading(rows, percent).groupBy("b").agg(F.min("a").alias("a"))
+    first = kept(verified(lines, one, kept(met.select("a", "b")), percent))
+    later = token_rows(one.join(first.withColumnRenamed("b", "id"), "id", "left_anti"), percent)
+    rest = kept(candidates(rows, later, percent).distinct())
     return first.union(verified(lines, one, rest, percent)).distinct()
 
 
