@@ -20,7 +20,7 @@ own, in the order of a hash of the text; other columns are kept as they are; ``n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import kept, remove_folder, written
@@ -141,9 +141,9 @@ def candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
 
 def leading(rows: DataFrame, percent: int) -> DataFrame:
     """``a, b`` as in ``candidates``, with the earliest set of each token only: one row at most for each prefix token."""
-    at = token(F.col("token_n_at")).alias("token")
-    first = rows.groupBy(at).agg(F.min(F.struct("id", "token_n_at", "odd")).alias("x"))
-    met = rows.select(at, F.struct("id", "token_n_at", "odd").alias("y")).hint("merge").join(first, "token")
+    own = F.struct("id", "token_n_at", "odd")
+    first = F.first(own).over(Window.partitionBy(token(F.col("token_n_at"))).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = rows.select(first.alias("x"), own.alias("y"))  # a running first: nothing of a token is held but that row
     return met.where((F.col("x.id") < F.col("y.id")) & fits("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
