@@ -156,25 +156,29 @@ def meeting(rows: DataFrame, keys: list[Column], marks: DataFrame, how: str) ->
     return rows.join(F.broadcast(marks.distinct()), mark(*keys) == F.col("mark"), how)
 
 
+def sets_of(lines: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, words`` of the sets in the pairs."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = kept(one.select("id", *PLACE).join(ids, "id", "left_semi"))
+    place = [F.col(c) for c in PLACE]
+    likely = meeting(lines, place, wanted.select(mark(*place).alias("mark")), "left_semi")
+    return likely.join(wanted, PLACE).dropDuplicates(["id"]).select("id", "words")
+
+
 def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``b`` of the pairs that are similar enough on all their words, compared by 64-bit hashes.
 
     Words only travel for pairs whose 256 parities differ in no more places than the sets may differ in words.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = kept(one.select("id", *PLACE).join(ids, "id", "left_semi"))
-    place = [F.col(c) for c in PLACE]
-    likely = meeting(lines, place, wanted.select(mark(*place).alias("mark")), "left_semi")
-    found = likely.join(wanted, PLACE).dropDuplicates(["id"]).select("id", "words")
-    found = kept(found.select("id", "words", F.size("words").alias("n"), *[parity("words", k).alias(f"odd{k}") for k in range(4)]))
-    sketch = [*[f"odd{k}" for k in range(4)], "n"]
+    sketches = kept(sets_of(lines, one, pairs).select("id", F.size("words").alias("n"), *[parity("words", k).alias(f"odd{k}") for k in range(4)]))
     near = pairs
     for side in ("a", "b"):
-        near = near.join(found.select(F.col("id").alias(side), F.struct(*sketch).alias(f"s{side}")), side)
+        near = near.join(sketches.select(F.col("id").alias(side), F.struct("n", *[f"odd{k}" for k in range(4)]).alias(f"s{side}")), side)
     apart = sum((F.bit_count(F.col(f"sa.odd{k}").bitwiseXOR(F.col(f"sb.odd{k}"))) for k in range(4)), F.lit(0))
     total = F.col("sa.n") + F.col("sb.n")
     # at least so many common words are needed, so at most the rest may differ
-    near = near.where(apart <= total - 2 * F.ceil(total * percent / F.lit(100.0 + percent) - 1e-9)).select("a", "b")
+    near = kept(near.where(apart <= total - 2 * F.ceil(total * percent / F.lit(100.0 + percent) - 1e-9)).select("a", "b"))
+    found = sets_of(lines, one, near)
     met = near.join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return met.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("b").distinct()
