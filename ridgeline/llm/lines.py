@@ -29,6 +29,8 @@ CLASSES = 1 << 14
 MARKS = 1 << 20
 #: Sizes from here on are not told apart before verification.
 MOST = (1 << 16) - 1
+#: Sets of more tokens have 128 parities instead of 64.
+LONG = 64
 ADDED = ["n_lines", "n_removed"]
 NO_DOC = (1 << 63) - 1
 #: What tells documents apart, and the place of a line; never null.
@@ -74,16 +76,15 @@ def rarities(lines: DataFrame) -> bytearray:
     return table
 
 
-def parity(tokens: str, part: int | None = None) -> Column:
-    """64 bits: whether an odd number of the tokens hash there; of all tokens or of one part in four."""
-    place = lambda t: F.pmod(F.shiftright(t, 8), F.lit(64 if part is None else 256))
-    first = 0 if part is None else 64 * part
-    bit = lambda t: F.when(place(t).between(first, first + 63), F.call_function("shiftleft", F.lit(1).cast("long"), (place(t) - first).cast("int"))).otherwise(F.lit(0).cast("long"))
+def parity(tokens: str, part: int, span: Column) -> Column:
+    """64 of ``span`` bits, from 64 * ``part`` on: whether an odd number of the tokens hash there."""
+    place = lambda t: F.pmod(F.shiftright(t, 8), span).cast("int") - 64 * part
+    bit = lambda t: F.when(place(t).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), place(t))).otherwise(F.lit(0).cast("long"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
 def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
-    """doc_id, digest, line_no and for each set: key, n, odd (parities), prefix (hashes of its rarest tokens, in order)."""
+    """doc_id, digest, line_no and for each set: key, n, odd and more (parities), prefix (hashes of its rarest tokens, in order)."""
     low = F.lit((1 << 48) - 1)
 
     def order(h: Column) -> Column:
@@ -94,24 +95,25 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
     with_tokens = lines.withColumn("tokens", F.sort_array(F.transform("words", order)))
     return with_tokens.select(
         *PLACE, F.xxhash64("tokens").alias("key"), n.alias("n"),
-        parity("tokens").alias("odd"),
+        parity("tokens", 0, F.when(n > LONG, 128).otherwise(64)).alias("odd"),
+        F.when(n > LONG, parity("tokens", 1, F.lit(128))).otherwise(F.lit(0).cast("long")).alias("more"),
         F.transform(F.slice("tokens", F.lit(1), n - need + 1), lambda t: F.hash(t)).alias("prefix"),
     )
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
     """One row for each set, with its first line; ``id`` grows with that line's place."""
-    one = sets.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "prefix")])
-    ordered = one.select("first.*", "n", "odd", "prefix").orderBy(*PLACE)
+    one = sets.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "more", "prefix")])
+    ordered = one.select("first.*", "n", "odd", "more", "prefix").orderBy(*PLACE)
     return kept(ordered.withColumn("id", F.monotonically_increasing_id()))
 
 
 def token_rows(one: DataFrame, percent: int) -> DataFrame:
-    """token_n_at, id, odd: a row for each prefix token. Sets too short to be similar to another one have none: n of n + 1 words is their best."""
-    rows = one.where(F.col("n") * (100 - percent) >= percent).select("id", "odd", "n", F.posexplode("prefix").alias("at", "token"))
+    """token_n_at, id, odd, more: a row for each prefix token. Sets too short to be similar to another one have none: n of n + 1 words is their best."""
+    rows = one.where(F.col("n") * (100 - percent) >= percent).select("id", "odd", "more", "n", F.posexplode("prefix").alias("at", "token"))
     short = lambda c: F.least(F.col(c), F.lit(MOST)).cast("long")
     packed = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.shiftleft(short("n"), 16)).bitwiseOR(short("at"))
-    return rows.select(packed.alias("token_n_at"), "id", "odd")
+    return rows.select(packed.alias("token_n_at"), "id", "odd", "more")
 
 
 def token(packed: Column) -> Column:
@@ -124,10 +126,13 @@ def fits(x: str, y: str, percent: int) -> Column:
     part = lambda c, bits: F.shiftright(F.col(c), bits).bitwiseAND(F.lit(MOST)).cast("int")
     nx, ny, ax, ay = part(f"{x}.token_n_at", 16), part(f"{y}.token_n_at", 16), part(f"{x}.token_n_at", 0), part(f"{y}.token_n_at", 0)
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
+    halves = [F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("odd", "more")]
+    # 128 bits of two long sets; a short one has 64, onto which those of a long one fold
+    apart = F.when(F.least(nx, ny) > LONG, F.bit_count(halves[0]) + F.bit_count(halves[1])).otherwise(F.bit_count(halves[0].bitwiseXOR(halves[1])))
     room = (
         (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9)
         & (F.least(nx - ax, ny - ay) >= need - F.least(ax, ay))
-        & (F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))) <= nx + ny - 2 * need)
+        & (apart <= nx + ny - 2 * need)
     )
     return room | (F.greatest(nx, ny) == MOST)
 
@@ -141,7 +146,7 @@ def candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
 
 def leading(rows: DataFrame, percent: int) -> DataFrame:
     """``a, b`` as in ``candidates``, with the earliest set of each token only: one row at most for each prefix token."""
-    own = F.struct("id", "token_n_at", "odd")
+    own = F.struct("id", "token_n_at", "odd", "more")
     first = F.first(own).over(Window.partitionBy(token(F.col("token_n_at"))).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = rows.select(first.alias("x"), own.alias("y"))  # a running first: nothing of a token is held but that row
     return met.where((F.col("x.id") < F.col("y.id")) & fits("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -170,7 +175,7 @@ def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -
 
     Words only travel for pairs whose 256 parities differ in no more places than the sets may differ in words.
     """
-    sketches = kept(sets_of(lines, one, pairs).select("id", F.size("words").alias("n"), *[parity("words", k).alias(f"odd{k}") for k in range(4)]))
+    sketches = kept(sets_of(lines, one, pairs).select("id", F.size("words").alias("n"), *[parity("words", k, F.lit(256)).alias(f"odd{k}") for k in range(4)]))
     near = pairs
     for side in ("a", "b"):
         near = near.join(sketches.select(F.col("id").alias(side), F.struct("n", *[f"odd{k}" for k in range(4)]).alias(f"s{side}")), side)
