@@ -52,7 +52,9 @@ def _buckets(boxes: DataFrame, others: list[int], size: float, coarser: int) ->
     and the other part the finer ones on the levels of the other side's coarser ones."""
     above = F.filter(F.array(*[F.lit(n) for n in others]).cast("array<int>"), lambda n: n > F.col("own_"))
     place = lambda part, level: F.struct(F.lit(part).alias("part_"), level.alias("level_"))
-    own = F.array(place(0, F.col("own_")), place(coarser, F.col("own_")))
+    own = F.array(place(0, F.col("own_")))
+    if others:  # those that the other side has finer boxes for
+        own = F.when(F.col("own_") > min(others), F.array(place(0, F.col("own_")), place(coarser, F.col("own_")))).otherwise(own)
     rows = boxes.withColumn("p_", F.explode(F.concat(own, F.transform(above, lambda n: place(3 - coarser, n)))))
     step = F.lit(size) * F.pow(F.lit(2.0), F.col("p_.level_"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))

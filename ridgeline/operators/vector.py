@@ -117,10 +117,7 @@ def _inside(start: str, by: str, size: int):
 
 
 def _at(start: str, by: str):
-    """The cell at step ``k``: ``start + floor((2 k by + n) / (2 n))`` in whole numbers, also where products pass 64 bits."""
-
-    def floor_div(kind: str) -> str:
-        x, y = f"(2 * cast(k as {kind}) * cast({by} as {kind}) + n)", f"(2 * cast(n as {kind}))"
-        return f"cast({x} div {y} as bigint) - if({x} % {y} < 0, 1L, 0L)"
-
-    return F.expr(f"{start} + if(n < {2**30}L, {floor_div('bigint')}, {floor_div('decimal(18,0)')})")
+    """The cell at step ``k``: ``start + floor((2 k by + n) / (2 n))``, exact also where products pass 53 or 64 bits."""
+    x, y = f"(2 * cast(k as decimal(18,0)) * cast({by} as decimal(18,0)) + n)", "(2 * cast(n as decimal(18,0)))"
+    wide = f"cast({x} div {y} as bigint) - if({x} % {y} < 0, 1L, 0L)"
+    return F.expr(f"{start} + if(n < {2**25}L, cast(floor((2 * k * {by} + n) / (2.0D * n)) as bigint), {wide})")
