@@ -109,6 +109,20 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def stored_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Written once to the shared checkpoint folder, in buckets of the key, so that grouping by it moves nothing.
+
+    Tasks write their own rows: where they hold whole keys, there are no more files than keys. The files stay like those
+    of a checkpoint; the name goes at once, as the plan knows the folder.
+    """
+    spark = df.sparkSession
+    name, path = f"stored_{uuid.uuid4().hex}", shared_folder(spark, "stored")
+    df.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``shared_folder`` has named, once nothing reads it any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

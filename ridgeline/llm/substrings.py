@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import arrow_schema, bundled, joined_bytes, kept, mix64, record, text_bytes, unbundled
+from ridgeline.llm.common import arrow_schema, bundled, joined_bytes, kept, mix64, record, stored_by, text_bytes, unbundled
 
 SEED = 24
 BLOCK_BYTES = 8 << 20
@@ -123,7 +123,8 @@ def group_of(key: np.ndarray, groups: int) -> np.ndarray:
 def blocked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """block, bundle: the texts by block; and the number of groups, which grows with the bytes.
 
-    Blocks are parts of splits of the input. Splits can move from job to job, so blocks are named and written once.
+    Blocks are parts of splits of the input. Splits can move from job to job, so blocks are named and written once, in
+    buckets: the answers come to the texts, which stay where they are.
     """
     source = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_DOC))).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
@@ -133,7 +134,8 @@ def blocked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     size = sizes.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("all")).first()
     parts = math.ceil((size["most"] or 0) / BLOCK_BYTES) or 1
     block = F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    return kept(bundled(source.withColumn("block", block).drop("split"), CHUNK)), max(16, math.ceil((size["all"] or 0) / BLOCK_BYTES))
+    groups = max(16, math.ceil((size["all"] or 0) / BLOCK_BYTES))
+    return stored_by(bundled(source.withColumn("block", block).drop("split"), CHUNK), "block", groups), groups
 
 
 def anchors(blocks: DataFrame, groups: int, least: int) -> DataFrame:
