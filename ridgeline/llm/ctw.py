@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import arrow_schema, bundled, joined_bytes, kept, mix64, record, text_bytes, unbundled
+from ridgeline.llm.common import arrow_schema, bundled, joined_bytes, kept, mix64, record, stored_by, text_bytes, unbundled
 from ridgeline.llm.minhash import WordHashes
 
 DEPTH = 5
@@ -40,7 +40,7 @@ _hashes = WordHashes()
 
 
 def strings(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each byte of each text the byte and the three before it as one number, the earliest first."""
+    """For each byte of each text the byte and the five before it as one number, the earliest first."""
     x = data.astype(np.uint64)
     out = x.copy()
     for k in range(1, DEPTH + 1):
@@ -142,7 +142,7 @@ def blocked(docs: DataFrame, train: Column, id_col: str, text_col: str) -> tuple
     """block, bundle: doc_id, text, train by block; and the number of groups, which grows with the bytes.
 
     A block is a part of one split of the input, so that no shuffle is needed to count it. Splits can move from job to
-    job, so blocks are named and written once.
+    job, so blocks are named and written once, in buckets: the answers come to the texts, which stay where they are.
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("train"),
@@ -152,7 +152,8 @@ def blocked(docs: DataFrame, train: Column, id_col: str, text_col: str) -> tuple
     size = sizes.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("all")).first()
     parts = math.ceil((size["most"] or 0) / BLOCK_BYTES) or 1
     block = F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    return kept(bundled(source.withColumn("block", block).drop("split"), CHUNK)), max(16, math.ceil((size["all"] or 0) / (8 << 20)))
+    groups = max(16, math.ceil((size["all"] or 0) / (8 << 20)))
+    return stored_by(bundled(source.withColumn("block", block).drop("split"), CHUNK), "block", groups), groups
 
 
 class Counts:
@@ -178,14 +179,33 @@ class Counts:
         return self.parts[0]
 
 
+class Places:
+    """Keys in pieces, each sorted once: its distinct keys, and for every entry the place of its key among them."""
+
+    def __init__(self):
+        self.pieces: list[list[tuple[np.ndarray, np.ndarray]]] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        parts = [np.unique(keys[k : k + CHUNK], return_inverse=True) for k in range(0, len(keys), CHUNK)]
+        self.pieces.append([(key, at.astype(np.uint32)) for key, at in parts])
+
+    def told(self, heard: list[np.ndarray], groups: int, width: type) -> Iterator[np.ndarray]:
+        """The value of every entry, piece by piece, from the values of all distinct keys by group and key."""
+        key = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for parts in self.pieces for k, _ in parts)]))
+        value = np.empty(len(key), width)
+        value[by_group(key, groups)[0]] = np.concatenate([np.zeros(0, width), *heard])
+        for parts in self.pieces:  # sorted keys are looked up, each once a piece
+            yield np.concatenate([np.zeros(0, width), *(value[np.searchsorted(key, k)][at] for k, at in parts)])
+
+
 def by_group(key: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the keys by group and key, and where each group starts in it."""
     grp = (mix64(key) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(grp, kind="stable")
-    return order, np.searchsorted(grp[order], np.arange(groups + 1))
+    order = np.argsort(grp.astype(np.uint16) if groups <= 1 << 16 else grp, kind="stable")  # two bytes are sorted by radix
+    return order, np.cumsum(np.append(0, np.bincount(grp, minlength=groups)))
 
 
-def counted(blocks: DataFrame, groups: int, kinds: tuple[bool, ...] = (False, True)) -> DataFrame:
+def counted(blocks: DataFrame, groups: int, kinds: tuple[bool, ...]) -> DataFrame:
     """word (or string?), grp, block, keys, few (counts below 255 as bytes), many (the others): of each block."""
     fields = "word boolean, grp long, block long, keys binary, few binary, many binary"
     schema = arrow_schema(fields)
@@ -339,30 +359,28 @@ def scored(blocks: DataFrame, told: DataFrame, groups: int) -> DataFrame:
     schema = arrow_schema(fields)
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        pieces = [(c, text_bytes(c.column("text"))) for c in unbundled(texts)]
-        tables = []
-        for kind, width in ((False, np.float32), (True, np.float64)):
-            own = Counts()
-            for _, part in pieces:
-                own.add(block_keys(part, kind), False)
-            key, _ = own.merge()
-            order, _ = by_group(key, groups)
-            heard = sorted((g, v) for w, g, v in zip(*(values.column(c).to_pylist() for c in ("word", "grp", "values"))) if w == kind)
-            value = np.empty(len(key), width)
-            value[order] = np.concatenate([np.zeros(0, width), *(np.frombuffer(v, width) for _, v in heard)])
-            tables.append((key, value))
-        (grams, logs), (words, counts) = tables
-        log_counts = np.log10(counts + 1)
-        out: list[pa.RecordBatch] = []
-        for chunk, own in pieces:
+        pieces = []
+        grams, words = Places(), Places()
+        for chunk in unbundled(texts):
+            own = text_bytes(chunk.column("text"))
             data, ends = joined_bytes(own)
-            value = np.append(logs[np.searchsorted(grams, strings(data, ends))].astype(float) if len(data) else [], 0.0)
-            total = np.add.reduceat(value, ends[:-1])
+            grams.add(strings(data, ends))
+            keys = [word_keys(t) for t in own]
+            words.add(np.concatenate(keys))
+            pieces.append((chunk.select(["doc_id", "train"]), ends, np.array([len(k) for k in keys])))
+        heard: dict[bool, list[tuple[int, bytes]]] = {False: [], True: []}
+        for word, grp, value in zip(*(values.column(c).to_pylist() for c in ("word", "grp", "values"))):
+            heard[word].append((grp, value))
+        logs = grams.told([np.frombuffer(v, np.float32) for _, v in sorted(heard[False])], groups, np.float32)
+        counts = words.told([np.frombuffer(v, np.float64) for _, v in sorted(heard[True])], groups, np.float64)
+        out: list[pa.RecordBatch] = []
+        for (chunk, ends, tokens), log, count in zip(pieces, logs, counts):
+            total = np.add.reduceat(np.append(log.astype(float), 0.0), ends[:-1])
             total[ends[1:] == ends[:-1]] = 0.0
-            at = [np.searchsorted(words, word_keys(t)) for t in own]
+            first = np.cumsum(tokens) - tokens  # every text has its end
             out.append(record(
-                schema, doc_id=chunk.column("doc_id"), train=chunk.column("train"), n_tokens=[len(a) for a in at],
-                n_known=[int((counts[a] > 0).sum()) for a in at], log_words=[float(log_counts[a].sum()) for a in at], score=total,
+                schema, doc_id=chunk.column("doc_id"), train=chunk.column("train"), n_tokens=tokens,
+                n_known=np.add.reduceat((count > 0).astype(np.int64), first), log_words=np.add.reduceat(np.log10(count + 1), first), score=total,
             ))
         return pa.Table.from_batches(out, schema)
 
@@ -372,10 +390,11 @@ def scored(blocks: DataFrame, told: DataFrame, groups: int) -> DataFrame:
 def evaluate(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (both log10) of every document."""
     blocks, groups = blocked(docs, train, id_col, text_col)
-    found = kept(totals(counted(blocks, groups)))
+    sent = kept(counted(blocks, groups, (False,)))  # strings are counted, and then ask
+    found = kept(totals(sent.unionByName(counted(blocks, groups, (True,)))))
     size = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("different"), F.lit(0)).alias("different")).first()
     logs = kept(string_logs(found.where(~F.col("word"))))
-    told = string_answers(counted(blocks, groups, (False,)), logs)
+    told = string_answers(sent, logs)
     told = told.unionByName(found.where(F.col("word") & F.col("block").isNotNull()).select("word", "grp", "block", "values"))
     base = F.col("log_words") - F.col("n_tokens") * F.lit(math.log10(size["tokens"] + size["different"] + 1))
     return scored(blocks, told, groups).select("doc_id", "train", "n_tokens", "n_known", F.lit(size["tokens"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
