@@ -56,32 +56,41 @@ class Windows:
             h = hashes[k // 2]
             hashes[k] = h[: max(0, len(h) - k // 2)] * _power(k // 2) + h[k // 2 :]
         self.hashes = hashes
-        doc = np.repeat(np.arange(len(texts)), np.diff(self.ends))
-        last = self.ends[1:][doc] if n else np.zeros(0, np.int64)
-        seed = np.full(n, ~np.uint64(0))
-        held = np.flatnonzero(np.arange(n) + SEED <= last)
-        seed[held] = mix64(self.of_length(held, SEED))
+        span = least - SEED + 1
+        # places near the end of a text have seeds of two texts, but no window holds these
+        seed = mix64(self.everywhere(SEED))
         # hash first, then place: the smallest is the leftmost of the smallest hashes
         bits = np.uint64(max(1, n).bit_length())
-        low = (seed >> bits << bits) | np.arange(n, dtype=np.uint64)
-        width, span = 1, least - SEED + 1
+        low = (seed >> bits << bits) | np.arange(len(seed), dtype=np.uint64)
+        width = 1
         while 2 * width <= span:
-            low = np.minimum(low, np.append(low[width:], np.full(min(width, n), ~np.uint64(0))))
+            low = np.minimum(low[:-width], low[width:])
             width *= 2
-        rest = span - width
-        if rest:
-            low = np.minimum(low, np.append(low[rest:], np.full(min(rest, n), ~np.uint64(0))))
-        start = np.flatnonzero(np.arange(n) + least <= last)
+        if span > width:
+            low = np.minimum(low[: width - span], low[span - width :])
+        last = np.repeat(self.ends[1:], np.diff(self.ends))[: len(low)]
+        start = np.flatnonzero(np.arange(least, least + len(low)) <= last)
         anchor = (low[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         new = np.ones(len(start), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[start[1:]] != doc[start[:-1]])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)  # windows of two texts do not adjoin
         first = np.flatnonzero(new)
         self.start = start[first]
         self.run = np.diff(np.append(first, len(start)))
-        self.doc = doc[self.start]
+        self.doc = np.searchsorted(self.ends, self.start, "right") - 1
         self.key = (seed[anchor[first]] >> np.uint64(16)) if len(first) else np.zeros(0, np.uint64)
         both = self.of_length(self.start, least) * np.uint64(3) + mix64(self.of_length(self.start + self.run - 1, least))
         self.segment = mix64(both + self.run.astype(np.uint64) + (self.key << np.uint64(16)))
+        del self.hashes
+
+    def everywhere(self, length: int) -> np.ndarray:
+        """Hashes of all strings of ``length`` bytes, in order of their places."""
+        count = max(0, len(self.data) - length + 1)
+        out, done = np.zeros(count, np.uint64), 0
+        for k in (32, 16, 8, 4, 2, 1):
+            while length - done >= k:
+                out = out * _power(k) + self.hashes[k][done : done + count]
+                done += k
+        return out
 
     def of_length(self, at: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the strings of ``length`` bytes at these places."""
@@ -236,7 +245,7 @@ def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
         key = (key << np.uint64(8 * length)) | np.roll(key, -length)
         length *= 2
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # the order of equal ones has no effect on boundaries below ``least``
         if length >= least:
             return order
         rank = np.zeros(n, np.uint64)
@@ -261,13 +270,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     new[1:] = transform[rows[1:]] != transform[rows[:-1]]
     before = np.full(n, -1)
     before[rows[1:][~new[1:]]] = rows[:-1][~new[1:]]
-    value = np.where(new, 0, -1)
+    value = np.where(new, 0, -1).astype(np.int16)
     waiting = np.flatnonzero(value[step] < 0)
+    above, to = before[waiting], step[waiting]
     for v in range(least - 1):
-        nearest = np.maximum.accumulate(np.where(value == v, np.arange(n), -1))
-        hit = nearest[waiting] > before[waiting]
-        value[step[waiting[hit]]] = v + 1
-        waiting = waiting[~hit]
+        bounds = np.flatnonzero(value == v)
+        passed = np.cumsum(np.bincount(np.searchsorted(waiting, bounds), minlength=len(waiting) + 1)[: len(waiting)])
+        hit = np.append(-1, bounds)[passed] > above  # the nearest boundary of value v
+        value[to[hit]] = v + 1
+        waiting, above, to = waiting[~hit], above[~hit], to[~hit]
         if not len(waiting):
             break
     return value
@@ -360,17 +371,15 @@ def cut(blocks: DataFrame, heard: DataFrame, least: int) -> DataFrame:
         begin, length = read("starts", np.uint16).astype(np.int64), read("lengths", np.uint16).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         segment, low, begin, length = segment[order], low[order], begin[order], length[order]
-        pieces = [(c.column("doc_id").to_numpy(), text_bytes(c.column("text"))) for c in unbundled(texts)]
+        pieces = []
+        for chunk in unbundled(texts):
+            own = text_bytes(chunk.column("text"))
+            pieces.append((chunk.column("doc_id").to_numpy(), own, Windows(own, least)))
         # the smallest doc of each segment within the block
-        seen = []
-        for ids, own in pieces:
-            found = Windows(own, least)
-            distinct, _, least_doc, _ = smallest(found.segment, ids[found.doc])
-            seen.append((distinct, least_doc))
+        seen = [smallest(found.segment, ids[found.doc])[:3:2] for ids, _, found in pieces]
         names, _, lows, _ = smallest(np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in seen)]), np.concatenate([np.zeros(0, np.int64), *(d for _, d in seen)]))
         out: list[pa.RecordBatch] = []
-        for ids, own in pieces:
-            found = Windows(own, least)
+        for ids, own, found in pieces:
             doc = ids[found.doc]
             change = np.zeros(len(found.data) + 1, np.int64)
 
