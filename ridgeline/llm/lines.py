@@ -31,6 +31,8 @@ MARKS = 1 << 20
 MOST = (1 << 16) - 1
 #: Sets of more tokens have 128 parities instead of 64.
 LONG = 64
+#: So many of the earliest sets of a token are tried before the others.
+HEADS = 64
 ADDED = ["n_lines", "n_removed"]
 NO_DOC = (1 << 63) - 1
 #: What tells documents apart, and the place of a line; never null.
@@ -152,6 +154,11 @@ def leading(rows: DataFrame, percent: int) -> DataFrame:
     return met.where((F.col("x.id") < F.col("y.id")) & fits("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """``place`` (from 1): the how manieth of its token's sets each row is of."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(token(F.col("token_n_at"))).orderBy("id")))
+
+
 def mark(*key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(MARKS)).cast("int")
 
@@ -194,14 +201,18 @@ def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
 
     Each set is first held against the earliest sets that have its tokens, and of these against the earliest that fits:
     this settles nearly all sets of a large group of copies with one row for each token and one pair, however large the
-    group. Sets that it leaves open are then held against all their candidates.
+    group. Sets that it leaves open are held against the HEADS earliest sets of each token, and those that are open then
+    against all later ones.
     """
     rows = token_rows(one, percent)
     met = leading(rows, percent).groupBy("b").agg(F.min("a").alias("a"))
     first = kept(verified(lines, one, kept(met.select("a", "b")), percent))
-    later = token_rows(one.join(first.withColumnRenamed("b", "id"), "id", "left_anti"), percent)
-    rest = kept(candidates(rows, later, percent).distinct())
-    return first.union(verified(lines, one, rest, percent)).distinct()
+    found = first
+    for earlier in (placed(rows).where(F.col("place") <= HEADS), placed(rows).where(F.col("place") > HEADS)):
+        later = token_rows(one.join(found.withColumnRenamed("b", "id"), "id", "left_anti"), percent)
+        pairs = kept(candidates(earlier, later, percent).distinct())
+        found = kept(found.union(verified(lines, one, pairs, percent)))
+    return found
 
 
 def kept_lines(one: DataFrame, repeated: DataFrame) -> DataFrame:
