@@ -181,14 +181,27 @@ def mosaic_blocks(scenes: DataFrame, rank: str = "scene_rank") -> DataFrame:
     """One block of each address: every cell from the known value of the least-ranked scene.
 
     Scenes of one address stream through a task in the order of their rank, so a place that very many scenes cover needs
-    the memory of two blocks.
+    the memory of two blocks. Blocks of which little is known travel as places and values, so that a sort holds what a
+    shuffle moves: a shuffle of a few compressed megabytes would else be gigabytes of unknown cells in a task.
     """
-    ordered = scenes.select(*BLOCK_KEY, rank, "cells").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, rank)
+    names = [*BLOCK_KEY, rank]
+    given = scenes.select(*names, "cells")
+    schema = T.StructType(given.select(*names).schema.fields + [T.StructField("size", T.LongType()), T.StructField("cells", T.ArrayType(T.DoubleType()))])
+
+    def pack(batches):
+        for batch in batches:
+            rows = [packed(array_of(cells)) for cells in batch.column("cells")]
+            ends = np.cumsum([0] + [held.size for _, held in rows])
+            held = pa.array(np.concatenate([np.zeros(0), *(held for _, held in rows)]), from_pandas=True)
+            arrays = [pa.array([size for size, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + arrays, names=schema.names)
+
+    ordered = given.mapInArrow(pack, schema).repartition(*BLOCK_KEY).sortWithinPartitions(*names)
 
     def first_known(batches):
         now, grid = None, None
-        for *here, batch, i in each_row(batches, *BLOCK_KEY):
-            cells = array_of(batch.column("cells")[i])
+        for *here, size, batch, i in each_row(batches, *BLOCK_KEY, "size"):
+            cells = unpacked(size, array_of(batch.column("cells")[i]))
             if here == now:
                 grid = np.where(np.isnan(grid), cells, grid)
                 continue
@@ -201,6 +214,22 @@ def mosaic_blocks(scenes: DataFrame, rank: str = "scene_rank") -> DataFrame:
     return ordered.mapInArrow(lambda batches: batches_of(first_known(batches), BLOCK_SCHEMA), BLOCK_SCHEMA)
 
 
+def packed(cells: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of cells, and the places and then the values of the known ones; 0 and the cells as they are if half are known."""
+    at = np.flatnonzero(~np.isnan(cells))
+    return (0, cells) if 2 * at.size >= cells.size else (cells.size, np.concatenate([at, cells[at]]))
+
+
+def unpacked(size: int, held: np.ndarray) -> np.ndarray:
+    """The cells again, NaN where unknown."""
+    if not size:
+        return held
+    at, known = np.split(held, 2)
+    out = np.full(size, np.nan)
+    out[at.astype(np.int64)] = known
+    return out
+
+
 def halve(value: np.ndarray, count: np.ndarray | None, method: str) -> tuple[np.ndarray, np.ndarray | None]:
     """Four cells to one: the first known in row-major order, or sums and counts."""
     corners = [(slice(i, None, 2), slice(j, None, 2)) for i in (0, 1) for j in (0, 1)]

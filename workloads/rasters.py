@@ -66,6 +66,13 @@ def sparse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sparse_layout(spark: SparkSession, sf_dir: str) -> Layout:
+    """The grid of part and supplier keys, as far as line items have any."""
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_partkey"), F.max("l_suppkey")).first()
+    rows, cols = (max(0, -1 if key is None else key) + 1 for key in last)
+    return Layout(3857, 0.0, 0.0, 1.0, 1.0, cols, rows, TILE)
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         sparse_records(spark, sf_dir)

@@ -797,7 +797,7 @@ def t1_reproject_stored_blocks(spark, d):
 @query
 def t3_mosaic_stored_blocks(spark, d):
     """Scenes of one line number each, the least one first."""
-    lay = Layout(3857, 0.0, 0.0, 1.0, 1.0, 2**20, 2**20, ras.TILE)
+    lay = ras.sparse_layout(spark, d)
     price = F.floor("l_extendedprice").cast("double")
     cells = ras.table(spark, d, "lineitem").groupBy(
         F.col("l_linenumber").cast("string").alias("layer"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")
