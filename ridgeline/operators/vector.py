@@ -16,19 +16,23 @@ from ridgeline.operators.neighbours import per_block
 SYMBOL_RINGS = ((100, 13.0), (110, 8.0), (120, 2.0))
 CENTER_CLASS = 3
 LINE_CODE = 20
+#: About so many rows does one task make of its points; an aggregate that follows holds no more cells at once.
+ROWS_OF_TASK = 1 << 20
 
 
 def cells_around(points: DataFrame, layout: Layout, radius: float) -> DataFrame:
     """One row per point and cell within ``radius`` map units of the point's cell centre.
 
     The offsets are a constant of the radius, so a point yields a bounded number of rows. ``d2`` is
-    the squared distance in cells. Cells outside the layout are dropped.
+    the squared distance in cells. Cells outside the layout are dropped. Points are counted and dealt to
+    tasks by their place first.
     """
     if layout.cell_w != layout.cell_h:
         raise ValueError("distances in cells need square cells")
     widths = kernels.disc_widths(radius / layout.cell_w)
     rows = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(w).alias("w")) for dr, w in widths.items()])
-    out = points.withColumn("o_", F.explode(rows)).withColumn("dc_", F.explode(F.expr("sequence(-o_.w, o_.w)")))
+    near = _dealt(points, sum(2 * w + 1 for w in widths.values()))
+    out = near.withColumn("o_", F.explode(rows)).withColumn("dc_", F.explode(F.expr("sequence(-o_.w, o_.w)")))
     out = out.withColumns(
         {
             "row": F.col("row") + F.col("o_.dr"),
@@ -39,6 +43,18 @@ def cells_around(points: DataFrame, layout: Layout, radius: float) -> DataFrame:
     return out.where(layout.contains(F.col("row"), F.col("col")))
 
 
+def _dealt(points: DataFrame, each: int) -> DataFrame:
+    """Points that give ``each`` rows, in as many tasks as ROWS_OF_TASK asks for: a few bytes of a file hold very many.
+
+    Neighbours share a task, so their cells meet there; points of one cell may be split by their other columns.
+    """
+    tasks = -(-points.count() * each // ROWS_OF_TASK)
+    if tasks <= 1:
+        return points
+    others = [c for c, kind in points.dtypes if c not in ("row", "col") and "map<" not in kind and "variant" not in kind]
+    return points.repartitionByRange(tasks, "row", "col", F.xxhash64("row", "col", *others))
+
+
 def symbol_rings(
     cells: DataFrame, layout: Layout, rings: Sequence[tuple[int, float]] = SYMBOL_RINGS, marked: int = CENTER_CLASS
 ) -> DataFrame:

@@ -1,9 +1,13 @@
 """Steps whose memory or bounds must not depend on how large the tables are."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ridgeline.operators import reshape
+from ridgeline.model import Layout
+from ridgeline.operators import reshape, vector
 from workloads.registry import QUERIES
 
 
@@ -31,3 +35,16 @@ def test_packed_blocks_come_back(known):
     size, held = reshape.packed(cells)
     assert held.size <= 16 and (held.size == 2 * known if known < 8 else size == 0)
     np.testing.assert_array_equal(reshape.unpacked(size, held), cells)
+
+
+def test_points_are_dealt_to_tasks_by_the_rows_they_make(spark, monkeypatch):
+    monkeypatch.setattr(vector, "ROWS_OF_TASK", 1000, raising=False)
+    lay = Layout(3857, 0.0, 0.0, 1.0, 1.0, 64, 2000, 16)
+    places = [(k * 11 % 2000, k * 7 % 64) for k in range(800)] + [(5, 5)] * 800
+    points = spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate(places)], "point_id long, row long, col long").coalesce(1)
+    near = vector.cells_around(points, lay, 3.0)
+    disc = [(i, j) for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= 9]
+    want = Counter((k, r + i, c + j, i * i + j * j) for k, (r, c) in enumerate(places) for i, j in disc if 0 <= r + i < 2000 and 0 <= c + j < 64)
+    assert Counter(map(tuple, near.select("point_id", "row", "col", "d2").collect())) == want
+    held = [r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(held) < 4000 and len(held) > 20  # 45,000 rows came from one task
