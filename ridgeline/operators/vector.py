@@ -79,7 +79,7 @@ def ring_radii(layout: Layout, rings: Sequence[tuple[int, float]]):
 
 def burn_points(cells: DataFrame, points: DataFrame, layout: Layout, radius: float, code: int) -> DataFrame:
     """``code`` on the layer's cells within ``radius`` of a point, 0 on the others."""
-    touched = cells_around(points.select("layer", "row", "col"), layout, radius).select(*CELL_KEY).distinct()
+    touched = cells_around(points, layout, radius).select(*CELL_KEY).distinct()
     # The optimizer does not see how far an explode multiplies rows: never broadcast that side.
     burnt = touched.withColumn("code", F.lit(code)).hint("merge")
     return cells.select(*CELL_KEY).join(burnt, CELL_KEY, "left").select(

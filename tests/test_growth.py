@@ -48,3 +48,19 @@ def test_points_are_dealt_to_tasks_by_the_rows_they_make(spark, monkeypatch):
     assert Counter(map(tuple, near.select("point_id", "row", "col", "d2").collect())) == want
     held = [r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()]
     assert max(held) < 4000 and len(held) > 20  # 45,000 rows came from one task
+
+
+def test_burnt_points_of_one_cell_are_split_by_their_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(vector, "ROWS_OF_TASK", 1000, raising=False)
+    dealt = []
+    around = vector.cells_around
+    monkeypatch.setattr(vector, "cells_around", lambda *given: dealt.append(around(*given)) or dealt[-1])
+    lay = Layout(3857, 0.0, 0.0, 1.0, 1.0, 64, 200, 16)
+    points = spark.range(800).selectExpr("'a' AS layer", "id AS point_id", "5L AS row", "5L AS col").coalesce(1)
+    cells = lay.grid(spark, "a").withColumn("value", F.lit(0))
+    burnt = vector.burn_points(cells, points, lay, 3.0, 7)
+    assert burnt.count() == 200 * 64
+    disc = {(5 + i, 5 + j) for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= 9}
+    assert {(r["row"], r["col"]) for r in burnt.where("value = 7").collect()} == disc
+    held = [r["count"] for r in dealt[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert max(held) < 4000 and len(held) > 10
