@@ -103,19 +103,29 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
     )
 
 
-def distinct_sets(sets: DataFrame) -> DataFrame:
-    """One row for each set, with its first line; ``id`` grows with that line's place."""
+def distinct_sets(sets: DataFrame) -> tuple[DataFrame, str]:
+    """One row for each set, with its first line; ``id`` grows with that line's place. In a folder, the second result:
+    two scans of files are known to be the same, so an exchange of them can serve twice."""
     one = sets.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "more", "prefix")])
     ordered = one.select("first.*", "n", "odd", "more", "prefix").orderBy(*PLACE)
-    return kept(ordered.withColumn("id", F.monotonically_increasing_id()))
+    return written(ordered.withColumn("id", F.monotonically_increasing_id()), "sets")
 
 
-def token_rows(one: DataFrame, percent: int) -> DataFrame:
-    """token_n_at, id, odd, more: a row for each prefix token. Sets too short to be similar to another one have none: n of n + 1 words is their best."""
-    rows = one.where(F.col("n") * (100 - percent) >= percent).select("id", "odd", "more", "n", F.posexplode("prefix").alias("at", "token"))
+def token_rows(one: DataFrame, percent: int, settled: DataFrame | None = None) -> DataFrame:
+    """token, token_n_at, own, odd, more: a row for each prefix token, dealt by the token. ``own`` is twice the id, and one
+    more if the set is ``settled`` (``b``). Sets too short to be similar to another one have none: n of n + 1 words is their best.
+
+    Four numbers a row are moved; what windows need besides comes after that, as they would have it moved as well.
+    """
+    own = F.col("id") * 2
+    if settled is not None:
+        one = one.join(settled.select(F.col("b").alias("id"), F.lit(1).alias("settled")), "id", "left")
+        own = own + F.coalesce("settled", F.lit(0))
+    rows = one.where(F.col("n") * (100 - percent) >= percent).select(own.alias("own"), "odd", "more", "n", F.posexplode("prefix").alias("at", "token"))
     short = lambda c: F.least(F.col(c), F.lit(MOST)).cast("long")
     packed = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.shiftleft(short("n"), 16)).bitwiseOR(short("at"))
-    return rows.select(packed.alias("token_n_at"), "id", "odd", "more")
+    by_token = rows.select(packed.alias("token_n_at"), "own", "odd", "more").repartition(token(F.col("token_n_at")))
+    return by_token.withColumn("token", token(F.col("token_n_at")))
 
 
 def token(packed: Column) -> Column:
@@ -139,24 +149,40 @@ def fits(x: str, y: str, percent: int) -> Column:
     return room | (F.greatest(nx, ny) == MOST)
 
 
+def id_of(own: str) -> Column:
+    return F.shiftright(own, 1)
+
+
 def candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
     """``a, b``: ids of an earlier and a later set that may be similar enough; once for each token they share."""
     x, y = earlier.alias("x"), later.alias("y")
-    same = (token(F.col("x.token_n_at")) == token(F.col("y.token_n_at"))) & (F.col("x.id") < F.col("y.id")) & fits("x", "y", percent)
-    return x.join(y.hint("merge"), same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & fits("x", "y", percent)
+    return x.join(y.hint("merge"), same).select(id_of("x.own").alias("a"), id_of("y.own").alias("b"))
 
 
 def leading(rows: DataFrame, percent: int) -> DataFrame:
     """``a, b`` as in ``candidates``, with the earliest set of each token only: one row at most for each prefix token."""
-    own = F.struct("id", "token_n_at", "odd", "more")
-    first = F.first(own).over(Window.partitionBy(token(F.col("token_n_at"))).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.struct("own", "token_n_at", "odd", "more")
+    first = F.first(own).over(Window.partitionBy("token").orderBy("own").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = rows.select(first.alias("x"), own.alias("y"))  # a running first: nothing of a token is held but that row
-    return met.where((F.col("x.id") < F.col("y.id")) & fits("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return met.where((F.col("x.own") < F.col("y.own")) & fits("x", "y", percent)).select(id_of("x.own").alias("a"), id_of("y.own").alias("b"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """``place`` (from 1): the how manieth of its token's sets each row is of."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(token(F.col("token_n_at"))).orderBy("id")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("own")))
+
+
+def open_pairs(rows: DataFrame, percent: int, after: bool) -> DataFrame:
+    """``a, b`` of the open sets with the HEADS earliest sets of each token, or with the ones ``after`` these.
+
+    Both sides come out of one exchange: what makes them differ is asked by place, behind the windows.
+    """
+    at = placed(rows)
+    least = HEADS if after else 0
+    earlier = at.where(F.col("place") > HEADS if after else F.col("place") <= HEADS)
+    later = at.where((F.col("place") > least + 1) & (F.col("own").bitwiseAND(F.lit(1)) == 0))
+    return candidates(earlier, later, percent).distinct()
 
 
 def mark(*key: Column) -> Column:
@@ -204,13 +230,10 @@ def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     group. Sets that it leaves open are held against the HEADS earliest sets of each token, and those that are open then
     against all later ones.
     """
-    rows = token_rows(one, percent)
-    met = leading(rows, percent).groupBy("b").agg(F.min("a").alias("a"))
-    first = kept(verified(lines, one, kept(met.select("a", "b")), percent))
-    found = first
-    for earlier in (placed(rows).where(F.col("place") <= HEADS), placed(rows).where(F.col("place") > HEADS)):
-        later = token_rows(one.join(found.withColumnRenamed("b", "id"), "id", "left_anti"), percent)
-        pairs = kept(candidates(earlier, later, percent).distinct())
+    met = leading(token_rows(one, percent), percent).groupBy("b").agg(F.min("a").alias("a"))
+    found = kept(verified(lines, one, kept(met.select("a", "b")), percent))
+    for after in (False, True):
+        pairs = kept(open_pairs(token_rows(one, percent, settled=found), percent, after))
         found = kept(found.union(verified(lines, one, pairs, percent)))
     return found
 
@@ -236,12 +259,13 @@ def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     Only documents that may lose a line meet their lines in a shuffle; the others pass as they are.
     """
     lines, folder = written(split_lines(docs, id_col, text_col), "lines")  # texts are taken apart once
-    one = distinct_sets(coded(lines, rarities(lines), percent))
+    one, sets_folder = distinct_sets(coded(lines, rarities(lines), percent))
     stays = kept(kept_lines(one, repeated_sets(lines, one, percent)))
     # the row stays apart, so that its columns may have any name
     rows = docs.select(*own_key(id_col, text_col), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c not in ADDED]).alias("row"))
     changed = changed_documents(lines, stays)
-    remove_folder(docs.sparkSession, folder)
+    for done in (folder, sets_folder):
+        remove_folder(docs.sparkSession, done)
     own = [c for c in docs.columns if c not in ADDED]
     count = lambda c: F.greatest(F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), has_word)), F.lit(0)).cast("long")
     parts = F.split("text", "\n")
