@@ -20,34 +20,39 @@ own, in the order of a hash of the text; other columns are kept as they are; ``n
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import kept, remove_folder, written
 
-CLASSES = 1 << 14
+CLASSES = 1 << 16
 MARKS = 1 << 20
 #: Sizes from here on are not told apart before verification.
 MOST = (1 << 16) - 1
 #: Sets of more tokens have 128 parities instead of 64.
-LONG = 64
-#: So many of the earliest sets of a token are tried before the others.
-HEADS = 64
+LONG = 32
+#: Tokens of more sets are crowded: so many of their earliest sets are tried before the others. What a set meets by any
+#: other token is bounded by this number.
+HEADS = 512
 ADDED = ["n_lines", "n_removed"]
 NO_DOC = (1 << 63) - 1
 #: What tells documents apart, and the place of a line; never null.
 OWN = ["doc_id", "digest"]
 PLACE = [*OWN, "line_no"]
+#: What is known of a set besides.
+SET = ["n", "odd", "more", "prefix"]
 
 
 def words(line: Column) -> Column:
-    """64-bit hashes of the distinct words."""
-    each = F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+    """64-bit hashes of the distinct words of a line in which blanks are the only white space."""
+    each = F.array_remove(F.split(F.lower(line), " "), "")  # one plain character: split without a pattern
     return F.array_distinct(F.transform(each, lambda w: F.xxhash64(w)))
 
 
 def has_word(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
+    return F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def own_key(id_col: str, text_col: str) -> list[Column]:
@@ -59,22 +64,19 @@ def own_key(id_col: str, text_col: str) -> list[Column]:
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, digest, line_no (from 0), words (hashes): the lines that have a word."""
     text = F.col(text_col).cast("string")
+    for space in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
     lines = docs.select(*own_key(id_col, text_col), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.where(has_word(F.col("line"))).select(*PLACE, words(F.col("line")).alias("words"))
-
-
-def byte_at(table: bytearray, at: Column) -> Column:
-    """One byte (below 128) of a constant table."""
-    return F.ascii(F.substring(F.lit(table), at.cast("int") + 1, F.lit(1)).cast("string"))
+    return lines.where(F.ltrim("line") != "").select(*PLACE, words(F.col("line")).alias("words"))
 
 
 def rarities(lines: DataFrame) -> bytearray:
-    """For each hash class of tokens the binary logarithm of its count: CLASSES numbers, whatever the corpus."""
-    token = F.pmod("word", F.lit(CLASSES)).cast("int")
+    """For each hash class of tokens four times the binary logarithm of its count: CLASSES numbers, whatever the corpus."""
+    token = F.col("word").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
     counts = lines.select(F.explode("words").alias("word")).select(token.alias("class")).groupBy("class").count()
     table = bytearray([1]) * CLASSES
     for row in counts.collect():
-        table[row["class"]] = min(127, 1 + int(row["count"]).bit_length())
+        table[row["class"]] = min(127, 1 + int(4 * math.log2(row["count"])))
     return table
 
 
@@ -85,20 +87,27 @@ def parity(tokens: str, part: int, span: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
+def odd_bits(tokens: str, marked: bool = False) -> Column:
+    """64 bits: whether an odd number of the tokens (or of those whose bit 26 is set) have that number in bits 20 to 25."""
+    one = lambda t: F.shiftright(t, 26).bitwiseAND(F.lit(1).cast("long")) if marked else F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one(t), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
     """doc_id, digest, line_no and for each set: key, n, odd and more (parities), prefix (hashes of its rarest tokens, in order)."""
     low = F.lit((1 << 48) - 1)
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # becomes a constant before it runs
 
     def order(h: Column) -> Column:
-        return F.shiftleft(byte_at(table, F.pmod(h, F.lit(CLASSES))).cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
+        rarity = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")), F.lit(0))  # never null, so that sorting works on plain longs
+        return F.shiftleft(rarity.cast("long"), 48).bitwiseOR(h.bitwiseAND(low))
 
     n = F.size("tokens")
     need = F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int")
     with_tokens = lines.withColumn("tokens", F.sort_array(F.transform("words", order)))
     return with_tokens.select(
-        *PLACE, F.xxhash64("tokens").alias("key"), n.alias("n"),
-        parity("tokens", 0, F.when(n > LONG, 128).otherwise(64)).alias("odd"),
-        F.when(n > LONG, parity("tokens", 1, F.lit(128))).otherwise(F.lit(0).cast("long")).alias("more"),
+        *PLACE, F.xxhash64("tokens").alias("key"), n.alias("n"), odd_bits("tokens").alias("odd"),
+        F.when(n > LONG, odd_bits("tokens", marked=True)).otherwise(F.lit(0).cast("long")).alias("more"),
         F.transform(F.slice("tokens", F.lit(1), n - need + 1), lambda t: F.hash(t)).alias("prefix"),
     )
 
@@ -106,14 +115,19 @@ def coded(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, str]:
     """One row for each set, with its first line; ``id`` grows with that line's place. In a folder, the second result:
     two scans of files are known to be the same, so an exchange of them can serve twice."""
-    one = sets.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "more", "prefix")])
-    ordered = one.select("first.*", "n", "odd", "more", "prefix").orderBy(*PLACE)
+    one = sets.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), *[F.any_value(c).alias(c) for c in SET])
+    ordered = one.select("first.*", *SET).orderBy(*PLACE)
     return written(ordered.withColumn("id", F.monotonically_increasing_id()), "sets")
 
 
-def token_rows(one: DataFrame, percent: int, settled: DataFrame | None = None) -> DataFrame:
-    """token, token_n_at, own, odd, more: a row for each prefix token, dealt by the token. ``own`` is twice the id, and one
-    more if the set is ``settled`` (``b``). Sets too short to be similar to another one have none: n of n + 1 words is their best.
+def able(one: DataFrame, percent: int) -> DataFrame:
+    """The sets that are not too short to be similar to another one: n of n + 1 words is the best there can be."""
+    return one.where(F.col("n") * (100 - percent) >= percent)
+
+
+def token_rows(one: DataFrame, percent: int, settled: DataFrame | None = None, crowd: DataFrame | None = None, how: str = "left_semi") -> DataFrame:
+    """token, token_n_at, own, odd, more: a row for each prefix token, dealt by the token. ``own`` is twice the id, and one more if the set is ``settled`` (``b``). With the marks of a ``crowd``, only tokens that
+    have one of them, or with "left_anti" none. Sets too short to be similar to another one have none: n of n + 1 words is their best.
 
     Four numbers a row are moved; what windows need besides comes after that, as they would have it moved as well.
     """
@@ -121,7 +135,9 @@ def token_rows(one: DataFrame, percent: int, settled: DataFrame | None = None) -
     if settled is not None:
         one = one.join(settled.select(F.col("b").alias("id"), F.lit(1).alias("settled")), "id", "left")
         own = own + F.coalesce("settled", F.lit(0))
-    rows = one.where(F.col("n") * (100 - percent) >= percent).select(own.alias("own"), "odd", "more", "n", F.posexplode("prefix").alias("at", "token"))
+    rows = able(one, percent).select(own.alias("own"), "odd", "more", "n", F.posexplode("prefix").alias("at", "token"))
+    if crowd is not None:
+        rows = meeting(rows, [F.col("token")], crowd, how)
     short = lambda c: F.least(F.col(c), F.lit(MOST)).cast("long")
     packed = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.shiftleft(short("n"), 16)).bitwiseOR(short("at"))
     by_token = rows.select(packed.alias("token_n_at"), "own", "odd", "more").repartition(token(F.col("token_n_at")))
@@ -138,9 +154,9 @@ def fits(x: str, y: str, percent: int) -> Column:
     part = lambda c, bits: F.shiftright(F.col(c), bits).bitwiseAND(F.lit(MOST)).cast("int")
     nx, ny, ax, ay = part(f"{x}.token_n_at", 16), part(f"{y}.token_n_at", 16), part(f"{x}.token_n_at", 0), part(f"{y}.token_n_at", 0)
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
-    halves = [F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("odd", "more")]
-    # 128 bits of two long sets; a short one has 64, onto which those of a long one fold
-    apart = F.when(F.least(nx, ny) > LONG, F.bit_count(halves[0]) + F.bit_count(halves[1])).otherwise(F.bit_count(halves[0].bitwiseXOR(halves[1])))
+    odd, more = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("odd", "more"))
+    # two long sets have 128 bits: those of the marked tokens, and of the others
+    apart = F.when(F.least(nx, ny) > LONG, F.bit_count(more) + F.bit_count(odd.bitwiseXOR(more))).otherwise(F.bit_count(odd))
     room = (
         (F.least(nx, ny) >= F.greatest(nx, ny) * t - 1e-9)
         & (F.least(nx - ax, ny - ay) >= need - F.least(ax, ay))
@@ -154,9 +170,11 @@ def id_of(own: str) -> Column:
 
 
 def candidates(earlier: DataFrame, later: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: ids of an earlier and a later set that may be similar enough; once for each token they share."""
+    """``a, b``: ids of an earlier and a later open set that may be similar enough; once for each token they share."""
     x, y = earlier.alias("x"), later.alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & fits("x", "y", percent)
+    # a settled set comes after none; as a filter of one side this would go below its exchange, which then serves once only
+    until = F.when(F.col("y.own").bitwiseAND(F.lit(1)) == 0, F.col("y.own")).otherwise(F.lit(-1))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < until) & fits("x", "y", percent)
     return x.join(y.hint("merge"), same).select(id_of("x.own").alias("a"), id_of("y.own").alias("b"))
 
 
@@ -176,13 +194,17 @@ def placed(rows: DataFrame) -> DataFrame:
 def open_pairs(rows: DataFrame, percent: int, after: bool) -> DataFrame:
     """``a, b`` of the open sets with the HEADS earliest sets of each token, or with the ones ``after`` these.
 
-    Both sides come out of one exchange: what makes them differ is asked by place, behind the windows.
+    Both sides come out of one exchange. The later ones need no place: those among the first ones come after none of the others.
     """
     at = placed(rows)
-    least = HEADS if after else 0
     earlier = at.where(F.col("place") > HEADS if after else F.col("place") <= HEADS)
-    later = at.where((F.col("place") > least + 1) & (F.col("own").bitwiseAND(F.lit(1)) == 0))
-    return candidates(earlier, later, percent).distinct()
+    return candidates(earlier, rows, percent).distinct()
+
+
+def crowded(one: DataFrame, percent: int) -> DataFrame:
+    """``mark`` of the prefix tokens that more than HEADS sets have: at most MARKS numbers."""
+    tokens = able(one, percent).select(F.explode("prefix").alias("token")).groupBy("token").count()
+    return kept(tokens.where(F.col("count") > HEADS).select(mark(F.col("token")).alias("mark")).distinct())
 
 
 def mark(*key: Column) -> Column:
@@ -208,7 +230,8 @@ def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -
 
     Words only travel for pairs whose 256 parities differ in no more places than the sets may differ in words.
     """
-    sketches = kept(sets_of(lines, one, pairs).select("id", F.size("words").alias("n"), *[parity("words", k, F.lit(256)).alias(f"odd{k}") for k in range(4)]))
+    found, folder = written(sets_of(lines, one, pairs), "found")  # lines are searched once
+    sketches = kept(found.select("id", F.size("words").alias("n"), *[parity("words", k, F.lit(256)).alias(f"odd{k}") for k in range(4)]))
     near = pairs
     for side in ("a", "b"):
         near = near.join(sketches.select(F.col("id").alias(side), F.struct("n", *[f"odd{k}" for k in range(4)]).alias(f"s{side}")), side)
@@ -216,26 +239,34 @@ def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -
     total = F.col("sa.n") + F.col("sb.n")
     # at least so many common words are needed, so at most the rest may differ
     near = kept(near.where(apart <= total - 2 * F.ceil(total * percent / F.lit(100.0 + percent) - 1e-9)).select("a", "b"))
-    found = sets_of(lines, one, near)
     met = near.join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    return met.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("b").distinct()
+    similar = kept(met.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("b").distinct())
+    remove_folder(lines.sparkSession, folder)
+    return similar
 
 
 def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """``b``: ids of the sets for which a similar one came earlier.
 
-    Each set is first held against the earliest sets that have its tokens, and of these against the earliest that fits:
-    this settles nearly all sets of a large group of copies with one row for each token and one pair, however large the
-    group. Sets that it leaves open are held against the HEADS earliest sets of each token, and those that are open then
-    against all later ones.
+    Large groups of copies have crowded tokens, so these come first. Each set is held against the earliest sets of its
+    crowded tokens, and of these against the earliest that fits: this settles nearly all sets of such a group with one
+    row for each token and one pair, however large the group. Sets that it leaves open are held against the HEADS
+    earliest sets of each crowded token, and those that are open then against all later ones. By all other tokens, of
+    at most HEADS sets each, the sets that are still open meet all earlier ones in one join.
     """
-    met = leading(token_rows(one, percent), percent).groupBy("b").agg(F.min("a").alias("a"))
-    found = kept(verified(lines, one, kept(met.select("a", "b")), percent))
-    for after in (False, True):
-        pairs = kept(open_pairs(token_rows(one, percent, settled=found), percent, after))
-        found = kept(found.union(verified(lines, one, pairs, percent)))
-    return found
+    found = one.select(F.col("id").alias("b")).where(F.lit(False))
+    crowd = crowded(one, percent)
+    some = not crowd.isEmpty()
+    if some:
+        met = leading(token_rows(one, percent, None, crowd), percent).groupBy("b").agg(F.min("a").alias("a"))
+        found = kept(verified(lines, one, kept(met.select("a", "b")), percent))
+        for after in (False, True):
+            pairs = kept(open_pairs(token_rows(one, percent, found, crowd), percent, after))
+            found = kept(found.union(verified(lines, one, pairs, percent)))
+    rows = token_rows(one, percent, found, crowd, "left_anti") if some else token_rows(one, percent)
+    pairs = kept(candidates(rows, rows, percent).distinct())
+    return kept(found.union(verified(lines, one, pairs, percent)))
 
 
 def kept_lines(one: DataFrame, repeated: DataFrame) -> DataFrame:
