@@ -25,10 +25,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import kept, remove_folder, written
+from ridgeline.llm.common import forget, kept, remove_folder, written
 
 CLASSES = 1 << 16
-MARKS = 1 << 20
+MARKS = 1 << 22
 #: Sizes from here on are not told apart before verification.
 MOST = (1 << 16) - 1
 #: Sets of more tokens have 128 parities instead of 64.
@@ -125,9 +125,9 @@ def able(one: DataFrame, percent: int) -> DataFrame:
     return one.where(F.col("n") * (100 - percent) >= percent)
 
 
-def token_rows(one: DataFrame, percent: int, settled: DataFrame | None = None, crowd: DataFrame | None = None, how: str = "left_semi") -> DataFrame:
-    """token, token_n_at, own, odd, more: a row for each prefix token, dealt by the token. ``own`` is twice the id, and one more if the set is ``settled`` (``b``). With the marks of a ``crowd``, only tokens that
-    have one of them, or with "left_anti" none. Sets too short to be similar to another one have none: n of n + 1 words is their best.
+def token_rows(one: DataFrame, percent: int, settled: DataFrame | None = None, crowd: DataFrame | None = None) -> DataFrame:
+    """token, token_n_at, own, odd, more: a row for each prefix token, dealt by the token. ``own`` is twice the id, and one more if the set is ``settled`` (``b``). With the marks of a ``crowd``, only tokens
+    that have one of them. Sets too short to be similar to another one have none: n of n + 1 words is their best.
 
     Four numbers a row are moved; what windows need besides comes after that, as they would have it moved as well.
     """
@@ -137,7 +137,7 @@ def token_rows(one: DataFrame, percent: int, settled: DataFrame | None = None, c
         own = own + F.coalesce("settled", F.lit(0))
     rows = able(one, percent).select(own.alias("own"), "odd", "more", "n", F.posexplode("prefix").alias("at", "token"))
     if crowd is not None:
-        rows = meeting(rows, [F.col("token")], crowd, how)
+        rows = meeting(rows, [F.col("token")], crowd, "left_semi")
     short = lambda c: F.least(F.col(c), F.lit(MOST)).cast("long")
     packed = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.shiftleft(short("n"), 16)).bitwiseOR(short("at"))
     by_token = rows.select(packed.alias("token_n_at"), "own", "odd", "more").repartition(token(F.col("token_n_at")))
@@ -183,7 +183,8 @@ def leading(rows: DataFrame, percent: int) -> DataFrame:
     own = F.struct("own", "token_n_at", "odd", "more")
     first = F.first(own).over(Window.partitionBy("token").orderBy("own").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = rows.select(first.alias("x"), own.alias("y"))  # a running first: nothing of a token is held but that row
-    return met.where((F.col("x.own") < F.col("y.own")) & fits("x", "y", percent)).select(id_of("x.own").alias("a"), id_of("y.own").alias("b"))
+    is_open = F.col("y.own").bitwiseAND(F.lit(1)) == 0
+    return met.where(is_open & (F.col("x.own") < F.col("y.own")) & fits("x", "y", percent)).select(id_of("x.own").alias("a"), id_of("y.own").alias("b"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -201,6 +202,16 @@ def open_pairs(rows: DataFrame, percent: int, after: bool) -> DataFrame:
     return candidates(earlier, rows, percent).distinct()
 
 
+def plain_pairs(rows: DataFrame, percent: int, crowd: DataFrame | None) -> DataFrame:
+    """``a, b`` of the open sets with all earlier sets of each token that is not of the ``crowd``.
+
+    Both sides come out of one exchange: the crowd is left out behind it by an outer join, as an anti join would go below and make two of it.
+    """
+    if crowd is not None:
+        rows = meeting(rows, [F.col("token")], crowd, "left").where("mark is null").drop("mark")
+    return candidates(rows, rows, percent).distinct()
+
+
 def crowded(one: DataFrame, percent: int) -> DataFrame:
     """``mark`` of the prefix tokens that more than HEADS sets have: at most MARKS numbers."""
     tokens = able(one, percent).select(F.explode("prefix").alias("token")).groupBy("token").count()
@@ -230,6 +241,7 @@ def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -
 
     Words only travel for pairs whose 256 parities differ in no more places than the sets may differ in words.
     """
+    forget(lines.sparkSession)  # the exchanges that made the pairs
     found, folder = written(sets_of(lines, one, pairs), "found")  # lines are searched once
     sketches = kept(found.select("id", F.size("words").alias("n"), *[parity("words", k, F.lit(256)).alias(f"odd{k}") for k in range(4)]))
     near = pairs
@@ -249,24 +261,24 @@ def verified(lines: DataFrame, one: DataFrame, pairs: DataFrame, percent: int) -
 def repeated_sets(lines: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """``b``: ids of the sets for which a similar one came earlier.
 
-    Large groups of copies have crowded tokens, so these come first. Each set is held against the earliest sets of its
-    crowded tokens, and of these against the earliest that fits: this settles nearly all sets of such a group with one
-    row for each token and one pair, however large the group. Sets that it leaves open are held against the HEADS
-    earliest sets of each crowded token, and those that are open then against all later ones. By all other tokens, of
-    at most HEADS sets each, the sets that are still open meet all earlier ones in one join.
+    By tokens of at most HEADS sets all sets meet in one join: each row of it meets fewer than HEADS others. Large groups
+    have crowded tokens. By these, each open set is held against the earliest sets of its tokens, and of these against
+    the earliest that fits: this settles nearly all sets of such a group with one row for each token and one pair,
+    however large the group. Sets that it leaves open are held against the HEADS earliest sets of each crowded token,
+    and those that are open then against all later ones.
     """
-    found = one.select(F.col("id").alias("b")).where(F.lit(False))
     crowd = crowded(one, percent)
     some = not crowd.isEmpty()
-    if some:
-        met = leading(token_rows(one, percent, None, crowd), percent).groupBy("b").agg(F.min("a").alias("a"))
-        found = kept(verified(lines, one, kept(met.select("a", "b")), percent))
-        for after in (False, True):
-            pairs = kept(open_pairs(token_rows(one, percent, found, crowd), percent, after))
-            found = kept(found.union(verified(lines, one, pairs, percent)))
-    rows = token_rows(one, percent, found, crowd, "left_anti") if some else token_rows(one, percent)
-    pairs = kept(candidates(rows, rows, percent).distinct())
-    return kept(found.union(verified(lines, one, pairs, percent)))
+    pairs = kept(plain_pairs(token_rows(one, percent), percent, crowd if some else None))
+    found = kept(verified(lines, one, pairs, percent))
+    if not some:
+        return found
+    met = leading(token_rows(one, percent, found, crowd), percent).groupBy("b").agg(F.min("a").alias("a"))
+    found = kept(found.union(verified(lines, one, kept(met.select("a", "b")), percent)))
+    for after in (False, True):
+        pairs = kept(open_pairs(token_rows(one, percent, found, crowd), percent, after))
+        found = kept(found.union(verified(lines, one, pairs, percent)))
+    return found
 
 
 def kept_lines(one: DataFrame, repeated: DataFrame) -> DataFrame:
