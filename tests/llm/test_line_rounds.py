@@ -40,22 +40,12 @@ def test_rounds_find_what_all_pairs_find(spark, monkeypatch, heads):
     assert got == want and any(want.values()) and not all(want.values())
 
 
-def test_tokens_that_are_not_crowded_are_moved_once(spark, monkeypatch):
-    calls, rows_of = [], lines.token_rows
-    monkeypatch.setattr(lines, "token_rows", lambda *a: calls.append(1) or rows_of(*a))
-    docs = spark.createDataFrame([(i, f"a b c d e{i // 2} f g h\nx y z {i}") for i in range(60)], "doc_id long, text string")
-    got = {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(docs).collect()}
-    assert len(calls) == 1 and got == {i: i % 2 for i in range(60)}
-
-
-def test_crowded_tokens_are_those_of_more_sets(spark, monkeypatch):
-    monkeypatch.setattr(lines, "HEADS", 3)
-    one = spark.createDataFrame([(i, 9, [1, 10 + i] + [2] * (i < 3)) for i in range(4)], "id long, n int, prefix array<int>")
-    want = spark.createDataFrame([(1,)], "token int").select(lines.mark(lines.F.col("token"))).first()[0]
-    assert [r["mark"] for r in lines.crowded(one, 80).collect()] == [want]
+def test_rarities_tell_counts_of_one_power_of_two_apart(spark):
+    table = lines.rarities(spark.createDataFrame([([1, 2],)] * 5 + [([2],)] * 2, "words array<long>"))
+    assert table[1] < table[2]
 
 
 def test_all_kinds_of_white_space_part_words(spark):
-    rows = [(0, "a b\tc\x0bd e\x0cf g\rh i j"), (1, "j i  h g f e\t\td\r\x0b c b A"), (2, "\t\x0b\n \r\x0c\n"), (3, " \nA")]
+    rows = [(0, "a b\tc\x0bd e\x0cf g\rh i j"), (1, "j i  h g f e\t\td\r\x0b c b A"), (2, "\t\x0b\n \r\x0c\n"), (3, " \nA")]
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: (rows[0][1], 1, 0), 1: ("", 1, 1), 2: (rows[2][1], 0, 0), 3: (rows[3][1], 2, 0)}
