@@ -4,6 +4,9 @@ A block row carries 65,536 cells in one array, so a shuffle moves array bytes
 instead of addressed cells. Neighbourhood operators send each block's edge
 strips to the blocks around it: one shuffle of ``1 + 4 * halo / tile_size``
 times the layer. Local algebra needs no Python at all.
+
+Of a layer whose blocks know little, the sparse form holds the known cells only: ``cells`` their values, ``places`` where
+in the block they lie. ``to_blocks`` makes it on demand; ``reshape.mosaic_blocks`` and ``to_cells`` take either form.
 """
 
 from __future__ import annotations
@@ -48,14 +51,20 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-def to_blocks(cells: DataFrame, layout: Layout) -> DataFrame:
-    """Gather cells into blocks (one shuffle on the block key)."""
+def to_blocks(cells: DataFrame, layout: Layout, sparse: bool = False) -> DataFrame:
+    """Gather cells into blocks (one shuffle on the block key), whole ones or of the known cells only."""
     t = layout.tile_size
 
     def run(brow, bcol, at, values):
         return {"cells": square_of(at, values["value"], t).ravel()}
 
     placed = layout.checked(cells).withColumns({"brow": F.expr(f"row div {t}"), "bcol": F.expr(f"col div {t}")})
+    if sparse:
+        at, value = F.expr(f"cast((row - brow * {t}) * {t} + col - bcol * {t} as int)"), F.col("value").cast("double")
+        known = value.isNotNull() & ~F.isnan(value)
+        given = placed.select(*BLOCK_KEY, F.when(known, at).alias("places"), F.when(known, value).alias("cells"))
+        # a task holds too few cells of such a block for lists to be worth making before the exchange
+        return given.repartition(*BLOCK_KEY).groupBy(*BLOCK_KEY).agg(*[F.collect_list(n).alias(n) for n in ("places", "cells")])
     field = T.StructField("cells", T.DoubleType())
     return map_blocks(gather(placed, t, 0, t, ["value"]), ["value"], run, [field])
 
@@ -63,7 +72,11 @@ def to_blocks(cells: DataFrame, layout: Layout) -> DataFrame:
 def to_cells(blocks: DataFrame, layout: Layout, column: str = "cells") -> DataFrame:
     """Spread blocks into cells of the raster; NODATA gives no row, a value beyond the layout raises. No shuffle."""
     t = layout.tile_size
-    cells = blocks.select("layer", "brow", "bcol", F.posexplode(column).alias("at", "value"))
+    if "places" in blocks.columns:
+        known = blocks.select(*BLOCK_KEY, F.posexplode("places").alias("i_", "at"), F.col(column).alias("known_"))
+        cells = known.select(*BLOCK_KEY, "at", F.get("known_", F.col("i_")).alias("value"))
+    else:
+        cells = blocks.select(*BLOCK_KEY, F.posexplode(column).alias("at", "value"))
     return layout.checked(
         cells.where("value IS NOT NULL").select(
             "layer",

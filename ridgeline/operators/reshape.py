@@ -26,6 +26,7 @@ _PIECES = T.StructType(
 )
 #: Cells of the rows that make a batch.
 BATCH_CELLS = 1 << 19
+SPARSE = T.StructType(BLOCK_SCHEMA.fields[:3] + [T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("cells", T.ArrayType(T.DoubleType()))])
 LEVELS = T.StructType([T.StructField("z", T.IntegerType())] + BLOCK_SCHEMA.fields)
 
 
@@ -182,9 +183,13 @@ def mosaic_blocks(scenes: DataFrame, rank: str = "scene_rank") -> DataFrame:
 
     Scenes of one address stream through a task in the order of their rank, so a place that very many scenes cover needs
     the memory of two blocks. Blocks of which little is known travel as places and values, so that a sort holds what a
-    shuffle moves: a shuffle of a few compressed megabytes would else be gigabytes of unknown cells in a task.
+    shuffle moves: a shuffle of a few compressed megabytes would else be gigabytes of unknown cells in a task. Blocks of
+    the sparse form stay in it: nothing is done for unknown cells.
     """
     names = [*BLOCK_KEY, rank]
+    if "places" in scenes.columns:
+        ordered = scenes.select(*names, "places", "cells").repartition(*BLOCK_KEY).sortWithinPartitions(*names)
+        return ordered.mapInArrow(first_known_places, SPARSE)
     given = scenes.select(*names, "cells")
     schema = T.StructType(given.select(*names).schema.fields + [T.StructField("size", T.LongType()), T.StructField("cells", T.ArrayType(T.DoubleType()))])
 
@@ -214,6 +219,45 @@ def mosaic_blocks(scenes: DataFrame, rank: str = "scene_rank") -> DataFrame:
     return ordered.mapInArrow(lambda batches: batches_of(first_known(batches), BLOCK_SCHEMA), BLOCK_SCHEMA)
 
 
+def first_known_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse blocks of one address, in the order of their rank, as one block; many blocks at a time.
+
+    The last block of what was read waits, as its scenes may go on.
+    """
+    waits: pa.RecordBatch | None = None
+    for batch in batches:
+        batch = batch.select(SPARSE.names)
+        ends = np.cumsum(np.diff(batch.column("places").offsets.to_numpy()))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BATCH_CELLS, "right")))
+            rows = batch.slice(start, stop - start)
+            start = stop
+            if waits is not None:
+                rows = pa.Table.from_batches([waits, rows.cast(waits.schema)]).combine_chunks().to_batches()[0]
+            merged = merge_places(rows)
+            if merged.num_rows > 1:
+                yield merged.slice(0, merged.num_rows - 1)
+            waits = merged.slice(merged.num_rows - 1)
+    if waits is not None:
+        yield waits
+
+
+def merge_places(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Of adjoining rows of one address each place once, with its first value."""
+    keys = [rows.column(n).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for n in BLOCK_KEY]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+    heads = np.flatnonzero(new)
+    block = np.repeat(np.cumsum(new) - 1, np.diff(rows.column("places").offsets.to_numpy()))
+    places, values = (rows.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("places", "cells"))
+    order = np.lexsort((places, block))  # stable, so the least rank comes first
+    block, places = block[order], places[order]
+    first = np.append(True, (block[1:] != block[:-1]) | (places[1:] != places[:-1]))[: len(order)]
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(block[first], minlength=len(heads)))), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (places[first], values[order[first]])]
+    return pa.RecordBatch.from_arrays([rows.column(n).take(pa.array(heads)) for n in BLOCK_KEY] + lists, names=SPARSE.names)
+
+
 def packed(cells: np.ndarray) -> tuple[int, np.ndarray]:
     """The number of cells, and the places and then the values of the known ones; 0 and the cells as they are if half are known."""
     at = np.flatnonzero(~np.isnan(cells))

@@ -3,11 +3,12 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.model import Layout
-from ridgeline.operators import reshape, vector
+from ridgeline.operators import blocks, reshape, vector
 from workloads.registry import QUERIES
 
 
@@ -64,3 +65,47 @@ def test_burnt_points_of_one_cell_are_split_by_their_other_columns(spark, monkey
     assert {(r["row"], r["col"]) for r in burnt.where("value = 7").collect()} == disc
     held = [r["count"] for r in dealt[0].groupBy(F.spark_partition_id()).count().collect()]
     assert max(held) < 4000 and len(held) > 10
+
+
+def test_sparse_blocks_hold_known_cells_only(spark):
+    lay = Layout(3857, 0.0, 0.0, 1.0, 1.0, 700, 900, 64)
+    rng = np.random.default_rng(5)
+    cells = {(s, int(r), int(c)): float(v) for s in range(1, 5) for r, c, v in zip(rng.integers(0, 900, 800), rng.integers(0, 700, 800), rng.normal(size=800))}
+    cells |= {(s, 70 + k // 9, 70 + k % 9): None if (s + k) % 3 else float(s * 100 + k) for s in range(1, 5) for k in range(81)}
+    cells |= {(1, 899, 699): float("nan"), (2, 0, 0): float("inf")}
+    rows = [(str(s), r, c, v) for (s, r, c), v in cells.items()]
+    table = spark.createDataFrame(rows, "layer string, row long, col long, value double").repartition(5)
+    known = {k: v for k, v in cells.items() if v is not None and v == v}
+    want = {(r, c): known[s, r, c] for s, r, c in sorted(known, reverse=True)}
+    found = {}
+    for sparse in (False, True):
+        stored = blocks.to_blocks(table, lay, sparse)
+        assert {(r["layer"], r["row"], r["col"]): r["value"] for r in blocks.to_cells(stored, lay).collect()} == {(str(s), r, c): v for (s, r, c), v in known.items()}
+        scenes = stored.withColumn("scene_rank", F.col("layer").cast("int")).withColumn("layer", F.lit(None).cast("string"))
+        mosaic = reshape.mosaic_blocks(scenes)
+        assert mosaic.select("brow", "bcol").distinct().count() == mosaic.count()
+        found[sparse] = {(r["row"], r["col"]): r["value"] for r in blocks.to_cells(mosaic, lay).collect()}
+        if sparse:
+            held = stored.agg(F.sum(F.size("cells")), F.sum(F.size("places"))).first()
+            assert tuple(held) == (len(known), len(known))
+    assert found[False] == found[True] == want
+
+
+def test_stored_mosaic_of_lines_moves_known_cells_only(spark, tmp_path, monkeypatch):
+    stored = []
+    make = blocks.to_blocks
+    monkeypatch.setattr(blocks, "to_blocks", lambda *a, **b: stored.append(make(*a, **b)) or stored[-1])
+    lines = spark.createDataFrame([(k * 100, k * 70, k % 7, float(k)) for k in range(50)], "l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["t3_mosaic_stored_blocks"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k * 100, k * 70, k) for k in range(50)]
+    assert stored[0].agg(F.sum(F.size("cells"))).first()[0] == 50  # 4,096 cells of each block went through Python twice
+
+
+def test_sparse_blocks_merge_across_batches(monkeypatch):
+    monkeypatch.setattr(reshape, "BATCH_CELLS", 3)
+    rows = [("m", 0, 0, [1, 2], [1.0, 2.0]), ("m", 0, 0, [2, 3], [9.0, 3.0]), ("m", 0, 0, [], []), ("m", 0, 0, [0, 1, 4], [5.0, 9.0, 4.0]), ("m", 0, 1, [], []), (None, 0, 1, [7], [7.0])]
+    whole = pa.RecordBatch.from_pylist([dict(zip(reshape.SPARSE.names, r)) for r in rows], pa.schema([("layer", pa.string()), ("brow", pa.int64()), ("bcol", pa.int64()), ("places", pa.list_(pa.int32())), ("cells", pa.list_(pa.float64()))]))
+    for size in (1, 2, 4, 6):
+        got = [r for b in reshape.first_known_places(whole.slice(k, size) for k in range(0, 6, size)) for r in b.to_pylist()]
+        assert [tuple(r.values()) for r in got] == [("m", 0, 0, [0, 1, 2, 3, 4], [5.0, 1.0, 2.0, 3.0, 4.0]), ("m", 0, 1, [], []), (None, 0, 1, [7], [7.0])]

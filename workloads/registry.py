@@ -802,8 +802,8 @@ def t3_mosaic_stored_blocks(spark, d):
     cells = ras.table(spark, d, "lineitem").groupBy(
         F.col("l_linenumber").cast("string").alias("layer"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")
     )
-    scenes_ = blocks.to_blocks(cells.agg(F.min(price).alias("value")), lay)
-    ranked = scenes_.select(F.lit("m").alias("layer"), "brow", "bcol", "cells", F.col("layer").cast("int").alias("scene_rank"))
+    scenes_ = blocks.to_blocks(cells.agg(F.min(price).alias("value")), lay, sparse=True)
+    ranked = scenes_.select(F.lit("m").alias("layer"), "brow", "bcol", "places", "cells", F.col("layer").cast("int").alias("scene_rank"))
     return whole(blocks.to_cells(reshape.mosaic_blocks(ranked), lay))
 
 
