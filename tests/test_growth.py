@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ridgeline.llm import phrases
 from ridgeline.model import Layout
 from ridgeline.operators import blocks, reshape, vector
 from workloads.registry import QUERIES
@@ -67,6 +68,21 @@ def test_burnt_points_of_one_cell_are_split_by_their_other_columns(spark, monkey
     assert max(held) < 4000 and len(held) > 10
 
 
+def test_rows_of_phrase_counts_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(phrases, "SUMS_OF_PART", 1000, raising=False)
+    folder = str(tmp_path)
+    text = " ".join(f"w{k}" for k in range(200_000)) + ". " + "one two three. " * 40
+    docs = spark.createDataFrame([(text, "en")], "text string, lang string").coalesce(1)
+    phrases.coded(docs, 1, "lang", "text").write.partitionBy("shard").parquet(f"{folder}/coded")
+    first = phrases.count_cycles(spark, folder, 30, 1, 3, 16)
+    counts = spark.read.parquet(f"{folder}/counts").where("n = 1 and step = 0").agg(F.sum("entries"), F.max("entries")).first()
+    assert counts[0] == 200_003 and counts[1] <= 1 << 17  # a row held all words of a text, or two million phrases
+    states = [spark.read.parquet(str(f)).count() for f in (tmp_path / "state").iterdir()]
+    assert states == [512]  # 32 rows took the sums of any number of words
+    found = phrases.frequent(spark, folder, first, 30, 3).where("n > 1").select("n", "a").collect()
+    assert sorted(map(tuple, found)) == [(2, 40), (2, 40), (3, 40)]
+
+
 def test_sparse_blocks_hold_known_cells_only(spark):
     lay = Layout(3857, 0.0, 0.0, 1.0, 1.0, 700, 900, 64)
     rng = np.random.default_rng(5)
